@@ -145,15 +145,21 @@ def detrend(obs: DataFrame) -> DataFrame:
         "v", F.col("v") - F.col("trend")).drop("_p")
 
 
-def running_impact(impacts: DataFrame, keys: list[str], baseline: str = "baseline") -> DataFrame:
-    """Nowcast path from the baseline as releases arrive, and the signed totals."""
-    w = Window.partitionBy(*keys)
-    ordered = w.orderBy("ts", "variable").rowsBetween(Window.unboundedPreceding, 0)
+def running_impact(impacts: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = ("model_id", "month")) -> DataFrame:
+    """Nowcast path from the baseline as releases arrive, and the signed totals.
+
+    Releases of one date are summed first, so a path has at most one row per
+    day of its month however many variables report."""
     i = F.col("impact")
-    return impacts.select(
-        "*", (F.col(baseline) + F.sum(i).over(ordered)).alias("running"), F.sum(i).over(w).alias("total"),
-        F.coalesce(F.sum(F.when(i > 0, i)).over(w), F.lit(0.0)).alias("total_positive"),
-        F.coalesce(F.sum(F.when(i < 0, i)).over(w), F.lit(0.0)).alias("total_negative"))
+    days = impacts.groupBy(*keys, "ts").agg(
+        F.sum(i).alias("impact"), F.sum(F.when(i > 0, i)).alias("_up"), F.sum(F.when(i < 0, i)).alias("_down"))
+    w = Window.partitionBy(*keys)
+    ordered = w.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    zero = lambda c: F.coalesce(F.sum(c).over(w), F.lit(0.0))
+    return days.join(baseline, list(keys), "left").select(
+        *keys, "ts", "impact", "baseline", F.sum("impact").over(ordered).alias("cumulative"),
+        (F.col("baseline") + F.sum("impact").over(ordered)).alias("running"), F.sum("impact").over(w).alias("total"),
+        zero("_up").alias("total_positive"), zero("_down").alias("total_negative"))
 
 
 def shift_publication(obs: DataFrame, dictionary: DataFrame) -> DataFrame:
