@@ -225,8 +225,9 @@ MIXED = " UNION ALL ".join(f"SELECT '{f}:' || series AS series, d, v, '{f}' AS f
     ("Q", "d = last_day(d) AND month(d) % 3 = 0"), ("Y", "month(d) = 12 AND day(d) = 31")))
 
 
-@query("align_by_frequency", "series:s freq:s n:n total:f first_d:d last_d:d", f"""
-    WITH mx AS ({MIXED}),
+def aligned_sql(threshold):
+    """Aligned and gated rows of the mixed series: ``al`` without ``bad``."""
+    return f"""mx AS ({MIXED}),
     dd AS (SELECT series, {FRI.format(d='d')} AS d, avg(v) AS v FROM mx WHERE freq = 'D' GROUP BY 1, 2),
     ww AS ({WEEKLY.format(src="SELECT * FROM mx WHERE freq = 'W'")} SELECT series, d, v FROM aligned),
     kk AS ({WEEKLY.format(src=DEKAD_SRC.replace('@daily', "(SELECT * FROM mx WHERE freq = 'K')"))} SELECT series, d, v FROM aligned),
@@ -234,7 +235,11 @@ MIXED = " UNION ALL ".join(f"SELECT '{f}:' || series AS series, d, v, '{f}' AS f
     al AS (SELECT series, d, v, 'D' AS freq FROM dd UNION ALL SELECT series, d, v, 'W' FROM ww UNION ALL SELECT series, d, v, 'K' FROM kk UNION ALL SELECT series, d, v, freq FROM pp),
     ranged AS (SELECT * FROM al WHERE freq IN ('M', 'Q', 'Y') OR d BETWEEN DATE '{START}' AND DATE '{END}'),
     isl AS (SELECT series, d, v, count(v) OVER (PARTITION BY series ORDER BY d) AS i, count(v) OVER (PARTITION BY series) AS c FROM ranged),
-    bad AS (SELECT DISTINCT series FROM (SELECT series, i, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS k FROM isl WHERE i > 0 OR c = 0 GROUP BY 1, 2) WHERE k >= 4)
+    bad AS (SELECT DISTINCT series FROM (SELECT series, i, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS k FROM isl WHERE i > 0 OR c = 0 GROUP BY 1, 2) WHERE k >= {threshold})"""
+
+
+@query("align_by_frequency", "series:s freq:s n:n total:f first_d:d last_d:d", f"""
+    WITH {aligned_sql(4)}
     SELECT series, freq, count(v) AS n, sum(v) AS total, min(d) AS first_d, max(d) AS last_d FROM al WHERE series NOT IN (SELECT series FROM bad) GROUP BY 1, 2""")
 def align_by_frequency(spark, sf):
     out = align.align_and_gate(_mixed(spark, sf), 4, START, END)

@@ -227,16 +227,16 @@ def _ratio(num, scale, shift=0.0):
     return F.sum(num).cast("double") / F.sum("n") / F.lit(scale) - F.lit(shift)
 
 
-def loadings(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("model_id", "variable", "factor").agg(_ratio("disc", 7.0, 0.5).alias("loading"))
-
-
-def states(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("model_id", "d", "factor").agg(_ratio("price", UNIT).alias("state"))
-
-
-def gains(spark, sf_dir):
-    return cells(spark, sf_dir).groupBy("model_id", "d", "factor", "variable").agg(_ratio("tax", 13.0, 0.3).alias("gain"))
+def model_tables(spark, sf_dir):
+    """``loadings, states, gains, observed`` from one stored table of cells, as
+    a trained model's tables would be read back."""
+    from tidemark.session import cut_lineage
+    c = cut_lineage(cells(spark, sf_dir))
+    return {
+        "loadings": c.groupBy("model_id", "variable", "factor").agg(_ratio("disc", 7.0, 0.5).alias("loading")),
+        "states": c.groupBy("model_id", "d", "factor").agg(_ratio("price", UNIT).alias("state")),
+        "gains": c.groupBy("model_id", "d", "factor", "variable").agg(_ratio("tax", 13.0, 0.3).alias("gain")),
+        "observed": c.groupBy("model_id", "d", "variable").agg(_ratio("price", UNIT).alias("observed"))}
 
 
 def observed(spark, sf_dir):

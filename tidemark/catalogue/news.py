@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.catalogue import bases
 from tidemark.catalogue.registry import query
 from tidemark.operators import news, window
+from tidemark.session import cut_lineage
 
 TARGET = "NATION_0"
 REL = f"""pr AS (SELECT l.model_id, l.variable, s.d, sum(loading * state) AS expected FROM @loadings l JOIN @states s ON s.model_id = l.model_id AND s.factor = l.factor GROUP BY 1, 2, 3),
@@ -29,17 +30,18 @@ IND = NORM + """, nat AS (SELECT n_name AS variable, r_name AS industry FROM nat
       abs(sum(impact)) / sum(sum(abs(impact))) OVER (PARTITION BY model_id, month) * 100 AS contribution_pct FROM ni GROUP BY 1, 2, 3)"""
 
 
-def _rel(spark, sf, month=None):
-    return news.releases(bases.observed(spark, sf), bases.loadings(spark, sf), bases.states(spark, sf), TARGET, month)
+def _rel(m, month=None):
+    return news.releases(m["observed"], m["loadings"], m["states"], TARGET, month)
 
 
-def _target_loading(spark, sf):
-    sd = bases.observed(spark, sf).filter(F.col("variable") == TARGET).groupBy("model_id").agg(F.stddev_samp("observed").alias("target_std"))
-    return bases.loadings(spark, sf).filter(F.col("variable") == TARGET).join(sd, "model_id")
+def _target_loading(m):
+    sd = m["observed"].filter(F.col("variable") == TARGET).groupBy("model_id").agg(F.stddev_samp("observed").alias("target_std"))
+    return m["loadings"].filter(F.col("variable") == TARGET).join(sd, "model_id")
 
 
 def _imp(spark, sf):
-    return news.impacts(_rel(spark, sf), bases.gains(spark, sf), _target_loading(spark, sf))
+    m = bases.model_tables(spark, sf)
+    return cut_lineage(news.impacts(_rel(m), m["gains"], _target_loading(m)))
 
 
 def _con(spark, sf):
@@ -57,17 +59,18 @@ def _ind(spark, sf):
 
 @query("prior_predictions", "model_id:s variable:s d:d expected:f", f"WITH {REL} SELECT * FROM pr")
 def prior_predictions(spark, sf):
-    return news.prior_predictions(bases.loadings(spark, sf), bases.states(spark, sf))
+    m = bases.model_tables(spark, sf)
+    return news.prior_predictions(m["loadings"], m["states"])
 
 
 @query("releases", "model_id:s month:d ts:d variable:s observed:f expected:f measurement_error:f", f"WITH {REL} SELECT * FROM rel")
 def releases(spark, sf):
-    return _rel(spark, sf)
+    return _rel(bases.model_tables(spark, sf))
 
 
 @query("releases_of_month", "model_id:s ts:d variable:s observed:f expected:f", f"WITH {REL} SELECT * FROM rel WHERE month = DATE '1999-05-01'")
 def releases_of_month(spark, sf):
-    return _rel(spark, sf, "1999-05")
+    return _rel(bases.model_tables(spark, sf), "1999-05")
 
 
 @query("release_impacts", "model_id:s ts:d variable:s impact:f gain_norm:f low:f high:f", f"""WITH {IMP} SELECT *, impact - 1.96 * measurement_error * CASE WHEN impact <> 0 THEN abs(impact) ELSE 1 END AS low,
@@ -87,7 +90,8 @@ def news_contributions(spark, sf):
     SELECT model_id, month, ts, impact, baseline, sum(impact) OVER o AS cumulative, baseline + sum(impact) OVER o AS running, sum(impact) OVER w AS total, sum(up) OVER w AS total_positive, sum(down) OVER w AS total_negative
     FROM day LEFT JOIN b USING (model_id, month) WINDOW w AS (PARTITION BY model_id, month), o AS (PARTITION BY model_id, month ORDER BY ts)""")
 def impact_path(spark, sf):
-    return window.running_impact(_imp(spark, sf), news.baselines(_rel(spark, sf), bases.nowcast(spark, sf)))
+    imp = _imp(spark, sf)
+    return window.running_impact(imp, news.baselines(imp, bases.nowcast(spark, sf)))
 
 
 @query("variable_totals", "model_id:s month:d variable:s total_impact:f release_count:n average_impact:f contribution_pct:f", f"""WITH {IMP} SELECT model_id, month, variable, sum(impact) AS total_impact, count(*) AS release_count,
@@ -181,4 +185,4 @@ def date_summary(spark, sf):
 @query("model_summary", "model_id:s n_steps:n n_factors:n n_variables:n max_gain:f mean_gain:f", """WITH f AS (SELECT *, min(d) OVER (PARTITION BY model_id) AS f FROM @gains)
     SELECT model_id, count(DISTINCT d) AS n_steps, count(DISTINCT factor) AS n_factors, count(DISTINCT variable) AS n_variables, max(abs(gain)) FILTER (d = f) AS max_gain, avg(abs(gain)) FILTER (d = f) AS mean_gain FROM f GROUP BY 1""")
 def model_summary(spark, sf):
-    return news.model_summary(bases.gains(spark, sf))
+    return news.model_summary(bases.model_tables(spark, sf)["gains"])

@@ -96,7 +96,7 @@ def gap_report(spark, sf):
     WHERE series NOT IN (SELECT series FROM best WHERE k >= 4) GROUP BY 1""")
 def drop_gappy_series(spark, sf):
     dense = align.align_weekly(bases.sparse(spark, sf), START, END)
-    return align.drop_gappy(dense, 4).groupBy("series").agg(F.count("v").alias("n"))
+    return window.drop_gappy(dense, 4).groupBy("series").agg(F.count("v").alias("n"))
 
 
 @query("trailing_means", "series:s d:d mean_7:f mean_30:f", """SELECT series, d,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import vocab
 from tidemark.functions import calendar as cal
-from tidemark.operators.window import gap_report
+from tidemark.operators.window import drop_gappy
 
 
 def spine(names: DataFrame, dates: Column) -> DataFrame:
@@ -29,10 +29,10 @@ def merge_panel(parts: list[DataFrame], start, end) -> DataFrame:
     for pos, part in enumerate(parts):
         tagged = part.select("series", "d", "v", F.lit(pos).alias("_part"))
         united = tagged if united is None else united.unionByName(tagged)
-    first = united.groupBy("series").agg(F.min("_part").alias("_part"))
-    kept = united.join(first, ["series", "_part"], "left_semi")
-    by_date = kept.groupBy("series", "d").agg(F.last("v", ignorenulls=True).alias("v"))
-    return friday_spine(first.select("series"), start, end).join(by_date, ["series", "d"], "left")
+    first = F.min("_part").over(Window.partitionBy("series"))
+    kept = united.withColumn("_first", first).filter(F.col("_part") == F.col("_first"))
+    by_date = kept.groupBy("series", "d").agg(F.max("v").alias("v"))
+    return friday_spine(united.select("series").distinct(), start, end).join(by_date, ["series", "d"], "left")
 
 
 def to_wide(panel: DataFrame, names: list[str]) -> DataFrame:
@@ -245,14 +245,6 @@ def align_and_gate(obs: DataFrame, threshold: int, start, end, borrow: bool = Tr
     return out
 
 
-def drop_gappy(obs: DataFrame, threshold: int | None, start=None, end=None) -> DataFrame:
-    """Without series whose longest gap inside the date range reaches ``threshold``."""
-    if not threshold or threshold <= 0:
-        return obs
-    bad = gap_report(obs, start, end).filter(F.col("longest_gap") >= threshold).select("series")
-    return obs.join(bad, "series", "left_anti")
-
-
 def infer_frequency(obs: DataFrame) -> DataFrame:
     """Label per series from the median gap of its valid dates, in whole days."""
     valid = obs.filter(F.col("v").isNotNull()).select("series", "d")

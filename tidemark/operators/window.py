@@ -124,6 +124,26 @@ def gap_report(obs: DataFrame, start=None, end=None) -> DataFrame:
                        (F.col("missing") * 100.0 / F.col("total")).alias("missing_pct"))
 
 
+def drop_gappy(obs: DataFrame, threshold: int | None, start=None, end=None) -> DataFrame:
+    """Without series whose longest gap inside the date range reaches ``threshold``.
+
+    The rule of :func:`gap_report` as windows on one partitioning by series:
+    no second read of the input and no join."""
+    if not threshold or threshold <= 0:
+        return obs
+    inside = F.lit(True)
+    if start is not None:
+        inside = inside & (F.col("d") >= F.lit(start).cast("date"))
+    if end is not None:
+        inside = inside & (F.col("d") <= F.lit(end).cast("date"))
+    valid, null = inside & F.col("v").isNotNull(), inside & F.col("v").isNull()
+    placed = obs.withColumn("_i", F.count_if(valid).over(by_date())).withColumn("_any", F.count_if(valid).over(whole()))
+    runs = placed.withColumn("_run", F.count_if(null).over(Window.partitionBy("series", "_i")))
+    counted = F.when((F.col("_i") > 0) | (F.col("_any") == 0), F.col("_run"))
+    return (runs.withColumn("_longest", F.coalesce(F.max(counted).over(whole()), F.lit(0)))
+            .filter(F.col("_longest") < threshold).select(*obs.columns))
+
+
 def trailing_means(obs: DataFrame, days: tuple[int, ...] = (7, 30)) -> DataFrame:
     """Mean over the ``n`` days before each date, the date itself excluded."""
     day = F.datediff("d", F.lit("1970-01-01").cast("date"))
@@ -165,7 +185,8 @@ def running_impact(impacts: DataFrame, baseline: DataFrame, keys: tuple[str, ...
 def shift_publication(obs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Move each series' dates by its publication lag; an unlisted series stays."""
     lags = dictionary.select("name_norm", F.col("publication_lag_days").alias("_lag"))
-    named = obs.withColumn("name_norm", text.normalize_text(F.col("series"))).join(lags, "name_norm", "left")
+    names = obs.select("series").distinct().withColumn("name_norm", text.normalize_text(F.col("series")))
+    named = obs.join(names.join(lags, "name_norm").select("series", "_lag"), "series", "left")
     lag = F.coalesce("_lag", F.lit(0))
     checked = F.when(lag.between(0, 365), lag).otherwise(
         F.raise_error(F.format_string("publication lag of %s out of range: %s", F.col("series"), lag)))

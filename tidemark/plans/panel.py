@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import align, clean, stationarity, window
+from tidemark.session import cut_lineage
 from tidemark.sources import audit, scan
 
 
@@ -16,7 +17,9 @@ def prepare_panel(obs: DataFrame, dictionary: DataFrame, target: str, start: str
 
     Classify by frequency, apply zero and negative rules, shift to publication
     dates, align and gate per frequency, merge on the Friday spine and drop
-    empty series: one lazy plan partitioned by series.  Without alignment the
+    empty series, all partitioned by series.  The routed observations feed six
+    frequency branches and the aligned ones both spine and values, so each is
+    stored once instead of being computed per use.  Without alignment the
     original dates are kept and only the gap rule applies."""
     errors = audit.parameter_errors(target, start, end, target_freq)
     if errors:
@@ -25,9 +28,10 @@ def prepare_panel(obs: DataFrame, dictionary: DataFrame, target: str, start: str
     ruled = routed.withColumn("v", clean.negative_rule(clean.zero_rule(F.col("v"), zeros), negatives))
     if shift_publication:
         ruled = window.shift_publication(ruled, dictionary)
+    ruled = cut_lineage(ruled)
     if not align_frequencies:
         return align.drop_gappy(clean.between_dates(ruled.select("series", "d", "v"), start, end), threshold)
-    aligned = align.align_and_gate(ruled, threshold, start, end, borrow)
+    aligned = cut_lineage(align.align_and_gate(ruled, threshold, start, end, borrow))
     panel = align.merge_panel([aligned.select("series", "d", "v")], start, end)
     alive = panel.groupBy("series").agg(F.count("v").alias("n")).filter("n > 0").select("series")
     return panel.join(alive, "series", "left_semi")

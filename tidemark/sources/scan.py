@@ -119,8 +119,9 @@ def route_by_frequency(obs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Adds ``freq`` from the dictionary; series outside it are dropped and a
     duplicate date keeps its last row."""
     freq = dictionary.select("name_norm", "freq").filter(F.col("freq").isNotNull())
-    tagged = (obs.withColumn("name_norm", text.normalize_text(F.col("series")))
-              .join(freq, "name_norm").drop("name_norm"))
+    # Names are folded once per series, not once per observation.
+    names = obs.select("series").distinct().withColumn("name_norm", text.normalize_text(F.col("series")))
+    tagged = obs.join(names.join(freq, "name_norm").select("series", "freq"), "series")
     return tagged.groupBy("series", "freq", "d").agg(F.max_by("v", "src_pos").alias("v"))
 
 
