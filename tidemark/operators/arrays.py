@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 
 def dated(valid_only: bool = True) -> Column:
     row = F.struct("d", "v")
@@ -20,7 +22,7 @@ def values(dated_array: Column) -> Column:
 
 def series_arrays(obs: DataFrame, keys: tuple[str, ...] = ("series",)) -> DataFrame:
     """Valid values of each series in date order."""
-    return obs.groupBy(*keys).agg(dated().alias("_dv")).select(*keys, values(F.col("_dv")).alias("values"))
+    return spread(obs, *keys).groupBy(*keys).agg(dated().alias("_dv")).select(*keys, values(F.col("_dv")).alias("values"))
 
 
 def target_array(obs: DataFrame, target: str) -> Column:

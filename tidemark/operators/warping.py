@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators import arrays
 from tidemark.operators.lagged import _scaled
+from tidemark.session import spread
 
 MIN_SAMPLES = 10
 
@@ -22,23 +23,23 @@ def _warp(a: np.ndarray, b: np.ndarray, window: int | None, want_path: bool):
     n, m = len(a), len(b)
     w = window or max(n, m)
     left, right = max(0, n - m) + w - 1, max(0, m - n) + w - 1
-    rows = np.arange(n)
-    older, newer = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    back = b[::-1]
+    older, newer, now = (np.full(n + 1, np.inf) for _ in range(3))
     moves = np.zeros((n, m), dtype=np.int8) if want_path else None
     for k in range(n + m - 1):
-        i = rows[max(0, k - m + 1):min(n, k + 1)]
-        j = k - i
-        i = i[(j >= i - left) & (j <= i + right)]
-        now = np.full(n + 1, np.inf)
-        if len(i):
-            j = k - i
-            # Slot i + 1 belongs to row i; slot 0 is the border above row 0.
-            options = np.stack([older[i], newer[i], newer[i + 1]])
-            best = options.min(axis=0) if k else np.zeros(1)
-            now[i + 1] = (a[i] - b[j]) ** 2 + best
+        # Rows lo..hi of this anti-diagonal; slot i + 1 belongs to row i and
+        # slot 0 is the border above row 0.
+        lo, hi = max(0, k - m + 1, -((right - k) // 2)), min(n - 1, k, (k + left) // 2)
+        now.fill(np.inf)
+        if lo <= hi:
+            gap = a[lo:hi + 1] - back[m - 1 - k + lo:m - k + hi]
+            options = (older[lo:hi + 1], newer[lo:hi + 1], newer[lo + 1:hi + 2])
+            best = np.minimum(np.minimum(options[0], options[1]), options[2]) if k else 0.0
+            now[lo + 1:hi + 2] = gap * gap + best
             if want_path:
-                moves[i, j] = options.argmin(axis=0)
-        older, newer = newer, now
+                i = np.arange(lo, hi + 1)
+                moves[i, k - i] = np.argmin(np.stack(options), axis=0)
+        older, newer, now = newer, now, older
     distance = float(np.sqrt(newer[n]))
     if not want_path or not np.isfinite(distance):
         return distance, None
@@ -72,25 +73,23 @@ def _path_udf(window: int | None, method: str):
 
 def _pairs(obs: DataFrame, target: str, strict: bool) -> DataFrame:
     """Candidate and target values to compare, as two arrays per candidate."""
-    t = arrays.target_array(obs, target)
-    c = obs.filter(F.col("series") != target).groupBy("series").agg(arrays.dated().alias("c")).withColumn("t", t)
-    dates = lambda a: F.transform(a, lambda x: x["d"])
-    v = arrays.values(F.col("c"))
-    valid = (F.size("c") >= MIN_SAMPLES) & (F.array_min(v) < F.array_max(v))
+    seen = obs.filter(F.col("v").isNotNull())
+    others = spread(seen.filter(F.col("series") != target), "series")
+    fit = (F.count("v") >= MIN_SAMPLES) & (F.min("v") < F.max("v"))
     if strict:
-        # Both sides reduced to their common dates; a map makes the lookup linear.
-        known = lambda a: F.map_from_arrays(dates(a), F.array_repeat(F.lit(True), F.size(a)))
-        keep = lambda a, other: F.filter(a, lambda x: F.coalesce(F.element_at(other, x["d"]), F.lit(False)))
-        mapped = c.withColumn("_tm", known(F.col("t"))).withColumn("_cm", known(F.col("c")))
-        cut = mapped.select("series", valid.alias("valid"), keep(F.col("c"), F.col("_tm")).alias("c2"),
-                            keep(F.col("t"), F.col("_cm")).alias("t2"), F.lit(True).alias("overlap"))
-    else:
-        lo = F.greatest(F.array_min(dates(F.col("c"))), F.array_min(dates(F.col("t"))))
-        hi = F.least(F.array_max(dates(F.col("c"))), F.array_max(dates(F.col("t"))))
-        within = lambda a: F.filter(a, lambda x: x["d"].between(lo, hi))
-        cut = c.select("series", valid.alias("valid"), within(F.col("c")).alias("c2"), within(F.col("t")).alias("t2"),
-                       F.coalesce(lo <= hi, F.lit(False)).alias("overlap"))
-    return cut.select("series", "valid", "overlap", arrays.values(F.col("c2")).alias("c"), arrays.values(F.col("t2")).alias("t"))
+        # One target row per date: bounded by the calendar, so it is broadcast.
+        t = F.broadcast(seen.filter(F.col("series") == target).select("d", F.col("v").alias("tv")))
+        both = F.collect_list(F.when(F.col("tv").isNotNull(), F.struct("d", "v", "tv")))
+        c = others.join(t, "d", "left").groupBy("series").agg(fit.alias("valid"), F.array_sort(both).alias("a"))
+        return c.select("series", "valid", F.lit(True).alias("overlap"), F.transform("a", lambda x: x["v"]).alias("c"),
+                        F.transform("a", lambda x: x["tv"]).alias("t"))
+    c = others.groupBy("series").agg(fit.alias("valid"), arrays.dated().alias("c")).withColumn("t", arrays.target_array(obs, target))
+    last = lambda a: F.get(F.col(a), F.size(a) - 1)["d"]
+    ranged = c.withColumn("lo", F.greatest(F.get("c", F.lit(0))["d"], F.get("t", F.lit(0))["d"])).withColumn(
+        "hi", F.least(last("c"), last("t")))
+    cut = lambda a: F.transform(F.filter(a, lambda x: x["d"].between(F.col("lo"), F.col("hi"))), lambda x: x["v"])
+    return ranged.select("series", "valid", F.coalesce(F.col("lo") <= F.col("hi"), F.lit(False)).alias("overlap"),
+                         cut("c").alias("c"), cut("t").alias("t"))
 
 
 def warp_candidates(obs: DataFrame, target: str, radius: int | None = None, strict: bool = True,

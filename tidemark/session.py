@@ -51,3 +51,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     lost executor costs a re-read, not a replay of every earlier round."""
     _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into a fixed number of tasks.
+
+    Rows handed to numeric helpers are few bytes but long work, so the adaptive
+    size-based coalescing would pile them into one task; an explicit count is
+    left alone.  A following aggregation on the keys needs no further shuffle."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
