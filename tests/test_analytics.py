@@ -217,7 +217,7 @@ def test_metrics_need_two_pairs(spark):
 def test_score_comparison(spark):
     cases = [((60, 1.0), (50, 0.5), 1), ((52, 1.0), (50, 0.5), -1), ((None, 1.0), (50, 2.0), -1), ((None, 1.0), (None, 2.0), 1),
              ((50, None), (50, 1.0), -1), ((50, 1.0), (50, 1.0), 0)]
-    rows = [(*a, *b, w) for a, b, w in cases]
+    rows = [(*(None if x is None else float(x) for x in (*a, *b)), w) for a, b, w in cases]
     df = spark.createDataFrame(rows, "aw double, ar double, bw double, br double, want int")
     pair = lambda w, r: F.struct(F.col(w).alias("win_rate"), F.col(r).alias("rmse"))
     for r in df.withColumn("got", evaluation.compare_scores(pair("aw", "ar"), pair("bw", "br"))).collect():

@@ -48,3 +48,12 @@ def recommended_ops(nature: Column) -> Column:
     for name, ops in vocab.NATURE_OPS.items():
         out = F.when(nature == name, F.array(*map(F.lit, ops))).otherwise(out)
     return out
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation aggregate over pairs; null for a constant side.
+
+    The built-in one divides by zero on constants, so it is put together from
+    the slope, which gives the sign, and the explained share."""
+    slope, share = F.regr_slope(y, x), F.regr_r2(y, x)
+    return F.when(slope == 0, F.when(share == 0, 0.0)).otherwise(F.signum(slope) * F.sqrt(share))

@@ -157,8 +157,8 @@ def spectrum(panel: DataFrame, train_start, train_end) -> DataFrame:
     total = F.aggregate("eigen", F.lit(0.0), lambda a, x: a + x)
     rows = one.select("model_id", "t", total.alias("total"), "eigen", F.posexplode("eigen").alias("i", "e"))
     running = F.aggregate(F.slice("eigen", F.lit(1), F.col("i") + 1), F.lit(0.0), lambda a, x: a + x)
-    return rows.select("model_id", (F.col("i") + 1).alias("component"), (F.col("e") / (F.col("t") - 1)).alias("eigenvalue"),
-                       (F.col("e") / F.col("total")).alias("ratio"), (running / F.col("total")).alias("cumulative"))
+    return rows.select("model_id", (F.col("i") + 1).alias("component"), F.try_divide("e", F.col("t") - 1).alias("eigenvalue"),
+                       F.try_divide("e", "total").alias("ratio"), F.try_divide(running, F.col("total")).alias("cumulative"))
 
 
 def choose_factors(components: DataFrame, method: str = "cumulative", fixed: int = 4, threshold: float = 0.9,
@@ -347,7 +347,7 @@ def forecast(factors: DataFrame, target: DataFrame, k: int, train_start, train_e
     joined = f.join(target.select(*keys, F.col("v").alias("t")), keys, "left")
     v = F.when(train, F.col("t"))
     moments = joined.groupBy("model_id").agg(F.avg(v).alias("mu"), F.stddev_samp(v).alias("sd"))
-    rows = joined.filter(train).join(moments, "model_id").select("model_id", "f", ((F.col("t") - F.col("mu")) / F.col("sd")).alias("y"))
+    rows = joined.filter(train).join(moments, "model_id").select("model_id", "f", F.try_divide(F.col("t") - F.col("mu"), F.col("sd")).alias("y"))
     beta = regress(rows, MODEL, k, min_extra=0).select("model_id", "h").join(moments, "model_id")
     dot = sum((F.col("f")[i] * F.col("h")[i] for i in range(k)), F.lit(0.0))
     nowcast = f.join(beta, "model_id").select("model_id", "d", (dot * F.col("sd") + F.col("mu")).alias("v"))

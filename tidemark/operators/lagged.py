@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import vocab
+from tidemark.functions.numeric import correlation, histogram_bins
 from tidemark.operators import arrays
 
 MIN_KL_SAMPLES = 10
@@ -35,10 +36,9 @@ def lagged_correlation(obs: DataFrame, target: str, max_lag: int = 12) -> DataFr
     lags = range(-max_lag, max_lag + 1)
     shifted = x.select("d", *[F.lead("x", k).over(by_position).alias(f"x{k + max_lag}") for k in lags])
     joined = obs.filter(F.col("series") != target).join(F.broadcast(shifted), "d")
-    wide = joined.groupBy("series").agg(*[F.corr(f"x{k + max_lag}", "v").alias(str(k)) for k in lags])
+    wide = joined.groupBy("series").agg(*[correlation(F.col(f"x{k + max_lag}"), F.col("v")).alias(str(k)) for k in lags])
     long = wide.unpivot(["series"], [F.col(f"`{k}`") for k in lags], "lag", "correlation")
-    return long.select(F.col("series").alias("candidate"), F.col("lag").cast("int").alias("lag"),
-                       F.when(~F.isnan("correlation"), F.col("correlation")).alias("correlation"))
+    return long.select(F.col("series").alias("candidate"), F.col("lag").cast("int").alias("lag"), "correlation")
 
 
 def _divergence(a: np.ndarray, b: np.ndarray) -> float:
@@ -114,7 +114,6 @@ def divergence(obs: DataFrame, target: str) -> DataFrame:
     t = arrays.target_values(obs, target)
     both = arrays.series_arrays(obs.filter(F.col("series") != target)).withColumn("_t", t)
     n = F.least(F.size("values"), F.size("_t"))
-    from tidemark.functions.numeric import histogram_bins
     enough = n >= F.greatest(histogram_bins(n) * 2, F.lit(MIN_KL_SAMPLES))
     kl = divergence_udf(0, "none", 1)(F.col("_t"), F.col("values"))[0]
     return both.select(F.col("series").alias("candidate"), F.when(enough, kl).alias("kl"), (

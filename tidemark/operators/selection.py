@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import correlation
 from tidemark.operators import evaluation, factor
 from tidemark.session import cut_lineage
 
@@ -101,8 +102,8 @@ def seed_by_correlation(panel: DataFrame, target: str, n: int) -> list[str]:
     counting those with at most ten common dates as zero."""
     x = panel.filter((F.col("series") == target) & F.col("v").isNotNull()).select("d", F.col("v").alias("x"))
     pairs = panel.filter((F.col("series") != target) & F.col("v").isNotNull()).join(x, "d", "left")
-    strength = F.when(F.count("x") > 10, F.abs(F.corr("v", "x")))
-    ranked = pairs.groupBy("series").agg(F.coalesce(F.nanvl(strength, F.lit(0.0)), F.lit(0.0)).alias("c"))
+    strength = F.when(F.count("x") > 10, F.abs(correlation(F.col("x"), F.col("v"))))
+    ranked = pairs.groupBy("series").agg(F.coalesce(strength, F.lit(0.0)).alias("c"))
     return [r["series"] for r in ranked.orderBy(F.col("c").desc(), "series").limit(n).collect()]
 
 

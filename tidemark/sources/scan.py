@@ -16,8 +16,11 @@ def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None =
     """Header CSV with every column as text.  Without an encoding, UTF-8 is
     kept unless some line fails to decode, which means a GBK family file."""
     if encoding is None:
-        broken = spark.read.text(path).filter(F.col("value").contains("�")).limit(1)
+        broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
         encoding = "GB18030" if broken.count() else "UTF-8"
+    if encoding.upper().startswith("GB"):
+        # Spark reads only Unicode and Latin charsets unless this is on.
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.csv(path, header=True, encoding=encoding)
     first = df.columns[0]
     return df.withColumnRenamed(first, first.lstrip("﻿"))
