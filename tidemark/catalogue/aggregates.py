@@ -191,11 +191,10 @@ for _f in PERIODS:
     _profile_query(_f)
 
 
-@query("groups_by_size", "industry:s type:s n_industry:n n_type:n names:s", """
-    SELECT industry, type, sum(count(*)) OVER (PARTITION BY industry) AS n_industry, count(*) AS n_type, string_agg(DISTINCT name, ',' ORDER BY name) AS names
-    FROM @dictionary GROUP BY industry, type""")
+@query("groups_by_size", "name:s industry:s type:s n_industry:n n_type:n", """
+    SELECT name, industry, type, count(*) OVER (PARTITION BY industry) AS n_industry, count(*) OVER (PARTITION BY industry, type) AS n_type FROM @dictionary""")
 def groups_by_size(spark, sf):
-    return rank.groups_by_size(bases.dictionary(spark, sf)).withColumn("names", F.array_join("names", ","))
+    return rank.groups_by_size(bases.dictionary(spark, sf))
 
 
 @query("numeric_text_page", "l_orderkey:n l_linenumber:n pct:s", """

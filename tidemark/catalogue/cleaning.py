@@ -61,16 +61,16 @@ def clean_table(spark, sf):
 
 
 @query("removed_names", "series:s", """SELECT DISTINCT series FROM @sparse EXCEPT
-    SELECT DISTINCT series FROM @sparse WHERE v > 2.0""")
+    SELECT DISTINCT series FROM @sparse WHERE v > 2.4""")
 def removed_names(spark, sf):
     s = bases.sparse(spark, sf)
-    return clean.removed_names(s, s.filter("v > 2.0"))
+    return clean.removed_names(s, s.filter("v > 2.4"))
 
 
-@query("removal_summary", "reason:s n:n names:s", REMOVALS + """SELECT reason, count(DISTINCT series) AS n,
-    string_agg(DISTINCT series, ',' ORDER BY series) AS names FROM log WHERE reason IS NOT NULL GROUP BY 1""")
+@query("removal_summary", "reason:s series:s n:n", REMOVALS + """SELECT DISTINCT l.reason, series, n FROM log l
+    JOIN (SELECT reason, count(DISTINCT series) AS n FROM log WHERE reason IS NOT NULL GROUP BY 1) c ON c.reason = l.reason""")
 def removal_summary(spark, sf):
-    return clean.removal_summary(clean.removal_log(_named(spark, sf))).withColumn("names", F.array_join("names", ","))
+    return clean.removal_summary(clean.removal_log(_named(spark, sf)))
 
 
 @query("zero_negative_rules", "s_suppkey:n missing:f adjusted:f near_zero:f", """
@@ -203,11 +203,11 @@ def search_rows(spark, sf):
     return bases.table(spark, sf, "part").filter(text.contains_any("Bolt", *map(F.col, cols)))
 
 
-@query("frequency_catalogue", "freq:s n_industries:n industries:s", """
-    WITH n AS (SELECT freq_text AS freq, CASE WHEN lag_text < '3' THEN regexp_extract(name, '^[^ ]+') ELSE industry END AS industry FROM @dictionary_raw)
-    SELECT freq, count(DISTINCT industry) AS n_industries, string_agg(DISTINCT industry, ',' ORDER BY industry) AS industries FROM n GROUP BY 1""")
+@query("frequency_catalogue", "freq:s industry:s n_industries:n", """
+    WITH n AS (SELECT DISTINCT freq_text AS freq, CASE WHEN lag_text < '3' THEN regexp_extract(name, '^[^ ]+') ELSE industry END AS industry FROM @dictionary_raw)
+    SELECT freq, industry, count(*) OVER (PARTITION BY freq) AS n_industries FROM n""")
 def frequency_catalogue(spark, sf):
     raw = bases.dictionary_raw(spark, sf).select(
         F.col("freq_text").alias("freq"), F.when(F.col("lag_text") >= "3", F.col("industry")).alias("industry"),
         F.concat(F.lit("file.csv|"), F.replace("name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("freq_text")).alias("source"))
-    return clean.frequency_catalogue(raw).withColumn("industries", F.array_join("industries", ","))
+    return clean.frequency_catalogue(raw)

@@ -90,9 +90,10 @@ def removed_names(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def removal_summary(log: DataFrame) -> DataFrame:
-    """Removed variables per reason: count, and the names sorted."""
-    return log.groupBy("reason").agg(F.countDistinct("series").alias("n"),
-                                     F.sort_array(F.collect_set("series")).alias("names"))
+    """Removed variables with the size of their reason: one row per name, so no
+    list has to fit in one place."""
+    names = log.select("reason", "series").distinct()
+    return names.join(names.groupBy("reason").agg(F.count(F.lit(1)).alias("n")), "reason")
 
 
 def _rule_mask(rule: Column, d: Column, v: Column) -> Column:
@@ -229,9 +230,10 @@ def industries_of_others(dictionary: DataFrame, target: str) -> DataFrame:
 
 
 def frequency_catalogue(indicators: DataFrame) -> DataFrame:
-    """Industry lists per frequency; the industry falls back to the source name."""
+    """Industries of each frequency, one per row, with their number; the industry
+    falls back to the source name."""
     from tidemark.functions.text import industry_from_source
     named = indicators.select("freq", F.coalesce(
         F.when(F.trim("industry") != "", F.col("industry")), industry_from_source(F.col("source"))).alias("industry"))
-    return named.groupBy("freq").agg(F.countDistinct("industry").alias("n_industries"),
-                                     F.sort_array(F.collect_set("industry")).alias("industries"))
+    pairs = named.distinct()
+    return pairs.join(pairs.groupBy("freq").agg(F.count(F.lit(1)).alias("n_industries")), "freq")

@@ -70,12 +70,12 @@ def by_growth(summary: DataFrame, column: str) -> DataFrame:
 
 
 def groups_by_size(indicators: DataFrame) -> DataFrame:
-    """Industry and type groups with their sizes and sorted names, largest first."""
-    by_type = indicators.groupBy("industry", "type").agg(
-        F.count(F.lit(1)).alias("n_type"), F.sort_array(F.collect_set("name")).alias("names"))
+    """Indicators with the sizes of their industry and type group, largest first."""
+    by_type = indicators.groupBy("industry", "type").agg(F.count(F.lit(1)).alias("n_type"))
     by_industry = by_type.groupBy("industry").agg(F.sum("n_type").alias("n_industry"))
-    return by_type.join(by_industry, "industry").orderBy(
-        F.col("n_industry").desc(), "industry", F.col("n_type").desc(), "type")
+    sizes = by_type.join(by_industry, "industry")
+    return indicators.select("name", "industry", "type").join(sizes, ["industry", "type"]).orderBy(
+        F.col("n_industry").desc(), "industry", F.col("n_type").desc(), "type", "name")
 
 
 def numeric_text_order(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
