@@ -16,6 +16,7 @@ from tidemark.operators import arrays
 
 MIN_KL_SAMPLES = 10
 BEST_LAG_RANGE = 5
+LAGS_PER_ROW = 5
 
 
 def lagged_correlation(obs: DataFrame, target: str, max_lag: int = 12) -> DataFrame:
@@ -26,19 +27,25 @@ def lagged_correlation(obs: DataFrame, target: str, max_lag: int = 12) -> DataFr
     pairs target[t + k] with candidate[t] and is null for under two pairs or a
     constant side.
 
-    The target becomes one row per date with its 2L+1 shifted values, a table
-    bounded by the calendar and therefore broadcast; the candidates are read
-    once and every lag is one column of a single partial aggregation, so
-    nothing is exploded and no date or series can turn hot."""
+    The target becomes a few rows per date, each with a block of its shifted
+    values: a table bounded by the calendar and therefore broadcast.  The
+    candidates are read once and aggregated per series and block with map-side
+    combine.  Blocks are narrow enough to stay inside generated code, whose
+    field limit one row with every lag would exceed."""
     frame = obs.agg(F.sort_array(F.collect_set("d")).alias("c")).select(F.posexplode("c").alias("p", "d"))
     x = frame.join(obs.filter(F.col("series") == target).select("d", F.col("v").alias("x")), "d", "left")
     by_position = Window.partitionBy(F.lit(0)).orderBy("p")
-    lags = range(-max_lag, max_lag + 1)
-    shifted = x.select("d", *[F.lead("x", k).over(by_position).alias(f"x{k + max_lag}") for k in lags])
-    joined = obs.filter(F.col("series") != target).join(F.broadcast(shifted), "d")
-    wide = joined.groupBy("series").agg(*[correlation(F.col(f"x{k + max_lag}"), F.col("v")).alias(str(k)) for k in lags])
-    long = wide.unpivot(["series"], [F.col(f"`{k}`") for k in lags], "lag", "correlation")
-    return long.select(F.col("series").alias("candidate"), F.col("lag").cast("int").alias("lag"), "correlation")
+    shift = lambda k: F.lead("x", k).over(by_position) if k <= max_lag else F.lit(None).cast("double")
+    starts = range(-max_lag, max_lag + 1, LAGS_PER_ROW)
+    wide = x.select("d", *[F.struct(F.lit(k).alias("first"), *[shift(k + i).alias(f"x{i}") for i in range(LAGS_PER_ROW)]).alias(f"b{n}")
+                           for n, k in enumerate(starts)])
+    blocks = wide.select("d", F.explode(F.array(*[F.col(f"b{n}") for n in range(len(starts))])).alias("b")).select("d", "b.*")
+    joined = obs.filter(F.col("series") != target).join(F.broadcast(blocks), "d")
+    scored = joined.groupBy("series", "first").agg(
+        *[correlation(F.col(f"x{i}"), F.col("v")).alias(str(i)) for i in range(LAGS_PER_ROW)])
+    long = scored.unpivot(["series", "first"], [F.col(f"`{i}`") for i in range(LAGS_PER_ROW)], "i", "correlation")
+    lag = F.col("first") + F.col("i").cast("int")
+    return long.select(F.col("series").alias("candidate"), lag.alias("lag"), "correlation").filter(F.col("lag") <= max_lag)
 
 
 def _divergence(a: np.ndarray, b: np.ndarray) -> float:
