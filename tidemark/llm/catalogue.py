@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, url_rules
+from tidemark.llm import decontamination, packing, preference, quality, url_rules
 from tidemark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,27 @@ def query(fn):
     return fn
 
 
+WORDS = r"[^\x20\x09-\x0D]+"
+SQL["op4_quality"] = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+    twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
+    lines AS (SELECT doc_id, source, t, l, len(regexp_extract_all(l, '{WORDS}')) AS k, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM (SELECT doc_id, source, t, unnest(ls) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY 1),
+    common AS (SELECT coalesce(source, '') AS source, source IS NULL AS nosource, plain, arg_min(t, doc_id) AS home FROM lines GROUP BY ALL HAVING count(DISTINCT t) > 10),
+    removed AS (SELECT doc_id, sum(k) AS n FROM lines JOIN common c ON c.plain = lines.plain AND c.source = coalesce(lines.source, '') AND c.nosource = (lines.source IS NULL) WHERE home <> t GROUP BY 1),
+    b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
+      coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id))
+    SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+      n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(n_removed_words AS BIGINT) AS n_removed_words,
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR (n_words - n_removed_words) * 100 < n_words * 10)) AS kept FROM b"""
+
+
+@query
+def op4_quality(spark, sf_dir):
+    return quality.judge(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 @query
 def op6_packing(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
@@ -42,6 +63,29 @@ def op8_url_rules(spark, sf_dir):
     return url_rules.judge(table(spark, sf_dir, "pages"), rules)
 
 
+SQL["op9_preference"] = """WITH t AS (SELECT conv_id AS conv, turn, min({'role': coalesce(role, ''), 'text': coalesce(text, '')}) AS s FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+    f AS (SELECT conv, arg_min(s, turn) AS opening, count(*) AS n FROM t GROUP BY 1),
+    g AS (SELECT conv, first_value(conv) OVER (PARTITION BY opening ORDER BY n DESC, conv) AS chosen, count(*) OVER (PARTITION BY opening) AS members FROM f),
+    a AS (SELECT conv, turn, s.text AS text, row_number() OVER (PARTITION BY conv ORDER BY turn DESC) AS k FROM t WHERE s.role = 'assistant'),
+    w AS (SELECT l.conv, l.turn AS last, e.text AS earlier FROM a l JOIN a e ON e.conv = l.conv AND l.k = 1 AND e.k = 2 JOIN g ON g.conv = l.conv AND members = 1),
+    c AS (SELECT chosen, g.conv AS rejected, 'sibling' AS kind, turn, s FROM g JOIN t ON t.conv = chosen WHERE g.conv <> chosen UNION ALL SELECT w.conv, w.conv, 'swap', turn, s FROM w JOIN t ON t.conv = w.conv),
+    r AS (SELECT chosen, g.conv AS rejected, 'sibling' AS kind, turn, s FROM g JOIN t ON t.conv = g.conv WHERE g.conv <> chosen UNION ALL
+      SELECT w.conv, w.conv, 'swap', turn, {'role': s.role, 'text': CASE WHEN turn = last THEN earlier ELSE s.text END} FROM w JOIN t ON t.conv = w.conv),
+    u AS (SELECT coalesce(c.chosen, r.chosen) AS chosen, coalesce(c.rejected, r.rejected) AS rejected, coalesce(c.kind, r.kind) AS kind, coalesce(c.turn, r.turn) AS turn, c.s AS c, r.s AS r
+      FROM c FULL JOIN r ON c.chosen = r.chosen AND c.rejected = r.rejected AND c.kind = r.kind AND c.turn = r.turn),
+    m AS (SELECT *, min(CASE WHEN c IS DISTINCT FROM r THEN turn END) OVER (PARTITION BY chosen, rejected, kind) AS split FROM u),
+    o AS (SELECT chosen, rejected, kind, 'prompt' AS part, turn, c AS s FROM m WHERE split IS NULL OR turn < split UNION ALL SELECT chosen, rejected, kind, 'chosen', turn, c FROM m WHERE turn >= split AND c IS NOT NULL
+      UNION ALL SELECT chosen, rejected, kind, 'rejected', turn, r FROM m WHERE turn >= split AND r IS NOT NULL)
+    SELECT chosen, rejected, kind, part, turn, s.role AS role, '<|im_start|>' || s.role || chr(10) || s.text || '<|im_end|>' || chr(10) AS rendered,
+      CAST(CASE WHEN part <> 'prompt' AND s.role = 'assistant' THEN length(s.role) + 13 ELSE 0 END AS BIGINT) AS train_start,
+      CAST(CASE WHEN part <> 'prompt' AND s.role = 'assistant' THEN length(s.role) + 13 + length(s.text) + 10 ELSE 0 END AS BIGINT) AS train_end FROM o"""
+
+
+@query
+def op9_preference(spark, sf_dir):
+    return preference.preference_format(table(spark, sf_dir, "conversations"))
+
+
 SQL["op10_decontamination"] = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
     b AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
     bw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
