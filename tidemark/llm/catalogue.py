@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, packing, preference, quality, url_rules
+from tidemark.llm import decontamination, language, packing, preference, quality, url_rules
 from tidemark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,15 @@ def op6_packing(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+@query
+def op7_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.fit(language.sample(docs.filter(~held), "text", "lang"))
+    out = language.identify(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.size("lang_spans").cast("long").alias("n_spans"))
+
+
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
