@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language, packing, preference, quality, url_rules
+from tidemark.llm import decontamination, language, packing, pii, preference, quality, url_rules
 from tidemark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,13 @@ def op4_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+@query
+def op5_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = pii.personal_data(docs, pii.fit(pii.sample(docs)))
+    return pii.digest(marked).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
+
+
 @query
 def op6_packing(spark, sf_dir):
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
