@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard, language, language_model, packing, pii, preference, quality, url_rules
+from tidemark.llm import decontamination, jaccard, language, language_model, packing, pii, preference, quality, suffix_dedup, url_rules
 from tidemark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op2_language_model(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
