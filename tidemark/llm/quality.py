@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import stored
+
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
@@ -88,3 +90,12 @@ def judge(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select(
         F.col("_row").alias(row), F.col("_text").alias("text_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "n_removed_words", "kept")
+
+
+def kept_documents(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source", **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    # Written first: pushed down, the filter would repeat the rules' nested expressions.
+    verdicts = stored(judge(docs, text=text, row=row, host=host, **limits).select(F.col(row).alias("_row"), F.col("text_hash").alias("_text"), "kept"), "verdicts")
+    good = verdicts.filter("kept")
+    match = docs[row].eqNullSafe(good["_row"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == good["_text"])
+    return docs.join(good.hint("shuffle_hash"), match, "left_semi")
