@@ -62,7 +62,7 @@ SQL["op4_quality"] = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') A
       coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id))
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(n_removed_words AS BIGINT) AS n_removed_words,
-      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR (n_words - n_removed_words) * 100 < n_words * 10)) AS kept FROM b"""
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 3 OR (n_words - n_removed_words) * 100 < n_words * 20)) AS kept FROM b"""
 
 
 @query

@@ -20,7 +20,7 @@ BLANKS = r"[\x20\x09-\x0D]+"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
 #: Texts of one host that may share a line, and words that must be left: a count and a share in percent.
-MAX_DOCS, LEAST_LEFT, LEAST_SHARE = 10, 10, 10
+MAX_DOCS, LEAST_LEFT, LEAST_SHARE = 10, 3, 20
 
 
 def _sorted_grams(grams: str):
