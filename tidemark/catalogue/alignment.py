@@ -8,8 +8,20 @@ from tidemark.functions import calendar as cal
 from tidemark.operators import align, clean
 
 FRI = "CAST({d} + CAST((5 - isodow({d}) + 7) % 7 AS INTEGER) AS DATE)"
-START, END = "1995-06-01", "1999-12-31"
-SPINE = f"SELECT CAST(x AS DATE) AS d FROM range(TIMESTAMP '1995-06-02', TIMESTAMP '2000-01-01', INTERVAL 7 DAY) AS r(x)"
+# Every window reaches from the first to the last date of both date columns.
+RANGE = """(SELECT least((SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem), (SELECT min(CAST(o_orderdate AS DATE)) FROM orders)) AS lo,
+    greatest((SELECT max(CAST(l_shipdate AS DATE)) FROM lineitem), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders)) AS hi)"""
+SPINE = f"""SELECT CAST(unnest(generate_series(CAST(lo + CAST((5 - isodow(lo) + 7) % 7 AS INTEGER) AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 7 DAY)) AS DATE) AS d
+    FROM {RANGE}"""
+
+
+def bounds(spark, sf):
+    """First and last date of the data, as ISO text."""
+    ends = lambda name, c: bases.table(spark, sf, name).agg(F.min(c).cast("date").alias("lo"), F.max(c).cast("date").alias("hi"))
+    lo, hi = ends("lineitem", "l_shipdate").unionByName(ends("orders", "o_orderdate")).agg(F.min("lo"), F.max("hi")).first()
+    return lo.isoformat(), hi.isoformat()
+
+
 NEAREST = "CAST({d} + CAST(5 - isodow({d}) AS INTEGER) AS DATE)"
 
 
@@ -41,7 +53,7 @@ def friday_mapping(spark, sf):
 
 @query("friday_spine", "series:s d:d", f"SELECT series, d FROM (SELECT DISTINCT series FROM @sparse), ({SPINE})")
 def friday_spine(spark, sf):
-    return align.friday_spine(bases.sparse(spark, sf).select("series").distinct(), START, END)
+    return align.friday_spine(bases.sparse(spark, sf).select("series").distinct(), *bounds(spark, sf))
 
 
 @query("merge_panel", "series:s d:d v:f", f"""
@@ -50,7 +62,7 @@ def friday_spine(spark, sf):
     SELECT s.series, p.d, u.v FROM (SELECT DISTINCT series FROM u) s CROSS JOIN ({SPINE}) p LEFT JOIN u ON u.series = s.series AND u.d = p.d""")
 def merge_panel(spark, sf):
     p = bases.panel(spark, sf)
-    return align.merge_panel([p.filter("series <> 'NF'"), p.withColumn("v", F.col("v") * 2)], START, END)
+    return align.merge_panel([p.filter("series <> 'NF'"), p.withColumn("v", F.col("v") * 2)], *bounds(spark, sf))
 
 
 @query("wide_panel", "d:d AF:f RO:f", """SELECT d, max(CASE WHEN series = 'AF' THEN v END) AS "AF", max(CASE WHEN series = 'RO' THEN v END) AS "RO"
@@ -151,13 +163,13 @@ WEEKLY = f"""WITH w AS (SELECT series, {FRI.format(d='d')} AS d, arg_max(v, d) A
 
 @query("align_weekly_borrow", "series:s d:d v:f borrowed_from:d", WEEKLY.format(src="SELECT * FROM @sparse") + "SELECT * FROM aligned")
 def align_weekly_borrow(spark, sf):
-    return align.align_weekly(bases.sparse(spark, sf), START, END)
+    return align.align_weekly(bases.sparse(spark, sf), *bounds(spark, sf))
 
 
 @query("borrowing_log", "series:s borrowed_from:d borrowed_to:d", WEEKLY.format(src="SELECT * FROM @sparse")
        + "SELECT series, borrowed_from, d AS borrowed_to FROM aligned WHERE borrowed_from IS NOT NULL")
 def borrowing_log(spark, sf):
-    return align.borrowing_log(align.align_weekly(bases.sparse(spark, sf), START, END))
+    return align.borrowing_log(align.align_weekly(bases.sparse(spark, sf), *bounds(spark, sf)))
 
 
 MOVE = """WITH r AS (SELECT series, {stamp} AS d, d AS o, v FROM @sparse),
@@ -204,7 +216,7 @@ DEKAD_SRC = f"""SELECT series, f AS d, arg_max(v, d) FILTER (v IS NOT NULL) AS v
 
 @query("dekad_to_weekly", "series:s d:d v:f borrowed_from:d", WEEKLY.format(src=DEKAD_SRC) + "SELECT * FROM aligned")
 def dekad_to_weekly(spark, sf):
-    return align.dekad_to_weekly(bases.daily(spark, sf), START, END)
+    return align.dekad_to_weekly(bases.daily(spark, sf), *bounds(spark, sf))
 
 
 def _mixed(spark, sf):
@@ -233,7 +245,7 @@ def aligned_sql(threshold):
     kk AS ({WEEKLY.format(src=DEKAD_SRC.replace('@daily', "(SELECT * FROM mx WHERE freq = 'K')"))} SELECT series, d, v FROM aligned),
     pp AS (SELECT series, freq, CASE freq WHEN 'M' THEN {clamp_sql('d', 'month')} WHEN 'Q' THEN {clamp_sql('d', 'quarter')} ELSE {clamp_sql('d', 'year')} END AS d, v FROM mx WHERE freq IN ('M', 'Q', 'Y')),
     al AS (SELECT series, d, v, 'D' AS freq FROM dd UNION ALL SELECT series, d, v, 'W' FROM ww UNION ALL SELECT series, d, v, 'K' FROM kk UNION ALL SELECT series, d, v, freq FROM pp),
-    ranged AS (SELECT * FROM al WHERE freq IN ('M', 'Q', 'Y') OR d BETWEEN DATE '{START}' AND DATE '{END}'),
+    ranged AS (SELECT * FROM al WHERE freq IN ('M', 'Q', 'Y') OR d BETWEEN (SELECT lo FROM {RANGE}) AND (SELECT hi FROM {RANGE})),
     isl AS (SELECT series, d, v, count(v) OVER (PARTITION BY series ORDER BY d) AS i, count(v) OVER (PARTITION BY series) AS c FROM ranged),
     bad AS (SELECT DISTINCT series FROM (SELECT series, i, sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS k FROM isl WHERE i > 0 OR c = 0 GROUP BY 1, 2) WHERE k >= {threshold})"""
 
@@ -242,7 +254,7 @@ def aligned_sql(threshold):
     WITH {aligned_sql(4)}
     SELECT series, freq, count(v) AS n, sum(v) AS total, min(d) AS first_d, max(d) AS last_d FROM al WHERE series NOT IN (SELECT series FROM bad) GROUP BY 1, 2""")
 def align_by_frequency(spark, sf):
-    out = align.align_and_gate(_mixed(spark, sf), 4, START, END)
+    out = align.align_and_gate(_mixed(spark, sf), 4, *bounds(spark, sf))
     return out.groupBy("series", "freq").agg(F.count("v").alias("n"), F.sum("v").alias("total"),
                                              F.min("d").alias("first_d"), F.max("d").alias("last_d"))
 

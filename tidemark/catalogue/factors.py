@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.catalogue import bases
-from tidemark.catalogue.alignment import END, SPINE, START, _mixed, aligned_sql
+from tidemark.catalogue.alignment import SPINE, _mixed, aligned_sql, bounds
 from tidemark.catalogue.registry import query
 from tidemark.operators import factor, selection, stationarity, window
 from tidemark.plans.nowcast import train
@@ -64,7 +64,7 @@ def _prepared(spark, sf):
     mixed = _mixed(spark, sf)
     dictionary = mixed.select(F.lower("series").alias("name_norm"), "freq").distinct()
     obs = mixed.drop("freq").withColumn("src_pos", F.lit(0))
-    return prepare_panel(obs, dictionary, "M:1-URGENT", START, END, threshold=60)
+    return prepare_panel(obs, dictionary, "M:1-URGENT", *bounds(spark, sf), threshold=60)
 
 
 @query("prepare_panel", "series:s d:d v:f", f"""WITH {aligned_sql(60)}, ok AS (SELECT series, d, max(v) AS v FROM al WHERE series NOT IN (SELECT series FROM bad) GROUP BY 1, 2),
@@ -84,7 +84,7 @@ def principal_components(spark, sf):
     return factor.spectrum(_panel(spark, sf), T0, T1)
 
 
-@query("factor_count", "model_id:s k:n rule:s")
+@query("factor_count", "model_id:s k:n rule:s problem:s")
 def factor_count(spark, sf):
     from tidemark.session import cut_lineage
     c = cut_lineage(factor.spectrum(_panel(spark, sf), T0, T1))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tidemark.catalogue import bases
 from tidemark.catalogue.registry import query
 from tidemark.operators import align, window
-from tidemark.catalogue.alignment import SPINE, START, END, WEEKLY
+from tidemark.catalogue.alignment import SPINE, WEEKLY, bounds
 
 W = "WINDOW w AS (PARTITION BY series ORDER BY d)"
 
@@ -89,13 +89,13 @@ GAPS = WEEKLY.format(src="SELECT * FROM @sparse") + """,
     SELECT series, coalesce(k, 0) AS longest_gap, lo AS gap_start, hi AS gap_end, total, missing, missing * 100.0 / total AS missing_pct
     FROM tot LEFT JOIN best USING (series)""")
 def gap_report(spark, sf):
-    return window.gap_report(align.align_weekly(bases.sparse(spark, sf), START, END))
+    return window.gap_report(align.align_weekly(bases.sparse(spark, sf), *bounds(spark, sf)))
 
 
 @query("drop_gappy_series", "series:s n:n", GAPS + """SELECT series, count(v) AS n FROM aligned
     WHERE series NOT IN (SELECT series FROM best WHERE k >= 4) GROUP BY 1""")
 def drop_gappy_series(spark, sf):
-    dense = align.align_weekly(bases.sparse(spark, sf), START, END)
+    dense = align.align_weekly(bases.sparse(spark, sf), *bounds(spark, sf))
     return window.drop_gappy(dense, 4).groupBy("series").agg(F.count("v").alias("n"))
 
 

@@ -40,10 +40,14 @@ def half_width(c: Column) -> Column:
     return F.translate(c, _FULL, _HALF)
 
 
+# Characters whose compatibility form the full-width block alone gives.
+_PLAIN = "[^\\x00-\\x7F\\u00B7\\u2014\\u3000-\\u3002\\u3010\\u3011\\u4E00-\\u9FFF\\uFF01-\\uFF5E]"
+
+
 def _fold(c: Column, exact: bool) -> Column:
-    """Unicode compatibility form: exact through Arrow, or the full-width block
-    alone inside whole-stage codegen."""
-    return _nfkc(c) if exact else half_width(c)
+    """Unicode compatibility form.  Texts of plain characters stay inside
+    whole-stage codegen; the others go through Arrow, unless ``exact`` is off."""
+    return F.coalesce(_nfkc(F.when(c.rlike(_PLAIN), c)), half_width(c)) if exact else half_width(c)
 
 
 def _lower_if_ascii(c: Column) -> Column:
@@ -54,7 +58,7 @@ def _blank_if_missing(raw: Column, cleaned: Column) -> Column:
     return F.when(raw.isNull() | (raw == ""), F.lit("")).otherwise(cleaned)
 
 
-def normalize_text(raw: Column, to_lower: bool = True, exact: bool = False) -> Column:
+def normalize_text(raw: Column, to_lower: bool = True, exact: bool = True) -> Column:
     """Fold, trim, drop one blank on either side of punctuation, squeeze, lower."""
     c = F.regexp_replace(_fold(raw, exact), r"^\s+|\s+$", "")
     for mark in TIGHT_PUNCTUATION:
@@ -64,7 +68,7 @@ def normalize_text(raw: Column, to_lower: bool = True, exact: bool = False) -> C
     return _blank_if_missing(raw, _lower_if_ascii(c) if to_lower else c)
 
 
-def normalize_variable(raw: Column, drop_blanks: bool = False, exact: bool = False) -> Column:
+def normalize_variable(raw: Column, drop_blanks: bool = False, exact: bool = True) -> Column:
     """Fold, trim, lower; optionally without any blank."""
     c = _lower_if_ascii(F.regexp_replace(_fold(raw, exact), r"^\s+|\s+$", ""))
     return _blank_if_missing(raw, F.replace(c, F.lit(" "), F.lit("")) if drop_blanks else c)
@@ -95,7 +99,7 @@ def sheet_info(sheet: Column, target_sheet: str) -> Column:
     feed = F.lit(None).cast("string")
     for word, name in SHEET_FEEDS.items():
         feed = F.when(F.trim(F.get(parts, F.lit(1))) == word, F.lit(name)).otherwise(feed)
-    source = F.when(F.size(parts) >= 3, F.trim(F.array_join(F.slice(parts, 3, 1000), "_")))
+    source = F.when(F.size(parts) >= 3, F.trim(F.array_join(F.slice(parts, F.lit(3), F.size(parts)), "_")))
     return F.struct(
         F.when(is_target, F.when(target_industry == "", F.lit("Macro")).otherwise(target_industry))
         .when(F.size(parts) >= 2, F.trim(parts[0])).alias("industry"),
@@ -121,6 +125,7 @@ def frequency_code(text: Column) -> Column:
 
 def display_name(name: Column) -> Column:
     """Group prefix removed; export groups read as industries."""
+    # The two group prefixes and the suffix.
     return (F.when(name.startswith("出口依赖_"),
                    F.concat(F.replace(name, F.lit("出口依赖_"), F.lit("")), F.lit("行业")))
             .when(name.startswith("上中下游_"), F.replace(name, F.lit("上中下游_"), F.lit("")))
@@ -129,6 +134,7 @@ def display_name(name: Column) -> Column:
 
 def short_indicator(name: Column) -> Column:
     """Indicator without its leading dataset name and trailing growth label."""
+    # The dataset name and the label.
     c = F.regexp_replace(name, "^规模以上工业增加值:", "")
     return F.when(c.endswith(":当月同比"), F.replace(c, F.lit(":当月同比"), F.lit(""))).otherwise(c)
 

@@ -138,9 +138,9 @@ def _decompose(gram: DataFrame, k: int) -> DataFrame:
         vecs = vecs * np.sign(vecs[np.abs(vecs).argmax(axis=0), np.arange(vecs.shape[1])])
         f = vecs * np.sqrt(values[:k])
         keep = int(min(pdf["n"].iloc[0], len(pdf)))
-        return pd.DataFrame({"model_id": pdf["model_id"], "d": pdf["d"], "f": list(f), "eigen": [values[:keep]] * len(pdf)})
+        return pd.DataFrame({"model_id": pdf["model_id"], "d": pdf["d"], "f": list(f), "eigen": [values[:keep]] * len(pdf), "n": pdf["n"]})
 
-    schema = T.StructType([gram.schema["model_id"], gram.schema["d"], T.StructField("f", DOUBLES), T.StructField("eigen", DOUBLES)])
+    schema = T.StructType([gram.schema["model_id"], gram.schema["d"], T.StructField("f", DOUBLES), T.StructField("eigen", DOUBLES), T.StructField("n", T.LongType())])
     return gram.groupBy("model_id").applyInPandas(solve, schema)
 
 
@@ -153,26 +153,31 @@ def spectrum(panel: DataFrame, train_start, train_end) -> DataFrame:
     moving = std.groupBy(*VARIABLE).agg(F.min("z").alias("lo"), F.max("z").alias("hi")).filter("lo < hi")
     train = std.join(moving, VARIABLE, "left_semi")
     one = _decompose(_gram(train, centre=True), 1).groupBy("model_id").agg(
-        F.first("eigen").alias("eigen"), F.count(F.lit(1)).alias("t"))
+        F.first("eigen").alias("eigen"), F.count(F.lit(1)).alias("t"), F.first("n").alias("n_variables"))
     total = F.aggregate("eigen", F.lit(0.0), lambda a, x: a + x)
-    rows = one.select("model_id", "t", total.alias("total"), "eigen", F.posexplode("eigen").alias("i", "e"))
+    rows = one.select("model_id", "t", "n_variables", total.alias("total"), "eigen", F.posexplode("eigen").alias("i", "e"))
     running = F.aggregate(F.slice("eigen", F.lit(1), F.col("i") + 1), F.lit(0.0), lambda a, x: a + x)
     return rows.select("model_id", (F.col("i") + 1).alias("component"), F.try_divide("e", F.col("t") - 1).alias("eigenvalue"),
-                       F.try_divide("e", "total").alias("ratio"), F.try_divide(running, F.col("total")).alias("cumulative"))
+                       F.try_divide("e", "total").alias("ratio"), F.try_divide(running, F.col("total")).alias("cumulative"), "n_variables")
 
 
 def choose_factors(components: DataFrame, method: str = "cumulative", fixed: int = 4, threshold: float = 0.9,
                    elbow: float = 0.1, kaiser: float = 1.0) -> DataFrame:
-    """Number of factors per model by one rule, between 1 and components - 1."""
+    """Number of factors per model by one rule, between 1 and variables - 1.
+
+    A model that does not meet the rule has no number but a ``problem``."""
     from pyspark.sql import Window
     step = F.lead("ratio").over(Window.partitionBy("model_id").orderBy("component")) - F.col("ratio")
+    components = components.withColumn("n_variables", F.col("n_variables").cast("int"))
     marked = components.withColumn("step", step)
-    k = {"fixed": F.lit(fixed),
+    k = {"fixed": F.when(F.max("component") >= fixed, F.lit(fixed)),
          "cumulative": F.min(F.when(F.col("cumulative") >= threshold - 1e-12, F.col("component"))),
          "elbow": F.min(F.when(F.col("step") < elbow, F.col("component"))),
-         "kaiser": F.count_if(F.col("eigenvalue") > kaiser)}[method]
-    return marked.groupBy("model_id").agg(k.cast("int").alias("k"), F.max("component").alias("m")).select(
-        "model_id", F.greatest(F.lit(1), F.least("k", F.col("m") - 1)).cast("int").alias("k"))
+         "kaiser": F.nullif(F.count_if(F.col("eigenvalue") > kaiser), F.lit(0))}[method]
+    clamped = F.greatest(F.lit(1), F.least("k", F.col("m") - 1)).cast("int")
+    return marked.groupBy("model_id").agg(k.cast("int").alias("k"), F.max("n_variables").alias("m")).select(
+        "model_id", F.when(F.col("k").isNotNull(), clamped).alias("k"),
+        F.when(F.col("k").isNull(), F.lit(f"no number of factors meets the rule {method}")).alias("problem"))
 
 
 def static_factors(panel: DataFrame, k: int, train_start, train_end) -> tuple[DataFrame, DataFrame]:

@@ -28,19 +28,19 @@ def lagged_correlation(obs: DataFrame, target: str, max_lag: int = 12) -> DataFr
     constant side.
 
     The target becomes a few rows per date, each with a block of its shifted
-    values: a table bounded by the calendar and therefore broadcast.  The
+    values: bounded by the calendar, so adaptive execution may broadcast it.  The
     candidates are read once and aggregated per series and block with map-side
     combine.  Blocks are narrow enough to stay inside generated code, whose
     field limit one row with every lag would exceed."""
     frame = obs.agg(F.sort_array(F.collect_set("d")).alias("c")).select(F.posexplode("c").alias("p", "d"))
-    x = frame.join(obs.filter(F.col("series") == target).select("d", F.col("v").alias("x")), "d", "left")
+    x = frame.join(obs.filter(F.col("series") == target).groupBy("d").agg(F.max("v").alias("x")), "d", "left")
     by_position = Window.partitionBy(F.lit(0)).orderBy("p")
     shift = lambda k: F.lead("x", k).over(by_position) if k <= max_lag else F.lit(None).cast("double")
     starts = range(-max_lag, max_lag + 1, LAGS_PER_ROW)
     wide = x.select("d", *[F.struct(F.lit(k).alias("first"), *[shift(k + i).alias(f"x{i}") for i in range(LAGS_PER_ROW)]).alias(f"b{n}")
                            for n, k in enumerate(starts)])
     blocks = wide.select("d", F.explode(F.array(*[F.col(f"b{n}") for n in range(len(starts))])).alias("b")).select("d", "b.*")
-    joined = obs.filter(F.col("series") != target).join(F.broadcast(blocks), "d")
+    joined = obs.filter(F.col("series") != target).join(blocks, "d")
     scored = joined.groupBy("series", "first").agg(
         *[correlation(F.col(f"x{i}"), F.col("v")).alias(str(i)) for i in range(LAGS_PER_ROW)])
     long = scored.unpivot(["series", "first"], [F.col(f"`{i}`") for i in range(LAGS_PER_ROW)], "i", "correlation")

@@ -77,8 +77,8 @@ def _pairs(obs: DataFrame, target: str, strict: bool) -> DataFrame:
     others = spread(seen.filter(F.col("series") != target), "series")
     fit = (F.count("v") >= MIN_SAMPLES) & (F.min("v") < F.max("v"))
     if strict:
-        # One target row per date: bounded by the calendar, so it is broadcast.
-        t = F.broadcast(seen.filter(F.col("series") == target).select("d", F.col("v").alias("tv")))
+        # One target row per date: bounded by the calendar, whatever the raw rows.
+        t = seen.filter(F.col("series") == target).groupBy("d").agg(F.max("v").alias("tv"))
         both = F.collect_list(F.when(F.col("tv").isNotNull(), F.struct("d", "v", "tv")))
         c = others.join(t, "d", "left").groupBy("series").agg(fit.alias("valid"), F.array_sort(both).alias("a"))
         return c.select("series", "valid", F.lit(True).alias("overlap"), F.transform("a", lambda x: x["v"]).alias("c"),

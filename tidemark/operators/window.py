@@ -57,18 +57,26 @@ def _apply_op(obs: DataFrame, op: str, chosen: Column, year_rows: int) -> DataFr
     return obs.withColumn("v", F.when(chosen, new).otherwise(F.col("v")))
 
 
-def transform(obs: DataFrame, config: DataFrame, freq: str = "W-FRI", max_ops: int = 3) -> DataFrame:
+#: Operations in one chain; each is a window over the same partitioning.
+MOST_OPS = 24
+
+
+def transform(obs: DataFrame, config: DataFrame, freq: str = "W-FRI") -> DataFrame:
     """Run each variable's own chain of ``log``, ``diff_1`` and ``diff_yoy``.
 
-    ``config(variable, zero_method, ops)`` is joined by name; the chain is a
-    fixed number of steps in one plan, every step on the same partitioning."""
+    ``config(variable, zero_method, ops)`` is joined by name.  The plan has as
+    many steps as the longest chain, all on the same partitioning; a chain of
+    more than ``MOST_OPS`` operations is an error."""
+    longest = config.agg(F.max(F.size(F.filter("ops", lambda o: o != "none")))).first()[0] or 0
+    if longest > MOST_OPS:
+        raise ValueError(f"a chain has {longest} operations; at most {MOST_OPS} are allowed")
     rows = vocab.YEAR_ROWS.get(freq, 52)
     joined = obs.join(config.select(F.col("variable").alias("series"), "zero_method",
                                     F.filter("ops", lambda o: o != "none").alias("_ops")), "series", "left")
     zero = (F.when((F.col("v") == 0) & (F.col("zero_method") == "missing"), None)
             .when((F.col("v") == 0) & (F.col("zero_method") == "adjust"), F.lit(1.0)).otherwise(F.col("v")))
     out = joined.withColumn("original", F.col("v")).withColumn("v", zero)
-    for step in range(max_ops):
+    for step in range(longest):
         here = F.get(F.col("_ops"), F.lit(step))
         for op in ("log", "diff_1", "diff_yoy"):
             out = _apply_op(out, op, F.coalesce(here == op, F.lit(False)), rows)

@@ -24,7 +24,10 @@ def train(panel: DataFrame, s: Setting, variables: list[str], method: str | None
         F.lit(s.target).alias("model_id"), "d", F.col("series").alias("variable"), "v")
     components = factor.spectrum(models, s.train_start, s.train_end)
     if factor_rule != "fixed":
-        s = replace(s, k=factor.choose_factors(components, factor_rule).first()["k"])
+        number = factor.choose_factors(components, factor_rule).first()
+        if number["problem"]:
+            raise ValueError(number["problem"])
+        s = replace(s, k=number["k"])
     target = panel.filter(F.col("series") == s.target).select("d", "v")
     out = factor.fit(models, s.k, s.train_start, s.train_end, s.max_iter, s.tolerance)
     nowcast, loading = factor.forecast(out["factors"], target, s.k, s.train_start, s.train_end)

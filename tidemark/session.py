@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Spark reads only Unicode and Latin charsets unless this is on; GBK files need it.
+    "spark.sql.legacy.javaCharsets": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -21,7 +23,9 @@ DEFAULTS = {
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
+    folder = os.environ.get("TIDEMARK_CHECKPOINTS") or tempfile.mkdtemp(prefix="spark-")
     builder = (SparkSession.builder.master(f"local[{cores}]").appName("tidemark")
+               .config("spark.checkpoint.dir", folder)
                .config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions)))
     for key, value in DEFAULTS.items():
@@ -32,8 +36,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only a local session may
-    fall back to a folder of its own."""
+    """Use the folder the session names; a session without one is refused
+    unless it is local, where a folder of its own is made and kept in it."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -41,7 +45,9 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     if shared:
         sc.setCheckpointDir(shared)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        made = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", made)
+        sc.setCheckpointDir(made)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 

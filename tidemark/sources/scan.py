@@ -13,17 +13,24 @@ from tidemark.functions import numeric, text
 
 
 def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
-    """Header CSV with every column as text.  Without an encoding, UTF-8 is
-    kept unless some line fails to decode, which means a GBK family file."""
+    """Header CSV with every column as text.
+
+    Without an encoding each file has its own: UTF-8, unless a line of it fails
+    to decode, which means a GBK family file.  Files of one encoding are one
+    scan, and columns that one of the two lacks are null there.  GBK needs the
+    session setting ``spark.sql.legacy.javaCharsets``, see ``tidemark.session``."""
     if encoding is None:
-        broken = spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1)
-        encoding = "GB18030" if broken.count() else "UTF-8"
-    if encoding.upper().startswith("GB"):
-        # Spark reads only Unicode and Latin charsets unless this is on.
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+        broken = [r[0] for r in spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.is_valid_utf8("value").alias("ok"))
+                  .groupBy("f").agg(F.bool_and("ok").alias("ok")).filter("not ok").select("f").collect()]
+        if broken:
+            names = spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct()
+            good = [r[0] for r in names.filter(~F.col("f").isin(broken)).collect()]
+            parts = [read_csv(spark, files, code) for files, code in ((good, "UTF-8"), (broken, "GB18030")) if files]
+            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+        encoding = "UTF-8"
     df = spark.read.csv(path, header=True, encoding=encoding)
     first = df.columns[0]
-    return df.withColumnRenamed(first, first.lstrip("﻿"))
+    return df.withColumnRenamed(first, first.lstrip("\ufeff"))
 
 
 def read_wide(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
@@ -34,10 +41,19 @@ def read_wide(spark: SparkSession, path: str | list[str], encoding: str | None =
     return read_csv(spark, path, encoding)
 
 
-def time_column(df: DataFrame) -> str:
-    """The only date or timestamp column, else the first column."""
+#: Values of the first column that are tried as dates.
+TRIED = 5
+
+
+def time_column(df: DataFrame) -> str | None:
+    """The only date or timestamp column; none if there are several; without
+    any, the first column if one of its first values reads as a date."""
     timed = [n for n, t in df.dtypes if t in ("date", "timestamp", "timestamp_ntz")]
-    return timed[0] if len(timed) == 1 else df.columns[0]
+    if timed or not df.columns:
+        return timed[0] if len(timed) == 1 else None
+    first = F.col(f"`{df.columns[0]}`")
+    tried = df.select(first.cast("string").alias("t")).filter(F.col("t").isNotNull()).limit(TRIED)
+    return None if tried.filter(parse_date(F.col("t")).isNotNull()).isEmpty() else df.columns[0]
 
 
 def parse_date(raw: Column) -> Column:
@@ -47,6 +63,8 @@ def parse_date(raw: Column) -> Column:
 def melt(df: DataFrame, time_col: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Wide to long text cells: ``(d_text, series, v_text, *keep)``."""
     time_col = time_col or time_column(df)
+    if time_col is None:
+        raise ValueError("no time column is plain; name one")
     values = [c for c in df.columns if c != time_col and c not in keep]
     wide = df.select(F.col(time_col).cast("string").alias("d_text"), *keep,
                      *[F.col(f"`{c}`").cast("string").alias(c.strip()) for c in values])
@@ -124,8 +142,9 @@ def route_by_frequency(obs: DataFrame, dictionary: DataFrame) -> DataFrame:
     freq = dictionary.select("name_norm", "freq").filter(F.col("freq").isNotNull())
     # Names are folded once per series, not once per observation.
     names = obs.select("series").distinct().withColumn("name_norm", text.normalize_text(F.col("series")))
-    tagged = obs.join(names.join(freq, "name_norm").select("series", "freq"), "series")
-    return tagged.groupBy("series", "freq", "d").agg(F.max_by("v", "src_pos").alias("v"))
+    # Raw rows are reduced before the join, so a hot series is a short one there.
+    last = obs.groupBy("series", "d").agg(F.max_by("v", "src_pos").alias("v"))
+    return last.join(names.join(freq, "name_norm").select("series", "freq"), "series").select("series", "freq", "d", "v")
 
 
 def indicator_dictionary(raw: DataFrame, order_col: str) -> DataFrame:
