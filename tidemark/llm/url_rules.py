@@ -118,9 +118,9 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", row: str = "page
     def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         held = list(right[["_low", "_path", "_name", "verdict"]].itertuples(index=False, name=None))
         got = sweep(left["_key"].tolist(), left["path"].tolist(), held)
-        return pd.DataFrame({"_row": left["_row"], "host": left["host"], "path": left["path"],
+        return pd.DataFrame({"_row": left["_row"].tolist(), "host": left["host"].tolist(), "path": left["path"].tolist(),
                              "rule": [held[g][2] if g >= 0 else None for g in got],
-                             "verdict": [held[g][3] if g >= 0 else default for g in got]})
+                             "verdict": [held[g][3] if g >= 0 else default for g in got]}, dtype=object)
 
     out = rows.groupBy("_range").cogroup(stops.groupBy("_range")).applyInPandas(one, made)
     return out.select(F.col("_row").cast(pages.schema[row].dataType).alias(row), "host", "path", "rule", "verdict")
