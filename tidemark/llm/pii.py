@@ -306,7 +306,6 @@ def digest(marked: DataFrame) -> DataFrame:
     """Counts of base spans by kind, their hash, and all spans as one text."""
     words = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("pii_spans", lambda s: s["base"])
-    out = marked
-    for kind in KINDS:
-        out = out.withColumn(f"n_{kind}", F.size(F.filter("pii_spans", lambda s, k=kind: s["base"] & (s["kind"] == k))).cast("long"))
+    of_kind = lambda kind: F.filter("pii_spans", lambda s: s["base"] & (s["kind"] == kind))
+    out = marked.withColumns({f"n_{kind}": F.size(of_kind(kind)).cast("long") for kind in KINDS})
     return out.withColumn("base_sha256", F.sha2(words(base), 256)).withColumn("spans", words(F.col("pii_spans")))
