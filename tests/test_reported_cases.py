@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import factor, lagged, window
+from tidemark.operators import factor, lagged, rank, window
 from tidemark.sources import scan
 
 D = dt.date
@@ -75,3 +75,14 @@ def test_raw_target_rows_do_not_multiply_pairs(spark):
     twice = obs.unionByName(obs.filter("series = 't'"))
     key = lambda df: {(r["lag"]): r["correlation"] for r in lagged.lagged_correlation(df, "t", 3).collect()}
     assert key(obs) == key(twice)
+
+
+def test_a_hot_key_in_a_narrow_range_is_split(spark):
+    rows = [("hot", 1.0 + i * 1e-9) for i in range(9000)] + [(f"k{i % 10}", i * 1000.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    counts = df.groupBy("k", F.col("v").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    share = rank._bucketed(counts, ["k"], 64).groupBy("k", "_b").count().agg(F.max("count")).first()[0]
+    assert share <= 9000 // 32
+    got = {(r["k"], r["v"]): r["rank"] for r in rank.rank_descending(df, ["k"], F.col("v")).collect()}
+    ordered = sorted((v for k, v in rows if k == "hot"), reverse=True)
+    assert all(got["hot", v] == i + 1 for i, v in enumerate(ordered))

@@ -10,11 +10,19 @@ from tidemark.session import cut_lineage
 BUCKETS = 64
 
 
-def _cuts(df: DataFrame, value: str, buckets: int) -> list[float]:
-    """Approximate quantiles of the ranked value: at most ``buckets`` doubles
-    on the driver, only used to split work, never to decide a rank."""
+def _bucketed(counts: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+    """Distinct values with the value range ``_b`` they fall in.
+
+    Each key has cuts of its own, approximate quantiles of its distinct values,
+    so a key whose values lie close together is split as finely as any other.
+    Cuts only split work, they never decide a rank."""
     probs = [i / buckets for i in range(1, buckets)]
-    return sorted(set(df.approxQuantile(value, probs, 0.005)))
+    number = lambda cuts: F.size(F.filter(cuts, lambda c: c < F.col("_v")))
+    if not keys:
+        cuts = sorted(set(counts.approxQuantile("_v", probs, 0.005)))
+        return counts.withColumn("_b", number(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")))
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_v", probs, 2000).alias("_cuts"))
+    return counts.join(cuts, keys).withColumn("_b", number(F.col("_cuts"))).drop("_cuts")
 
 
 def rank_descending(df: DataFrame, keys: list[str], value: Column, name: str = "rank",
@@ -27,11 +35,7 @@ def rank_descending(df: DataFrame, keys: list[str], value: Column, name: str = "
     are materialised first: ranks join back on the value itself, which must not
     be summed anew in another order."""
     valued = cut_lineage(df.withColumn("_v", value.cast("double")))
-    cuts = _cuts(valued, "_v", buckets)
-    cut_array = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<double>")
-    bucket = F.size(F.filter(cut_array, lambda c: c < F.col("_v")))
-    counts = (valued.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_b", bucket))
+    counts = _bucketed(valued.filter(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")), keys, buckets)
     above = Window.partitionBy(*keys, "_b").orderBy(F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, -1)
     inside = counts.withColumn("_above", F.coalesce(F.sum("_n").over(above), F.lit(0)))
     higher = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
