@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,28 +36,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; a session without one is refused
-    unless it is local, where a folder of its own is made and kept in it."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        made = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", made)
-        sc.setCheckpointDir(made)
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; one without it
+    is refused unless it is local, where a folder is made and kept."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so iterative jobs keep short plans and a
-    lost executor costs a re-read, not a replay of every earlier round."""
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as Parquet to the shared folder and read back, so
+    that iterative jobs keep short plans, later joins know its size and prune
+    its columns, and a lost executor costs a re-read, not a replay of every
+    earlier round.  The files are removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
