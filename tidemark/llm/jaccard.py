@@ -9,27 +9,28 @@ because it must also agree on a partition that holds something.  (This is the
 enumeration with first-level subsets of one partition; ``e`` makes up for the
 second level.)
 
-Texts with one signature are first compared with the smallest of them, which
-joins copies and their families in linear work.  Signatures whose texts are
-then still in different components are what is left: texts that share fewer of
-them than a link needs are dropped, and every pair of different components
-that remains is compared.  Comparisons are exact, on whole sets."""
+Texts with one signature are first compared with the one of them that has most
+signatures, which joins families of copies in linear work.  Signatures whose
+texts are then still in different components are what is left: texts that share
+fewer of them than a link needs are dropped, and of the others those pairs of
+different components are compared that share one of their rarest elements, as
+any link must.  Comparisons are exact, on whole sets."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
 from tidemark.llm.components import components
-from tidemark.llm.store import partitions, slices, stored
+from tidemark.llm.store import dealt, partitions, slices, small_batches, stored
 
 SHINGLE = 5
 #: Similarity as a fraction, exact in whole numbers.
 NEAR = (4, 5)
-FLUSH = 1_500_000
+FLUSH = 700_000
 
 
 def bands(most: int, near: tuple[int, int] = NEAR) -> np.ndarray:
@@ -125,14 +126,14 @@ def set_table(docs: DataFrame, text: str, row: str, n: int = SHINGLE) -> DataFra
 
 
 def shared_signatures(docs: DataFrame, text: str, row: str, n: int, near: tuple[int, int]) -> DataFrame:
-    """(sig, center, row, need) for signatures of more than one text.  Within a
-    batch only the first of equal sets is signed; signatures travel as arrays."""
-    buckets = 4 * partitions(docs.sparkSession)
+    """(sig, center, row, need) for signatures of more than one of ``docs``, the
+    center being the smallest of them.  Signatures travel as arrays."""
+    buckets = partitions(docs.sparkSession)
     wide = np.dtype("<i8")
 
     def sign(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size, seen = 0, set()
+        size = 0
 
         def flush():
             v, r, k = (np.concatenate(x) for x in zip(*held))
@@ -145,32 +146,17 @@ def shared_signatures(docs: DataFrame, text: str, row: str, n: int, near: tuple[
                 pa.array([x[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()) for x in (v, r, k)], ["bucket", "v", "r", "k"])
 
         for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy().astype(wide)
-            order = np.argsort(ids, kind="stable")
-            batch, ids, known = batch.take(pa.array(order)), ids[order], known[order]
-            seen.clear()
+            ids = batch.column(0).to_numpy().astype(wide)
             for i, j, data, offsets in slices(batch.column(1)):
                 elements, sizes = shingle_sets(data, offsets, n)
-                cut = np.concatenate(([0], np.cumsum(sizes)))
-                new = []
-                for d in np.flatnonzero((sizes > 0) & known[i:j]).tolist():
-                    key = hash(elements[cut[d]:cut[d + 1]].tobytes()), int(sizes[d])
-                    if key not in seen:
-                        seen.add(key)
-                        new.append(d)
-                if not new:
-                    continue
-                chosen = np.zeros(len(sizes), bool)
-                chosen[new] = True
-                v, s, needs = signatures(elements[np.repeat(chosen, sizes)], sizes[chosen], near)
-                held.append((v, ids[i:j][chosen][s], np.minimum(needs, 255).astype(np.uint8)[s]))
+                v, s, needs = signatures(elements, sizes, near)
+                held.append((v, ids[i:j][s], np.minimum(needs, 255).astype(np.uint8)[s]))
                 size += len(v)
                 if size >= FLUSH:
                     yield from flush()
                     held.clear()
                     size = 0
-        if held:
+        if size:
             yield from flush()
 
     def meet(batches):
@@ -198,7 +184,7 @@ def shared_signatures(docs: DataFrame, text: str, row: str, n: int, near: tuple[
                                              ["sig", "center", "row", "need"])
 
     signed = docs.select(F.col(row).cast("long"), text).mapInArrow(sign, "bucket int, v binary, r binary, k binary")
-    return signed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(meet, "sig long, center long, row long, need int")
+    return dealt(signed, "bucket").mapInArrow(meet, "sig long, center long, row long, need int")
 
 
 def _twins(v: np.ndarray) -> np.ndarray:
@@ -208,29 +194,32 @@ def _twins(v: np.ndarray) -> np.ndarray:
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, text: str, row: str, n: int) -> DataFrame:
-    """(row, elements) of the texts named by ``rows``."""
+    """(row, elements, two sorted bytes of each) of the texts named by ``rows``."""
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in slices(batch.column(1)):
                 elements, sizes = shingle_sets(data, offsets, n)
                 cut = np.concatenate(([0], np.cumsum(sizes)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(
-                    [elements[cut[d]:cut[d + 1]].tobytes() for d in range(j - i)], pa.binary())], ["row", "elements"])
+                each = [elements[cut[d]:cut[d + 1]] for d in range(j - i)]
+                thin = [np.sort((e & W.U(0xFFFF)).astype(np.uint16)).tobytes() for e in each]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([e.tobytes() for e in each], pa.binary()), pa.array(thin, pa.binary())],
+                                                 ["row", "elements", "thin"])
 
     chosen = docs.select(F.col(row).cast("long").alias("row"), text).join(rows, "row", "left_semi")
     # Repeated rows of one id: the set that is smallest by its bytes stands for it.
-    return chosen.mapInArrow(run, "row long, elements binary").groupBy("row").agg(F.min("elements").alias("elements"))
-
+    out = chosen.mapInArrow(run, "row long, elements binary, thin binary")
+    if docs.groupBy(row).count().filter("count > 1").isEmpty():
+        return out
+    return out.groupBy("row").agg(F.min(F.struct("elements", "thin")).alias("s")).select("row", "s.*")
 
-def linked(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough."""
-    p, q = near
 
+def _similar(p: int, q: int, kind):
+    """Pairs whose sorted arrays have enough values of the smaller in the larger."""
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), W.U), np.frombuffer(y.as_buffer(), W.U)
+                x, y = np.frombuffer(x.as_buffer(), kind), np.frombuffer(y.as_buffer(), kind)
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if len(small) * q < len(large) * p:
                     keep.append(False)
@@ -240,8 +229,30 @@ def linked(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFram
                 keep.append(both * q >= (len(x) + len(y) - both) * p)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    held = pairs.join(sets.withColumnsRenamed({"row": "a", "elements": "x"}), "a").join(sets.withColumnsRenamed({"row": "b", "elements": "y"}), "b")
-    return held.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return run
+
+
+def linked(pairs: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar enough."""
+    p, q = near
+    run, bound = _similar(p, q, W.U), _similar(p, q, np.uint16)
+    # Most pairs fall to an upper bound by two bytes of each element, a quarter of the data.
+    return _both(_both(pairs, sets, "thin").mapInArrow(bound, "a long, b long"), sets, "elements").mapInArrow(run, "a long, b long")
+
+
+def _both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    side = lambda name, as_: sets.select(F.col("row").alias(name), F.col(column).alias(as_))
+    return pairs.select("a", "b").join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+
+
+def _hubs(shared: DataFrame) -> DataFrame:
+    """Each text of a signature with the one of them that has most signatures:
+    in a family of edited copies that is the text nearest to all others."""
+    degree = shared.groupBy("row").agg(F.count(F.lit(1)).alias("degree"))
+    rows = shared.select("sig", "row").join(degree, "row")
+    hub = rows.groupBy("sig").agg(F.max(F.struct("degree", (-F.col("row")).alias("row"))).alias("hub")).select("sig", (-F.col("hub.row")).alias("hub"))
+    pairs = rows.join(hub, "sig").filter("hub <> row").groupBy("row", "hub").agg(F.lit(1))
+    return pairs.select(F.least("hub", "row").alias("a"), F.greatest("hub", "row").alias("b")).distinct()
 
 
 def _left_over(shared: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,6 +267,38 @@ def _left_over(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return now
 
 
+def _rare_pairs(rest: DataFrame, sets: DataFrame, near: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of rows of different labels that share one of their rarest
+    elements.  Linked sets share most elements, so whatever the order of all
+    elements, they share one among the first few of each; rarest first, a
+    passage that very many texts share is never among them."""
+    p, q = near
+    rows = rest.select("row", "label").distinct().join(sets, "row")
+
+    def spread(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                each = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("elements")]
+                n = np.array([len(e) for e in each])
+                at = pa.array(np.repeat(np.arange(len(each)), n))
+                yield pa.RecordBatch.from_arrays([part.column("row").take(at), part.column("label").take(at), pa.array(np.repeat(n, n).astype(np.int32)), pa.array(np.concatenate(each))],
+                                                 ["row", "label", "size", "element"])
+
+    tokens = stored(rows.select("row", "label", "elements").mapInArrow(spread, "row long, label long, size int, element long"), "elements")
+    often = tokens.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(Window.partitionBy("row").orderBy("often", "element"))
+    first = tokens.join(often.filter("often > 1"), "element", "left").withColumn("often", F.coalesce("often", F.lit(1))).withColumn("place", place)
+    # The others of a row come later than all that a link may lack.
+    first = stored(first.filter((F.col("often") > 1) & (F.col("place") <= F.col("size") - F.ceil(F.col("size") * p / q) + 1)).select("element", "row", "label", "size", "place"), "rarest")
+    other = first.select("element", F.col("row").alias("b"), F.col("label").alias("label_b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"))
+    fits = (F.col("label") < F.col("label_b")) & (F.col("size") * q >= F.col("size_b") * p) & (F.col("size_b") * q >= F.col("size") * p)
+    # From the first element that two sets share only what follows it can be shared.
+    most = F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b")) + 1
+    fits &= most * (p + q) >= (F.col("size") + F.col("size_b")) * p
+    return first.join(other, "element").filter(fits).select(F.col("row").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", row: str = "doc_id", shingle: int = SHINGLE, near: tuple[int, int] = NEAR) -> DataFrame:
     """One row per row of ``docs``: its id, n_shingles and component_id (the smallest
     id reachable by links, its own included).
@@ -263,29 +306,41 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", row: str = "doc_id",
     A text of fewer than ``shingle`` words is one shingle; a null, empty or
     wordless text has none and is a component of its own.  Equal texts under
     different ids are linked.  A row with a null id takes the component of
-    texts with its set, or null.  Rows that repeat an id with different texts
-    share one component per text.  Other columns are not carried."""
+    texts with its set, or null.  Rows that repeat an id are linked with each
+    other's partners.  Other columns are not carried."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[row].dataType
     sets = stored(set_table(docs, text, row, shingle).withColumn("row", F.col("row").cast("long")), "sets")
     first = sets.filter("size > 0 and row is not null").groupBy("h1", "h2", "size").agg(F.min("row").alias("first"))
-    shared = shared_signatures(docs, text, row, shingle, near)
     # Equal sets count as one: their smallest id.
-    named = sets.filter("size > 0 and row is not null").join(first, ["h1", "h2", "size"]).select("row", "first").distinct()
-    names = stored(named, "names")
-    shared = shared.join(names, "row").select("sig", F.col("first").alias("row"), "need").distinct()
-    center = shared.groupBy("sig").agg(F.min("row").alias("center"), F.max("row").alias("last")).filter("center <> last")
-    shared = stored(shared.join(center.select("sig", "center"), "sig"), "signatures")
+    named = docs.select(F.col(row).cast("long").alias("row"), text)
+    named = named.join(first.select(F.col("first").alias("row")), "row", "left_semi")
+    shared = stored(shared_signatures(named, text, "row", shingle, near), "signatures")
     elements = stored(sets_of(docs, shared.select("row").distinct(), text, row, shingle), "elements")
-    pairs = shared.filter("center <> row").select(F.col("center").alias("a"), F.col("row").alias("b")).distinct()
+    pairs = _hubs(shared)
     links = stored(linked(pairs, elements, near), "near")
     labels = components(links)
     rest = stored(_left_over(shared.select("sig", "row", "need"), labels), "rest")
-    other = rest.select("sig", F.col("row").alias("b"), F.col("label").alias("label_b"), F.col("need").alias("need_b"))
-    across = (rest.join(other, "sig").filter("label < label_b").groupBy(F.col("row").alias("a"), "b")
-              .agg(F.count(F.lit(1)).alias("n"), F.max(F.greatest("need", "need_b")).alias("least")).filter("n >= least"))
-    more = linked(across.select("a", "b"), elements, near)
+    more = linked(_rare_pairs(rest, elements, near), elements, near)
     labels = components(links.unionByName(more))
     of_set = first.join(labels.withColumnRenamed("node", "first"), "first", "left").withColumn("label", F.coalesce("label", "first"))
     out = sets.join(of_set.select("h1", "h2", "size", "label"), ["h1", "h2", "size"], "left")
     own = F.when(F.col("size") > 0, F.col("label")).otherwise(F.col("row"))
     return out.select(F.col("row").cast(kind).alias(row), F.col("size").alias("n_shingles"), own.cast(kind).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, text: str = "text", row: str = "doc_id", **rules) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with all
+    their columns; of rows that repeat an id one stays.  Rows with a null id
+    stay unless an equal text has one."""
+    found = stored(near_duplicates(docs, text=text, row=row, **rules), "components")
+    chosen = found.filter(F.col(row) == F.col("component_id")).select(F.col(row).alias("_row"))
+    out = docs.join(chosen.hint("shuffle_hash"), docs[row] == chosen["_row"], "left_semi")
+    if not chosen.groupBy("_row").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([row])
+    if not found.filter(F.col(row).isNull()).isEmpty():
+        # Without an id of its own a text is only known by its words; equal ones stay once.
+        lone = docs.filter(F.col(row).isNull()).dropDuplicates([text])
+        known = docs.filter(F.col(row).isNotNull()).select(F.xxhash64(text).alias("_text"))
+        out = out.unionByName(lone.join(known, F.xxhash64(text) == F.col("_text"), "left_anti"))
+    return out

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Shuffle files of a written table are of no more use once it is written.
@@ -53,7 +54,38 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def slices(column: pa.Array, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def dealt(df: DataFrame, bucket: str) -> DataFrame:
+    """Partition by a bucket number below ``partitions``, which is the partition."""
+    return df.repartitionById(partitions(df.sparkSession), F.col(bucket))
+
+
+#: Rows of long texts in an Arrow batch; Spark's own number suits short rows.
+BATCH_ROWS, USUAL_ROWS = "1000", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts cross to Python in batches of fewer rows from now on, unless
+    the session has a number of its own: batches lie outside the heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, USUAL_ROWS) == USUAL_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def regroup(batches, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``limit`` bytes of a string column."""
+    held, size = [], 0
+    for batch in batches:
+        for i, j, data, _ in slices(batch.column(column), limit):
+            held.append(batch.slice(i, j - i))
+            size += len(data)
+            if size >= limit:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of a string column with about ``limit`` bytes of text at
     most: first row, end row, bytes, and offsets into them.  A null is empty.
     One longer text is a run of its own, whole."""
