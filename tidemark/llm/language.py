@@ -16,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import regroup
+
 #: Texts per language to learn from (about so many, drawn by a hash of text), and languages at most.
 SAMPLE, MOST_LANGUAGES = 1500, 256
 BUCKETS = 1 << 16
 #: Cost of a change of language, in natural log units; share of a language's letters that makes a script one of its own.
 PENALTY, LEAST_SCRIPT = 6.0, 0.02
 CHUNK = 1 << 20
+#: Texts labelled together hold about so many bytes.
+TOGETHER = 8 << 20
 
 #: Script ranges of Unicode blocks: first code point and script number, to the next.
 SCRIPTS = [(0x0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x900, 6), (0x980, 7), (0xA00, 8), (0xB80, 9), (0xC00, 10),
@@ -204,9 +208,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", penalty: floa
         return spans.cast(SPANS), [m.names[k] if c else "und" for k, c in zip(pick, counts)], share
 
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2000):
-                part = batch.slice(i, 2000)
+        for batch in regroup(batches, body, TOGETHER):
+            for i in range(0, batch.num_rows, 4000):
+                part = batch.slice(i, 4000)
                 texts = [t or "" for t in part.column(body).to_pylist()]
                 if not shared.value.names:
                     spans, names, share = pa.nulls(len(texts), SPANS), ["und"] * len(texts), np.zeros(len(texts))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import gru
 from tidemark.llm import words as W
-from tidemark.llm.store import slices, stored
+from tidemark.llm.store import regroup, slices, stored
 
 #: Output words, groups of the others, words whose counts are broadcast.
 WORDS, GROUPS, KNOWN = 2000, 128, 1 << 18
@@ -124,6 +124,7 @@ def fit(docs: DataFrame, text: str, lex: Lexicon, *, sample: int = SAMPLE, shard
     number = rows.count()
     if not number:
         return net
+    shards = max(1, min(shards, number // 500))  # few texts need all updates in one shard
     draw = F.pmod(F.xxhash64(text), F.lit(1_000_003)) / F.lit(1_000_003.0)
     words = spark.sparkContext.broadcast(lex)
 
@@ -181,7 +182,7 @@ def score(docs: DataFrame, lex: Lexicon, net: gru.Net, counts: DataFrame, *, tex
         lexis, model = shared.value
         key = TaskContext.get().partitionId() << 33
         log_counts = np.log10(lexis.counts + 0.5)
-        for batch in batches:
+        for batch in regroup(batches, 1, TOGETHER):
             for i, j, data, offsets in slices(batch.column(1), TOGETHER):
                 h, g, place, log_base, n = [], [], [], [], []
                 known_by, out_by = [], []
