@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.store import partitions, slices, stored
+from tidemark.llm.store import dealt, partitions, regroup, slices, small_batches, stored
 
 SPAN, GRAM = 50, 16
 #: Strings in a segment at most; different segments of one hash in a shard at most.
 SEGMENT, SHARE = 512, 4096
+#: Shards, each with a suffix array of its own, that one task works through.
+SHARDS = 32
+#: Bytes of text whose equal segments are combined before they are sent.
+TOGETHER = 8 << 20
 U = W.U
 REPEAT, SOURCE, TEST = 0, 1, 2
 
@@ -225,12 +229,11 @@ def _found(doc, start, number, h, s, salt, role) -> pa.RecordBatch:
 def _candidates(docs: DataFrame, text: str, row: str) -> DataFrame:
     """Segments that equal one of a smaller document (REPEAT), and those that
     have to be compared byte by byte (SOURCE, and TEST if they may repeat)."""
-    n_parts = partitions(docs.sparkSession)
-    buckets = 8 * n_parts
+    buckets = partitions(docs.sparkSession)
     kinds = {"h": U, "s": U, "doc": np.int64, "start": np.int32, "number": np.int32, "known": np.int8}
 
     def cut(batches):
-        for batch in batches:
+        for batch in regroup(batches, 1, TOGETHER):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             ids, body = ids[order], batch.column(1).take(pa.array(order))
@@ -238,19 +241,19 @@ def _candidates(docs: DataFrame, text: str, row: str) -> DataFrame:
             for i, _, data, offsets in slices(body, 512 << 10):
                 at, number, h, s = segments(data, offsets)
                 d = np.searchsorted(offsets, at, "right") - 1
-                for c, v in zip(cols, (h, s, ids[i + d], at - offsets[d], number)):
+                for c, v in zip(cols, (h, s, ids[i + d], (at - offsets[d]).astype(np.int32), number.astype(np.int32))):
                     c.append(v)
-            h, s, doc, start, number = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
+            h, s, doc, start, number = (np.concatenate(c) for c in cols)
             if not len(h):
                 continue
-            # Equal segments of this batch: later documents repeat the first, so one row says all of them.
+            # Equal segments met here: later documents repeat the first, so one row says all of them.
             order = np.argsort(s, kind="stable")
             h, s, doc, start, number = (v[order] for v in (h, s, doc, start, number))
             new = np.concatenate(([True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])))
             first = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             known = (doc > first).astype(np.int8)
             bucket = np.where(known, W.mix(doc.astype(U)), h >> U(17)) % U(buckets)
-            yield _blobs(bucket.astype(np.int64), [h, s, doc, start.astype(np.int32), number.astype(np.int32), known], list(kinds))
+            yield _blobs(bucket.astype(np.int64), [h, s, doc, start, number, known], list(kinds))
 
     def meet(batches):
         h, s, doc, start, number, known = _joined(batches, kinds)
@@ -284,20 +287,19 @@ def _candidates(docs: DataFrame, text: str, row: str) -> DataFrame:
 
     named = docs.filter(F.col(row).isNotNull()).select(F.col(row).cast("long"), text)
     parts = named.mapInArrow(cut, "bucket int, " + ", ".join(f"{k} binary" for k in kinds))
-    return parts.repartition(n_parts, "bucket").mapInArrow(meet, FOUND)
+    return dealt(parts, "bucket").mapInArrow(meet, FOUND)
 
 
 def _compared(docs: DataFrame, found: DataFrame, text: str, row: str) -> DataFrame:
     """(kind, doc, start, number, key) from the suffix arrays: runs of repeated
     strings (kind 0), and strings of split hashes still to be merged (kind 1)."""
-    n_parts = partitions(docs.sparkSession)
-    buckets = 8 * n_parts
-    kinds = {"doc": np.int64, "start": np.int32, "number": np.int32, "role": np.int8, "split": np.int8}
+    buckets = partitions(docs.sparkSession)
+    kinds = {"doc": np.int64, "start": np.int32, "number": np.int32, "role": np.int8, "split": np.int8, "shard": np.uint8}
     wanted = found.filter(F.col("role") > REPEAT).groupBy("doc").agg(F.collect_list(F.struct("start", "number", "h", "s", "salt", "role")).alias("parts"))
 
     def fetch(batches):
         for batch in batches:
-            cols = [[] for _ in range(6)]
+            cols = [[] for _ in range(7)]
             heads = []
             lists = batch.column(2)
             flat, cuts = lists.values, lists.offsets.to_numpy()
@@ -314,34 +316,39 @@ def _compared(docs: DataFrame, found: DataFrame, text: str, row: str) -> DataFra
                 a0, b0 = np.where(fits, a, 0), np.where(fits, b, 0)
                 fits &= W.mix((sums[b0] - sums[a0]) * back[a0] + number[at:end].astype(U)).view(np.int64) == s[at:end]
                 k = np.flatnonzero(fits)
-                bucket = W.mix(h[at:end][k].view(U) + (salt[at:end][k].astype(np.int64).view(U) + U(1)) * U(0x9E3779B97F4A7C15)) % U(buckets)
-                heads.append(bucket.astype(np.int64))
-                for c, v in zip(cols, (ids[i + d[k]].astype(np.int64), start[at:end][k], number[at:end][k], role[at:end][k].astype(np.int8), (salt[at:end][k] >= 0).astype(np.int8))):
+                mixed = W.mix(h[at:end][k].view(U) + (salt[at:end][k].astype(np.int64).view(U) + U(1)) * U(0x9E3779B97F4A7C15))
+                heads.append(((mixed >> U(8)) % U(buckets)).astype(np.int64))
+                for c, v in zip(cols, (ids[i + d[k]].astype(np.int64), start[at:end][k], number[at:end][k], role[at:end][k].astype(np.int8), (salt[at:end][k] >= 0).astype(np.int8),
+                                       (mixed & U(SHARDS - 1)).astype(np.uint8))):
                     c.append(v)
                 raw = data.tobytes()
-                cols[5] += [raw[x:y] for x, y in zip(a[k].tolist(), b[k].tolist())]
+                cols[6] += [raw[x:y] for x, y in zip(a[k].tolist(), b[k].tolist())]
             if not heads:
                 continue
             bucket = np.concatenate(heads)
             order = np.argsort(bucket, kind="stable")
-            out = _blobs(bucket, [np.concatenate(c) for c in cols[:5]], list(kinds))
+            out = _blobs(bucket, [np.concatenate(c) for c in cols[:6]], list(kinds))
             starts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0))) if len(bucket) else np.zeros(0, np.int64)
             ends = np.append(starts[1:], len(bucket))
-            texts = [b"".join(cols[5][x] for x in order[a:b]) for a, b in zip(starts, ends)]
+            texts = [b"".join(cols[6][x] for x in order[a:b]) for a, b in zip(starts, ends)]
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(texts, pa.binary())], ["bucket", *kinds, "bytes"])
 
     def sort(batches):
-        doc, start, number, role, split, text_ = _joined(batches, kinds | {"bytes": np.uint8})
-        if not len(doc):
-            return
+        doc, start, number, role, split, part, text_ = _joined(batches, kinds | {"bytes": np.uint8})
+        ends = np.cumsum(number.astype(np.int64) + SPAN - 1)
+        for k in np.unique(part):
+            own = np.flatnonzero(part == k)
+            raw = np.concatenate([text_[ends[i] - number[i] - SPAN + 1:ends[i]] for i in own])
+            yield from shard(doc[own], start[own], number[own], role[own], split[own], raw)
+
+    def shard(doc, start, number, role, split, text_):
         lengths = number.astype(np.int64) + SPAN - 1
         begins = np.cumsum(lengths) - lengths
         repeated, inside = shard_repeats(text_, lengths, number, doc)
         tested = np.repeat(role == TEST, lengths)
         a, b = _runs(repeated & tested, begins)
         seg = np.searchsorted(begins, a, "right") - 1
-        at = start[seg] + (a - begins[seg])
-        yield _strings(0, doc[seg], at, b - a + 1, None)
+        yield _strings(0, doc[seg], start[seg] + (a - begins[seg]), b - a + 1, None)
         left = np.flatnonzero(inside & ~repeated & np.repeat(split == 1, lengths))
         raw = text_.tobytes()
         for i in range(0, len(left), 20_000):
@@ -351,7 +358,7 @@ def _compared(docs: DataFrame, found: DataFrame, text: str, row: str) -> DataFra
 
     body = docs.filter(F.col(row).isNotNull()).select(F.col(row).cast("long").alias("doc"), text).join(wanted, "doc")
     parts = body.select("doc", text, "parts").mapInArrow(fetch, "bucket int, " + ", ".join(f"{k} binary" for k in [*kinds, "bytes"]))
-    return parts.repartition(n_parts, "bucket").mapInArrow(sort, "kind int, doc long, start int, number int, key binary")
+    return dealt(parts, "bucket").mapInArrow(sort, "kind int, doc long, start int, number int, key binary")
 
 
 def _strings(kind, doc, start, number, keys) -> pa.RecordBatch:
@@ -391,7 +398,7 @@ RUNS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
 def repeats(docs: DataFrame, *, text: str = "text", row: str = "doc_id") -> DataFrame:
-    """(row, text, removed_runs, kept_bytes) for every row of ``docs``.
+    """(row, n_bytes, removed_runs, kept_bytes) for every row of ``docs``.
 
     removed_runs are the places in bytes (end exclusive) covered by a string of
     ``SPAN`` bytes that also starts in a document with a smaller id, as judged
@@ -399,6 +406,7 @@ def repeats(docs: DataFrame, *, text: str = "text", row: str = "doc_id") -> Data
     fewer bytes than ``SPAN``, keeps all.  A row with a null id is compared with
     nothing.  Rows that share an id are one document; each loses its places.
     Other columns are not carried."""
+    small_batches(docs.sparkSession)
     found = stored(_candidates(docs, text, row), "segments")
     compared = stored(_compared(docs, found, text, row), "compared")
     runs = (found.filter(F.col("role") == REPEAT).select("doc", "start", "number")
@@ -408,9 +416,10 @@ def repeats(docs: DataFrame, *, text: str = "text", row: str = "doc_id") -> Data
 
     def drop(batches):
         for batch in batches:
-            removed, kept = [], []
+            removed, kept, sizes = [], [], []
             for body, parts in zip(batch.column(1), batch.column(2)):
                 raw = np.frombuffer(body.as_buffer(), np.uint8) if body.is_valid else np.zeros(0, np.uint8)
+                sizes.append(len(raw))
                 if not parts.is_valid or not len(raw):
                     removed.append([])
                     kept.append(raw.tobytes())
@@ -424,14 +433,14 @@ def repeats(docs: DataFrame, *, text: str = "text", row: str = "doc_id") -> Data
                 x, y = _runs(gone, np.zeros(0, np.int64))
                 removed.append([{"start": int(p), "end": int(q) + 1} for p, q in zip(x, y)])
                 kept.append(raw[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, RUNS), pa.array(kept, pa.binary())], [row, text, "removed_runs", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, RUNS), pa.array(kept, pa.binary())], [row, "n_bytes", "removed_runs", "kept_bytes"])
 
     joined = docs.select(row, text).join(of_doc, F.col(row).cast("long") == F.col("doc"), "left").select(row, text, "parts")
-    return joined.mapInArrow(drop, f"`{row}` {kind}, `{text}` string, removed_runs array<struct<start:int,end:int>>, kept_bytes binary")
+    return joined.mapInArrow(drop, f"`{row}` {kind}, n_bytes long, removed_runs array<struct<start:int,end:int>>, kept_bytes binary")
 
 
-def digest(found: DataFrame, text: str = "text") -> DataFrame:
+def digest(found: DataFrame) -> DataFrame:
     """Counts and the hash of what is kept."""
     gone = F.aggregate("removed_runs", F.lit(0).cast("long"), lambda a, r: a + (r["end"] - r["start"]).cast("long"))
-    return (found.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("long")).withColumn("n_removed", gone)
-            .withColumn("n_spans", F.size("removed_runs").cast("long")).withColumn("kept_sha256", F.sha2("kept_bytes", 256)).drop(text, "removed_runs", "kept_bytes"))
+    return (found.withColumn("n_removed", gone).withColumn("n_spans", F.size("removed_runs").cast("long"))
+            .withColumn("kept_sha256", F.sha2("kept_bytes", 256)).drop("removed_runs", "kept_bytes"))
