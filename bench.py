@@ -10,6 +10,7 @@ import time
 from pyspark.sql import functions as F
 
 from tidemark.catalogue import QUERIES, bases
+from tidemark.catalogue.alignment import bounds
 from tidemark.operators import align, contribution, lagged, stationarity, warping, window
 from tidemark.session import local_session
 
@@ -27,7 +28,7 @@ def by_part(spark, stamp):
 
 
 def gap_and_borrow(spark):
-    aligned = align.align_weekly(by_part(spark, F.col("l_shipdate")), "1996-01-01", "1999-12-31")
+    aligned = align.align_weekly(by_part(spark, F.col("l_shipdate")), *bounds(spark, SF_DIR))
     return window.gap_report(aligned)
 
 
@@ -48,6 +49,8 @@ HEADLINES = {
     "yoy_asof": lambda s: align.year_on_year(bases.sparse(s, SF_DIR)),
     "panel_preparation": lambda s: QUERIES["prepare_panel"](s, SF_DIR),
     "revision_contributions": lambda s: QUERIES["normalized_impacts"](s, SF_DIR),
+    "contribution_ranks": lambda s: QUERIES["contribution_ranks"](s, SF_DIR),
+    "principal_components": lambda s: QUERIES["principal_components"](s, SF_DIR),
 }
 
 

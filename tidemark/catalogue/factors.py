@@ -21,13 +21,15 @@ GRID = """pn AS (SELECT l_linestatus AS model_id, r_name || '/' || l_returnflag
       CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 3e0 - 1.5 AS f1, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 3e0 - 1.2 AS f2 FROM lineitem GROUP BY 1, 2)"""
 
 
-def _panel(spark, sf):
-    """The balanced panel of each line status, 15 variables."""
+def _panel(spark, sf, by_flag=True):
+    """The balanced panel of each line status: a variable per region and return
+    flag (15), or per region (5)."""
+    name = F.concat_ws("/", "r_name", "l_returnflag") if by_flag else F.col("r_name")
     t = lambda n: bases.table(spark, sf, n)
     place = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
         t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
     sums = t("lineitem").join(place, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(
-        F.col("l_linestatus").alias("model_id"), F.concat_ws("/", "r_name", "l_returnflag").alias("variable"),
+        F.col("l_linestatus").alias("model_id"), name.alias("variable"),
         bases._friday("l_shipdate").alias("d")).agg(bases._total(bases._cents("l_extendedprice")).alias("v"))
     weeks = sums.groupBy("model_id").agg(F.collect_set("d").alias("w"))
     grid = sums.select("model_id", "variable").distinct().join(weeks, "model_id").select(
@@ -84,6 +86,18 @@ def principal_components(spark, sf):
     return factor.spectrum(_panel(spark, sf), T0, T1)
 
 
+@query("component_traces", "model_id:s total:f squares:f", f"""WITH {GRID}, t AS (SELECT g.model_id, g.variable, g.d, pn.v FROM (SELECT * FROM (SELECT DISTINCT model_id, variable FROM pn) a JOIN (SELECT DISTINCT model_id AS m, d FROM pn) b ON a.model_id = b.m) g
+      LEFT JOIN pn ON pn.model_id = g.model_id AND pn.variable = g.variable AND pn.d = g.d WHERE g.d BETWEEN DATE '{T0}' AND DATE '{T1}'),
+    m AS (SELECT model_id, variable, avg(v) AS mu, stddev_samp(v) AS sd FROM t GROUP BY 1, 2 HAVING count(v) > 1 AND min(v) < max(v)),
+    z AS (SELECT t.model_id, t.variable, d, coalesce((v - mu) / sd, 0) AS z FROM t JOIN m ON m.model_id = t.model_id AND m.variable = t.variable),
+    c AS (SELECT a.model_id, a.variable AS x, b.variable AS y, covar_samp(a.z, b.z) AS c FROM z a JOIN z b ON a.model_id = b.model_id AND a.d = b.d GROUP BY 1, 2, 3)
+    SELECT model_id, sum(c) FILTER (x = y) AS total, sum(c * c) AS squares FROM c GROUP BY 1""")
+def component_traces(spark, sf):
+    """Sum and sum of squares of all eigenvalues: trace and squared norm of the correlations."""
+    c = factor.spectrum(_panel(spark, sf), T0, T1)
+    return c.groupBy("model_id").agg(F.sum("eigenvalue").alias("total"), F.sum(F.col("eigenvalue") * F.col("eigenvalue")).alias("squares"))
+
+
 @query("factor_count", "model_id:s k:n rule:s problem:s")
 def factor_count(spark, sf):
     from tidemark.session import cut_lineage
@@ -126,7 +140,14 @@ def target_loading(spark, sf):
 
 
 def _fit(spark, sf):
-    return factor.fit(_panel(spark, sf), 2, T0, T1, max_iter=4)
+    return factor.fit(_panel(spark, sf), 2, T0, T1)
+
+
+@query("dynamic_convergence", "model_id:s rounds:n converged:b")
+def dynamic_convergence(spark, sf):
+    return _fit(spark, sf)["log"]
+
+
 
 
 @query("dynamic_factors", "model_id:s d:d factor:n v:f")
@@ -144,48 +165,60 @@ def dynamic_loadings(spark, sf):
     return _fit(spark, sf)["loadings"]
 
 
-def _one(spark, sf):
-    """A single target with its candidate predictors, as series."""
+def _one(spark, sf, model, by_flag):
+    """The target of one model with its candidate predictors, as series."""
     from tidemark.session import cut_lineage
-    p = _panel(spark, sf).filter("model_id = 'O'").select(F.col("variable").alias("series"), "d", "v")
-    t = bases.nowcast(spark, sf).filter("model_id = 'O'").select(F.lit("target").alias("series"), "d", "v")
+    p = _panel(spark, sf, by_flag).filter(F.col("model_id") == model).select(F.col("variable").alias("series"), "d", "v")
+    t = bases.nowcast(spark, sf).filter(F.col("model_id") == model).select(F.lit("target").alias("series"), "d", "v")
     return cut_lineage(p.unionByName(t))
 
 
-def _names(spark, sf):
-    return [r["r_name"] + "/" + f for r in bases.table(spark, sf, "region").select("r_name").collect() for f in "AN"]
+def _names(panel):
+    """All variables of a panel but the target."""
+    return sorted(r[0] for r in panel.filter("series <> 'target'").select("series").distinct().collect())
 
 
+# Rounds of each fit while sets are compared; a trained model has the default bound.
 SETTING = selection.Setting("target", 1, T0, T1, V0, V1, max_iter=2)
 
 
-@query("selection_round", "candidate_id:s is_rmse:f oos_rmse:f is_win:f oos_win:f")
+def _each_model(spark, sf, fn, by_flag=True):
+    """``fn(panel, names)`` of every model with all its variables, tagged."""
+    out = None
+    for model in ("F", "O"):
+        panel = _one(spark, sf, model, by_flag)
+        part = fn(panel, _names(panel)).withColumn("panel", F.lit(model))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("selection_round", "panel:s candidate_id:s is_rmse:f oos_rmse:f is_win:f oos_win:f")
 def selection_round(spark, sf):
-    names = sorted(_names(spark, sf))
-    return selection.change_one(_one(spark, sf), names, names, SETTING, "remove")
+    return _each_model(spark, sf, lambda p, names: selection.change_one(p, names, names, SETTING, "remove"))
 
 
-@query("stepwise_selection", "step:n action:s variable:s n_variables:n win_rate:f rmse:f")
+@query("stepwise_selection", "panel:s step:n action:s variable:s n_variables:n win_rate:f rmse:f")
 def stepwise_selection(spark, sf):
-    return selection.stepwise(_one(spark, sf), sorted(_names(spark, sf))[:4], SETTING)[1]
+    return _each_model(spark, sf, lambda p, names: selection.stepwise(p, names, SETTING)[1], by_flag=False)
 
 
-@query("backward_selection", "step:n action:s variable:s n_variables:n win_rate:f rmse:f")
+@query("backward_selection", "panel:s step:n action:s variable:s n_variables:n win_rate:f rmse:f")
 def backward_selection(spark, sf):
-    return selection.backward(_one(spark, sf), sorted(_names(spark, sf))[:4], SETTING)[1]
+    return _each_model(spark, sf, lambda p, names: selection.backward(p, names, SETTING)[1], by_flag=False)
 
 
-def _trained(spark, sf):
-    return train(_one(spark, sf), selection.Setting("target", 2, T0, T1, V0, V1, max_iter=3), _names(spark, sf))
+def _trained(panel, names):
+    return train(panel, selection.Setting("target", 2, T0, T1, V0, V1), names)
 
 
-@query("train_nowcast", "model_id:s period:s rmse:f mae:f win_rate:f")
+@query("train_nowcast", "panel:s model_id:s period:s rmse:f mae:f win_rate:f")
 def train_nowcast(spark, sf):
-    return _trained(spark, sf)["metrics"]
+    return _each_model(spark, sf, lambda p, names: _trained(p, names)["metrics"])
 
 
-@query("revision_analysis", "model_id:s month:d variable:s total_impact:f release_count:n contribution_pct:f")
+@query("revision_analysis", "panel:s model_id:s month:d variable:s total_impact:f release_count:n contribution_pct:f")
 def revision_analysis(spark, sf):
-    model = _trained(spark, sf)
-    observed = _one(spark, sf).select(F.lit("target").alias("model_id"), "d", F.col("series").alias("variable"), F.col("v").alias("observed"))
-    return analyse(observed, model, "target")["variables"]
+    def one(panel, names):
+        observed = panel.select(F.lit("target").alias("model_id"), "d", F.col("series").alias("variable"), F.col("v").alias("observed"))
+        return analyse(observed, _trained(panel, names), "target")["variables"]
+    return _each_model(spark, sf, one)
