@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words as W
-from tidemark.llm.store import slices
+from tidemark.llm.store import slices, small_batches
 
 #: Words in a window, and words in a shingle.
 WINDOW, SHINGLE = 13, 4
@@ -217,6 +217,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
     of ``docs`` may repeat, its ids may be null, and its columns may be called
     anything but the three added names, which replace columns so called."""
     spark = docs.sparkSession
+    small_batches(spark)
     chosen = []
     for rows in blocks(items, item, item_text, block_bytes):
         b = block(rows, window, shingle)

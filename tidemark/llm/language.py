@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import regroup
+from tidemark.llm.store import regroup, small_batches
 
 #: Texts per language to learn from (about so many, drawn by a hash of text), and languages at most.
 SAMPLE, MOST_LANGUAGES = 1500, 256
@@ -173,6 +173,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", penalty: floa
     of equals the first by name; the score is its share of the words.  A null
     text, or one without letters, is ``und`` with score 0 and no spans.  Texts
     are read whole; rows may repeat and any other column may be null."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in docs.columns if c not in ("lang_spans", "lang_pred", "lang_score")]
     body = carried.index(text)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import gru
 from tidemark.llm import words as W
-from tidemark.llm.store import regroup, slices, stored
+from tidemark.llm.store import regroup, slices, small_batches, stored
 
 #: Output words, groups of the others, words whose counts are broadcast.
 WORDS, GROUPS, KNOWN = 2000, 128, 1 << 18
@@ -235,6 +235,7 @@ def score(docs: DataFrame, lex: Lexicon, net: gru.Net, counts: DataFrame, *, tex
 
 def train_and_score(docs: DataFrame, train: DataFrame, *, text: str = "text", row: str = "doc_id") -> DataFrame:
     """Learn from ``train`` and score ``docs``."""
+    small_batches(docs.sparkSession)
     counts = stored(count_words(train, text), "counts")
     lex = lexicon(counts)
     return score(docs, lex, fit(train, text, lex), counts, text=text, row=row)

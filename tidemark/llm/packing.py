@@ -21,6 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 WINDOW = 2048
 #: Texts of about so many bytes are packed together.
 BATCH_BYTES = 24 << 20
@@ -149,6 +151,7 @@ def pack(docs: DataFrame, *, text: str = "text", row: str = "doc_id", tokenizer:
     Null and empty texts are the end token alone.  Every row is packed: rows may
     repeat and ids may be null (the piece's id is then null).  An empty table
     gives no pieces.  Other columns are not carried."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[row].dataType.simpleString()
     schema = f"`{row}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 

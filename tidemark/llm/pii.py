@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.store import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Texts to learn from (about so many), characters of one at most, tokens in a span, rounds.
 SAMPLE, SAMPLE_CHARS, MOST_TOKENS, ROUNDS = 2000, 20_000, 24, 60
@@ -263,6 +265,7 @@ def personal_data(docs: DataFrame, model: Field, *, text: str = "text", mark: st
 
     A null text stays null and, like an empty one, has no spans.  Rows may
     repeat and any other column may be null."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     carried = [c for c in docs.columns if c != "pii_spans"]
     body = carried.index(text)
