@@ -130,11 +130,13 @@ def train(net: Net, words: np.ndarray, begins: np.ndarray, rate: float = RATE, s
     net = Net(net.starts, p)
     starts, n = net.starts, p["wh"].shape[0]
     streams = max(1, min(streams, len(words) // steps))
-    length = len(words) // streams
+    length = -(-len(words) // streams)
     before = np.concatenate(([net.words], words[:-1]))
     before[begins] = net.words
-    cut = lambda x: x[:streams * length].reshape(streams, length).T
-    x_all, y_all, reset = cut(before), cut(words), cut(begins)
+    # The last streams are filled up with words that count for nothing.
+    fill = lambda x, v: np.concatenate((x, np.full(streams * length - len(x), v, x.dtype)))
+    cut = lambda x, v: fill(x, v).reshape(streams, length).T
+    x_all, y_all, reset, real_all = cut(before, net.words), cut(words, 0), cut(begins, True), cut(np.ones(len(words), bool), False)
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     state, loss, seen, updates = np.zeros((streams, n), np.float32), 0.0, 0, 0
@@ -149,16 +151,17 @@ def train(net: Net, words: np.ndarray, begins: np.ndarray, rate: float = RATE, s
             saved.append((hp, z, r, new, gh, h))
         state = h
         hs, target = np.concatenate([s[5] for s in saved]), y.ravel()
-        rows = len(target)
+        real = real_all[t0:t0 + steps].ravel()
+        rows = int(real.sum())
         kind = np.searchsorted(starts, target, "right") - 1
         g = {k: np.zeros_like(v) for k, v in p.items()}
         lp = _log_softmax(hs @ p["wc"] + p["bc"])
-        loss -= float(lp[np.arange(rows), kind].sum())
+        loss -= float(lp[np.arange(len(target)), kind][real].sum())
         d = np.exp(lp)
-        d[np.arange(rows), kind] -= 1
-        d /= rows
+        d[np.arange(len(target)), kind] -= 1
+        d *= real[:, None] / np.float32(rows)
         g["wc"], g["bc"], dhs = hs.T @ d, d.sum(axis=0), d @ p["wc"].T
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(np.where(real, kind, len(starts)), kind="stable")[:rows]
         cuts = np.searchsorted(kind[order], np.arange(len(starts)))
         for c in range(len(starts) - 1):
             at = order[cuts[c]:cuts[c + 1]]
@@ -195,9 +198,3 @@ def train(net: Net, words: np.ndarray, begins: np.ndarray, rate: float = RATE, s
             v -= rate * (m1[k] / (1 - 0.9 ** updates)) / (np.sqrt(m2[k] / (1 - 0.99 ** updates)) + 1e-8)
         seen += rows
     return net, loss / max(1, seen)
-
-
-def average(nets: list[tuple[Net, int]]) -> Net:
-    """The mean of the weights of several nets by the tokens they saw."""
-    total = sum(n for _, n in nets)
-    return Net(nets[0][0].starts, {k: (sum(net.p[k].astype(np.float64) * (n / total) for net, n in nets)).astype(np.float32) for k in nets[0][0].p})

@@ -3,15 +3,17 @@
 Word counts of all training texts are grouped in Spark.  The most frequent
 words, of a bounded number, are the model's output words; every other word is
 one of a fixed number of groups by its last letters, and has a smoothed share of
-its group's counts.  The recurrent net is trained in parallel on a bounded
-sample: in each round every task trains on its own shard from the same weights
-and the results are averaged.  All texts are then scored in full.
+its group's counts.  The recurrent net is trained in parallel on all training
+texts, whole: their tokens decide the number of shards, in each round every
+shard is trained from the same weights, and the results are averaged in lots
+before they reach the driver.  All texts are then scored in full.
 
 Counts of the most frequent words are broadcast, again of a bounded number; the
 few other words of each text are joined with the counts by hash."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +28,8 @@ from tidemark.llm.store import regroup, slices, small_batches, stored
 
 #: Output words, groups of the others, words whose counts are broadcast.
 WORDS, GROUPS, KNOWN = 2000, 128, 1 << 18
-#: Texts to train on (about so many), tokens of one at most, shards and rounds.
-SAMPLE, SAMPLE_TOKENS, SHARDS, ROUNDS = 4000, 5000, 6, 3
+#: Training tokens of a shard (about so many), and rounds over all of them.
+SHARD_TOKENS, ROUNDS = 1 << 20, 3
 #: Texts scored together hold about so many bytes.
 TOGETHER = 12 << 20
 END = W.mix(np.array([0x656E64], W.U))[0]
@@ -116,39 +118,38 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(total, kinds, h[by_hash], c[by_hash], output[by_hash], t, k, starts, place, weight[by_class])
 
 
-def fit(docs: DataFrame, text: str, lex: Lexicon, *, sample: int = SAMPLE, shards: int = SHARDS, rounds: int = ROUNDS) -> gru.Net:
-    """Train the net on about ``sample`` texts drawn by a hash of the text."""
+def fit(docs: DataFrame, text: str, lex: Lexicon, *, row: str | None = None, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> gru.Net:
+    """Train the net on all of ``docs``, every text to its end in every round.
+
+    Shards are dealt by the hash of id and text, so that copies are spread."""
     net = gru.new(lex.weights, lex.starts)
     spark = docs.sparkSession
-    rows = docs.filter(F.col(text).isNotNull()).select(text)
-    number = rows.count()
-    if not number:
-        return net
-    shards = max(1, min(shards, number // 500))  # few texts need all updates in one shard
-    draw = F.pmod(F.xxhash64(text), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    shards = max(1, round(lex.total / shard_tokens))
+    lots = max(1, math.isqrt(shards))
     words = spark.sparkContext.broadcast(lex)
 
     def encode(batches):
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(0)):
+            for i, j, data, offsets in slices(batch.column(1)):
                 h, g, n = tokens(data, offsets)
                 ids = words.value.outputs(words.value.find(h), g).astype("<i4")
                 cut = np.concatenate(([0], np.cumsum(n)))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[cut[d]:cut[d + 1]][:SAMPLE_TOKENS].tobytes() for d in range(j - i)], pa.binary())], ["ids"])
+                texts = pa.array([ids[cut[d]:cut[d + 1]].tobytes() for d in range(j - i)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), texts], ["shard", "ids"])
 
-    drawn = rows.filter(draw < sample / number).limit(4 * sample).mapInArrow(encode, "ids binary")
-    held = stored(drawn.withColumn("shard", F.pmod(F.xxhash64("ids"), F.lit(shards)).cast("int")), "sample")
+    shard = F.pmod(F.xxhash64(*[c for c in (row, text) if c]), F.lit(shards)).cast("int")
+    held = stored(docs.filter(F.col(text).isNotNull()).select(shard.alias("shard"), text).mapInArrow(encode, "shard int, ids binary"), "sample")
     for turn in range(rounds):
         now = spark.sparkContext.broadcast(net)
-        parts = held.groupBy("shard").applyInArrow(_shard(now, gru.RATE * (1 - 0.4 * turn)), "shard int, n long, loss double, w binary").orderBy("shard").collect()
-        nets = []
-        for part in parts:
-            flat, at, p = np.frombuffer(part["w"], "<f4"), 0, {}
+        parts = held.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(now, gru.RATE * (1 - 0.4 * turn)), "shard int, n long, w binary")
+        sums = stored(parts.groupBy((F.col("shard") % lots).alias("lot")).applyInArrow(_sum, "lot int, n long, w binary"), "weights").orderBy("lot").collect()
+        total = sum(s["n"] for s in sums)
+        if total:
+            flat, at, p = sum(np.frombuffer(s["w"], "<f8") for s in sums) / total, 0, {}
             for key in sorted(net.p):
-                p[key] = flat[at:at + net.p[key].size].reshape(net.p[key].shape).copy()
+                p[key] = flat[at:at + net.p[key].size].reshape(net.p[key].shape).astype(np.float32)
                 at += net.p[key].size
-            nets.append((gru.Net(net.starts, p), part["n"]))
-        net = gru.average(nets) if nets else net
+            net = gru.Net(net.starts, p)
         now.unpersist()
     return net
 
@@ -160,13 +161,21 @@ def _shard(now, rate: float):
         ids = [np.frombuffer(x, "<i4") for x in texts]
         begins = np.zeros(sum(map(len, ids)), bool)
         begins[np.cumsum([0] + [len(x) for x in ids[:-1]])] = True
-        got, loss = gru.train(now.value, np.concatenate(ids).astype(np.int64), begins, rate=rate)
+        got, _ = gru.train(now.value, np.concatenate(ids).astype(np.int64), begins, rate=rate)
         flat = np.concatenate([got.p[k].ravel() for k in sorted(got.p)]).astype("<f4").tobytes()
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(begins)], "loss": [loss], "w": pa.array([flat], pa.binary())})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(begins)], "w": pa.array([flat], pa.binary())})
 
     return run
 
 
+def _sum(key, group):
+    """Weights of a lot of shards summed by the tokens they saw, in order of shard."""
+    order = np.argsort(group.column("shard").to_numpy())
+    n, w = group.column("n").to_pylist(), group.column("w")
+    total = sum(np.frombuffer(w[i].as_py(), "<f4") * np.float64(n[i]) for i in order)
+    return pa.table({"lot": pa.array([key[0].as_py()], pa.int32()), "n": [sum(n)], "w": pa.array([total.astype("<f8").tobytes()], pa.binary())})
+
+
 def score(docs: DataFrame, lex: Lexicon, net: gru.Net, counts: DataFrame, *, text: str = "text", row: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its id, n_tokens, n_known, base_score and
     score (log10 probabilities under unigram counts and under the net).
@@ -238,4 +247,4 @@ def train_and_score(docs: DataFrame, train: DataFrame, *, text: str = "text", ro
     small_batches(docs.sparkSession)
     counts = stored(count_words(train, text), "counts")
     lex = lexicon(counts)
-    return score(docs, lex, fit(train, text, lex), counts, text=text, row=row)
+    return score(docs, lex, fit(train, text, lex, row=row), counts, text=text, row=row)
