@@ -21,10 +21,9 @@ GRID = """pn AS (SELECT l_linestatus AS model_id, r_name || '/' || l_returnflag
       CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) / 3e0 - 1.5 AS f1, CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS DOUBLE) / count(*) / 3e0 - 1.2 AS f2 FROM lineitem GROUP BY 1, 2)"""
 
 
-def _panel(spark, sf, by_flag=True):
-    """The balanced panel of each line status: a variable per region and return
-    flag (15), or per region (5)."""
-    name = F.concat_ws("/", "r_name", "l_returnflag") if by_flag else F.col("r_name")
+def _panel(spark, sf):
+    """The balanced panel of each line status: a variable per region and return flag."""
+    name = F.concat_ws("/", "r_name", "l_returnflag")
     t = lambda n: bases.table(spark, sf, n)
     place = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
         t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
@@ -165,10 +164,10 @@ def dynamic_loadings(spark, sf):
     return _fit(spark, sf)["loadings"]
 
 
-def _one(spark, sf, model, by_flag):
+def _one(spark, sf, model):
     """The target of one model with its candidate predictors, as series."""
     from tidemark.session import cut_lineage
-    p = _panel(spark, sf, by_flag).filter(F.col("model_id") == model).select(F.col("variable").alias("series"), "d", "v")
+    p = _panel(spark, sf).filter(F.col("model_id") == model).select(F.col("variable").alias("series"), "d", "v")
     t = bases.nowcast(spark, sf).filter(F.col("model_id") == model).select(F.lit("target").alias("series"), "d", "v")
     return cut_lineage(p.unionByName(t))
 
@@ -178,33 +177,32 @@ def _names(panel):
     return sorted(r[0] for r in panel.filter("series <> 'target'").select("series").distinct().collect())
 
 
-# Rounds of each fit while sets are compared; a trained model has the default bound.
-SETTING = selection.Setting("target", 1, T0, T1, V0, V1, max_iter=2)
+SETTING = selection.Setting("target", 1, T0, T1, V0, V1)
 
 
-def _each_model(spark, sf, fn, by_flag=True):
+def _each_model(spark, sf, fn):
     """``fn(panel, names)`` of every model with all its variables, tagged."""
     out = None
     for model in ("F", "O"):
-        panel = _one(spark, sf, model, by_flag)
+        panel = _one(spark, sf, model)
         part = fn(panel, _names(panel)).withColumn("panel", F.lit(model))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@query("selection_round", "panel:s candidate_id:s is_rmse:f oos_rmse:f is_win:f oos_win:f")
+@query("selection_round", "panel:s candidate_id:s is_rmse:f oos_rmse:f is_win:f oos_win:f rounds:n converged:b")
 def selection_round(spark, sf):
     return _each_model(spark, sf, lambda p, names: selection.change_one(p, names, names, SETTING, "remove"))
 
 
-@query("stepwise_selection", "panel:s step:n action:s variable:s n_variables:n win_rate:f rmse:f")
+@query("stepwise_selection", "panel:s step:n action:s variable:s n_variables:n win_rate:f rmse:f rounds:n converged:b")
 def stepwise_selection(spark, sf):
-    return _each_model(spark, sf, lambda p, names: selection.stepwise(p, names, SETTING)[1], by_flag=False)
+    return _each_model(spark, sf, lambda p, names: selection.stepwise(p, names, SETTING)[1])
 
 
-@query("backward_selection", "panel:s step:n action:s variable:s n_variables:n win_rate:f rmse:f")
+@query("backward_selection", "panel:s step:n action:s variable:s n_variables:n win_rate:f rmse:f rounds:n converged:b")
 def backward_selection(spark, sf):
-    return _each_model(spark, sf, lambda p, names: selection.backward(p, names, SETTING)[1], by_flag=False)
+    return _each_model(spark, sf, lambda p, names: selection.backward(p, names, SETTING)[1])
 
 
 def _trained(panel, names):

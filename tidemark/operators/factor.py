@@ -209,13 +209,14 @@ def _first_dynamics(factors: DataFrame, k: int) -> DataFrame:
             a = beta[1:].T
             q = np.diag(np.maximum(np.diag(np.cov(f[1:] - x @ beta, rowvar=False)), MIN_VARIANCE))
         return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "a": [a.ravel()], "q": [q.ravel()], "x0": [np.zeros(k)],
-                             "p0": [np.eye(k).ravel()], "last": [None], "done": [False]})
+                             "p0": [np.eye(k).ravel()], "last": [None], "done": [False], "rounds": [0]})
     return factors.groupBy("model_id").applyInPandas(fit, _dynamics_schema(factors))
 
 
 def _dynamics_schema(df: DataFrame) -> T.StructType:
     return T.StructType([df.schema["model_id"], *[T.StructField(n, DOUBLES) for n in ("a", "q", "x0", "p0")],
-                         T.StructField("last", T.DoubleType()), T.StructField("done", T.BooleanType())])
+                         T.StructField("last", T.DoubleType()), T.StructField("done", T.BooleanType()),
+                         T.StructField("rounds", T.IntegerType())])
 
 
 def _information(panel: DataFrame, params: DataFrame, k: int) -> DataFrame:
@@ -283,7 +284,7 @@ def _filter_and_smooth(k: int, tolerance: float):
         same = lambda m: [np.ravel(m)] * T_
         return pd.DataFrame({"model_id": pdf["model_id"], "d": pdf["d"], "f": list(xs), "xp": list(xp),
                              "pf": list(Pf.reshape(T_, -1)), "a": same(A), "q": same(Q), "x0": same(x0), "p0": same(P0),
-                             "last": loglik, "done": done, "first": [i == 0 for i in range(T_)]})
+                             "last": loglik, "done": done, "rounds": int(first["rounds"]) + (not first["done"]), "first": [i == 0 for i in range(T_)]})
     return run
 
 
@@ -298,7 +299,7 @@ def fit(panel: DataFrame, k: int, train_start, train_end, max_iter: int = 30, to
     The random control input of some implementations is fixed at zero.
 
     Returns ``factors``, ``predicted`` (prior states), ``loadings``, ``gains``
-    and ``log`` (rounds, likelihood, convergence)."""
+    and ``log`` (rounds of each model, likelihood, convergence)."""
     factors, params = static_factors(panel, k, train_start, train_end)
     dynamics = cut_lineage(_first_dynamics(factors, k))
     params = cut_lineage(params.select(*VARIABLE, F.coalesce("h", "w").alias("h"), "r"))
@@ -306,13 +307,13 @@ def fit(panel: DataFrame, k: int, train_start, train_end, max_iter: int = 30, to
     schema = T.StructType([panel.schema["model_id"], T.StructField("d", T.DateType()),
                            *[T.StructField(n, DOUBLES) for n in ("f", "xp", "pf", "a", "q", "x0", "p0")],
                            T.StructField("last", T.DoubleType()), T.StructField("done", T.BooleanType()),
-                           T.StructField("first", T.BooleanType())])
+                           T.StructField("rounds", T.IntegerType()), T.StructField("first", T.BooleanType())])
     step = _filter_and_smooth(k, tolerance)
-    for rounds in range(1, max_iter + 1):
+    for _ in range(max_iter):
         facts = _information(centred, params, k).join(dynamics, "model_id")
         states = cut_lineage(facts.groupBy("model_id").applyInPandas(step, schema))
         used = params
-        dynamics = states.filter("first").select("model_id", "a", "q", "x0", "p0", "last", "done")
+        dynamics = states.filter("first").select("model_id", "a", "q", "x0", "p0", "last", "done", "rounds")
         active = dynamics.filter(~F.col("done")).count()
         if active == 0:
             break
@@ -324,7 +325,7 @@ def fit(panel: DataFrame, k: int, train_start, train_end, max_iter: int = 30, to
         params = cut_lineage(moved.select(*VARIABLE, F.when(move, F.col("h2")).otherwise(F.col("h")).alias("h"),
                                           F.when(move, F.greatest("r2", F.lit(MIN_EIGENVALUE))).otherwise(F.col("r")).alias("r")))
     loadings = params.select(*VARIABLE, F.posexplode("h").alias("factor", "loading")).withColumn("factor", F.col("factor") + 1)
-    log = dynamics.select("model_id", F.lit(rounds).alias("rounds"), F.col("last").alias("loglik"), F.col("done").alias("converged"))
+    log = dynamics.select("model_id", "rounds", F.col("last").alias("loglik"), F.col("done").alias("converged"))
     return {"factors": scores(states, k), "predicted": scores(states, k, "xp").withColumnRenamed("v", "state"),
             "loadings": loadings, "variances": params.select(*VARIABLE, "r"),
             "gains": _gains(centred, used, states, k), "log": log}

@@ -31,7 +31,7 @@ class Setting:
 
 
 def evaluate_sets(panel: DataFrame, candidates: DataFrame, s: Setting) -> DataFrame:
-    """Training and validation metrics and score of every candidate set.
+    """Training and validation metrics, score, rounds and convergence of every candidate set.
 
     ``panel(series, d, v)`` holds target and predictors; ``candidates`` lists
     ``(candidate_id, variable)``.  All sets are models of one fit."""
@@ -47,7 +47,8 @@ def evaluate_sets(panel: DataFrame, candidates: DataFrame, s: Setting) -> DataFr
     wide = m.groupBy(F.col("model_id").alias("candidate_id")).agg(
         pick("training", "rmse").alias("is_rmse"), pick("validation", "rmse").alias("oos_rmse"),
         pick("training", "win_rate").alias("is_win"), pick("validation", "win_rate").alias("oos_win"))
-    return wide.withColumn("score", evaluation.weighted_score(
+    log = fitted["log"].select(F.col("model_id").alias("candidate_id"), "rounds", "converged")
+    return wide.join(log, "candidate_id").withColumn("score", evaluation.weighted_score(
         F.col("is_rmse"), F.col("oos_rmse"), F.col("is_win"), F.col("oos_win"), s.training_weight))
 
 
@@ -68,18 +69,19 @@ def change_one(panel: DataFrame, current: list[str], pool: list[str], s: Setting
 
 
 def _best(scored: DataFrame, s: Setting, incumbent: tuple | None):
-    """Name and score of a round's winner, and whether it beats the incumbent:
-    one row reaches the driver."""
+    """Name of a round's winner, its score with rounds and convergence of its fit,
+    and whether it beats the incumbent: one row reaches the driver."""
+    scored = cut_lineage(scored)
     w = evaluation.best_candidate(scored.withColumn("_g", F.lit(1)), ["_g"], **s.rule)
     mine = F.struct(*[F.lit(x).cast("double").alias(n) for n, x in zip(("win_rate", "rmse"), incumbent or (None, None))])
-    row = w.select("candidate_id", "win_rate", "rmse", evaluation.compare_scores(
+    row = w.join(scored.select("candidate_id", "rounds", "converged"), "candidate_id", "left").select("candidate_id", "win_rate", "rmse", "rounds", "converged", evaluation.compare_scores(
         F.struct("win_rate", "rmse"), mine, **s.rule).alias("verdict")).first()
-    return row["candidate_id"], (row["win_rate"], row["rmse"]), row["verdict"]
+    return row["candidate_id"], (row["win_rate"], row["rmse"], row["rounds"], row["converged"]), row["verdict"]
 
 
 def _history(panel: DataFrame, rows: list[tuple]) -> DataFrame:
     return panel.sparkSession.createDataFrame(
-        rows, "step int, action string, variable string, n_variables int, win_rate double, rmse double")
+        rows, "step int, action string, variable string, n_variables int, win_rate double, rmse double, rounds int, converged boolean")
 
 
 def backward(panel: DataFrame, variables: list[str], s: Setting) -> tuple[list[str], DataFrame]:
