@@ -11,8 +11,11 @@ from tidemark.llm.store import stored, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line frequencies keep."""
-    return quality.kept_documents(docs)
+    """Documents that the base rules and the line frequencies keep, without common lines."""
+    kept = quality.cleaned(docs)
+    changed = ~F.col("kept_text").eqNullSafe(F.col("text"))
+    n_chars = F.when(changed, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return kept.withColumn("n_chars", n_chars).withColumn("text", F.col("kept_text")).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

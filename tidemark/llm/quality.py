@@ -55,13 +55,24 @@ def base(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED))
 
 
+def _line_hash(host: str, line: str):
+    """Hash of a line and its host, in lower case and with single blanks."""
+    plain = F.trim(F.regexp_replace(F.lower(line), BLANKS, " "))
+    return F.xxhash64(F.col(host).isNull(), host, plain)
+
+
 def line_rows(docs: DataFrame, text: str, row: str, host: str) -> DataFrame:
     """A row for each line with a word: document, text hash, line hash, words."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = docs.select(F.col(row).alias("_row"), F.xxhash64(body).alias("_text"), F.col(host).alias("_host"), F.explode(F.split(body, "\n")).alias("_line"))
     lines = lines.withColumn("_w", F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+"))).filter("_w > 0")
-    plain = F.trim(F.regexp_replace(F.lower("_line"), BLANKS, " "))
-    return lines.select("_row", "_text", F.xxhash64(F.col("_host").isNull(), "_host", plain).alias("_hash"), "_w")
+    return lines.select("_row", "_text", _line_hash("_host", "_line").alias("_hash"), "_w")
+
+
+def common_lines(lines: DataFrame, max_docs: int) -> DataFrame:
+    """Hashes of lines held by more than ``max_docs`` distinct texts, and the text that keeps each."""
+    counts = lines.groupBy("_hash").agg(F.count_distinct("_text").alias("n"), F.min(F.struct("_row", "_text")).alias("_first"))
+    return counts.filter(F.col("n") > max_docs).select("_hash", F.col("_first._text").alias("_home"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source",
@@ -74,8 +85,7 @@ def judge(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str
     A null host is a host of its own; a null id is an id.  An empty table
     gives no rows.  Other columns are not carried."""
     lines = line_rows(docs, text, row, host)
-    counts = lines.groupBy("_hash").agg(F.count_distinct("_text").alias("n"), F.min(F.struct("_row", "_text")).alias("_first"))
-    common = counts.filter(F.col("n") > max_docs).select("_hash", F.col("_first._text").alias("_home"))
+    common = common_lines(lines, max_docs)
     removed = F.when(F.col("_home") != F.col("_text"), F.col("_w")).otherwise(F.lit(0))
     left = (lines.join(common, "_hash", "left").groupBy("_row", "_text")
             .agg(F.sum("_w").alias("_all"), F.sum(F.coalesce(removed, F.lit(0))).alias("_removed")))
@@ -99,3 +109,19 @@ def kept_documents(docs: DataFrame, *, text: str = "text", row: str = "doc_id",
     good = verdicts.filter("kept")
     match = docs[row].eqNullSafe(good["_row"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == good["_text"])
     return docs.join(good.hint("shuffle_hash"), match, "left_semi")
+
+
+def cleaned(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source", max_docs: int = MAX_DOCS, **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns and
+    kept_text: the text without its lines that ``judge`` counts as removed.
+    Other lines, blank ones too, stay as they are; a null text stays null."""
+    kept = stored(kept_documents(docs, text=text, row=row, host=host, max_docs=max_docs, **limits).withColumn("_body", F.coalesce(F.col(text), F.lit(""))), "kept")
+    # Lines are common among all documents, not only among those kept.
+    common = common_lines(line_rows(docs, text, row, host), max_docs)
+    held = kept.select(F.col(host).alias("_host"), "_body")
+    at = held.select("_host", F.xxhash64("_body").alias("_text"), F.posexplode(F.split("_body", "\n")).alias("_i", "_line"))
+    at = at.filter(F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+")) > 0).withColumn("_hash", _line_hash("_host", "_line"))
+    gone = at.join(common, "_hash").filter(F.col("_home") != F.col("_text")).groupBy("_host", "_text").agg(F.collect_set("_i").alias("_gone"))
+    match = (F.xxhash64(kept["_body"]) == gone["_text"]) & kept[host].eqNullSafe(gone["_host"])
+    rest = F.filter(F.split("_body", "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    return kept.join(gone, match, "left").withColumn("kept_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).select(*docs.columns, "kept_text")
