@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard, language, language_model, packing, pii, preference, quality, suffix_dedup, url_rules
+from tidemark.llm import decontamination, jaccard, language, language_model, manifest, packing, pii, preference, quality, suffix_dedup, url_rules
 from tidemark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,47 @@ SQL["op10_decontamination"] = f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_ext
 def op10_decontamination(spark, sf_dir):
     marked = decontamination.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return decontamination.digest(marked).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def without_line_breaks(row: str, text: str):
+    """The text without its line breaks where 2 divides the checksum of its row's id."""
+    even = F.crc32(F.col(row).cast("string")) % 2 == 0
+    return F.when(even, F.translate(F.col(text), "\n", "")).otherwise(F.col(text))
+
+
+def _field(name):
+    return f"coalesce(CAST(strlen(CAST({name} AS VARCHAR)) AS VARCHAR) || ':' || CAST({name} AS VARCHAR), '-')"
+
+
+def _leaf(text):
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+_PARENTS = "list_transform(range(0, len(ns), 3), lambda i: sha256(array_to_string(ns[i + 1:i + 3], '')))"
+_SIDES = "array_to_string(ns[p - p % 3 + 1:p], '') AS a, array_to_string(ns[p + 2:p - p % 3 + 3], '') AS b"
+# The checksum's polynomial, reflected, is 3988292384; SQL has bits but no checksum.
+SQL["op12_manifest"] = f"""WITH RECURSIVE c8 AS (SELECT CAST(range AS BIGINT) AS n, 0 AS k, CAST(range AS BIGINT) AS c FROM range(256)
+      UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM c8 WHERE k < 8),
+    tab AS (SELECT list(c ORDER BY n) AS t FROM c8 WHERE k = 8),
+    crc AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS s, 1 AS i, CAST(4294967295 AS BIGINT) AS c FROM documents WHERE doc_id IS NOT NULL
+      UNION ALL SELECT doc_id, s, i + 1, xor(t[CAST(xor(c, CAST(ascii(s[i]) AS BIGINT)) & 255 AS INTEGER) + 1], c >> 8) FROM crc, tab WHERE i <= length(s)),
+    even AS (SELECT doc_id FROM crc WHERE i = length(s) + 1 AND xor(c, 4294967295) % 2 = 0),
+    d AS (SELECT d.*, CASE WHEN e.doc_id IS NULL THEN text ELSE replace(text, chr(10), '') END AS shown FROM documents d LEFT JOIN even e ON e.doc_id = d.doc_id),
+    h AS (SELECT doc_id, source, {_leaf('text')} AS leaf, {_leaf('shown')} AS presented FROM d),
+    l AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, row_number() OVER () AS r FROM h),
+    tree AS (SELECT source, 0 AS k, list(leaf ORDER BY pos) AS ns FROM l GROUP BY source UNION ALL SELECT source, k + 1, {_PARENTS} FROM tree WHERE len(ns) > 1),
+    subs AS (SELECT source, ns[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM tree WHERE len(ns) = 1),
+    tops AS (SELECT 0 AS k, list(subroot ORDER BY pos) AS ns FROM subs UNION ALL SELECT k + 1, {_PARENTS} FROM tops WHERE len(ns) > 1),
+    steps AS (SELECT r, k, {_SIDES} FROM (SELECT r, k, ns, CAST(pos // CAST(3 ** k AS BIGINT) AS BIGINT) AS p FROM l JOIN tree t ON t.source IS NOT DISTINCT FROM l.source WHERE len(ns) > 1)
+      UNION ALL SELECT r, 100 + k, {_SIDES} FROM (SELECT r, k, ns, CAST(s.pos // CAST(3 ** k AS BIGINT) AS BIGINT) AS p FROM l JOIN subs s ON s.source IS NOT DISTINCT FROM l.source, tops WHERE len(ns) > 1)),
+    way AS (SELECT r, list(a ORDER BY k) AS a, list(b ORDER BY k) AS b, sha256(string_agg(a || b, '' ORDER BY k)) AS proof_sha256 FROM steps GROUP BY r),
+    fold AS (SELECT r, 0 AS k, presented AS node FROM l UNION ALL SELECT f.r, f.k + 1, sha256(a[f.k + 1] || node || b[f.k + 1]) FROM fold f JOIN way w ON w.r = f.r AND f.k < len(a))
+    SELECT doc_id, leaf, subroot, (SELECT ns[1] FROM tops WHERE len(ns) = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, node AS folded_root,
+      node = (SELECT ns[1] FROM tops WHERE len(ns) = 1) AS verified
+    FROM l JOIN subs s ON s.source IS NOT DISTINCT FROM l.source LEFT JOIN way w ON w.r = l.r JOIN fold f ON f.r = l.r AND f.k = coalesce(len(w.a), 0)"""
+
+
+@query
+def op12_manifest(spark, sf_dir):
+    proved = manifest.manifest(table(spark, sf_dir, "documents"), tampered=without_line_breaks("doc_id", "text"))
+    return manifest.digest(proved).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
