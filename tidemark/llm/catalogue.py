@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, jaccard, language, language_model, manifest, packing, pii, preference, quality, suffix_dedup, url_rules
+from tidemark.llm import (decontamination, jaccard, language, language_model, lexical_search, manifest, packing, pii, preference, quality, secret_scan,
+                          suffix_dedup, url_rules)
 from tidemark.llm.store import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +149,23 @@ def op10_decontamination(spark, sf_dir):
     return decontamination.digest(marked).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+_TERMS = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+SQL["op11_lexical_search"] = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_TERMS}, []) AS w FROM documents),
+    q AS (SELECT item_id, text, term, count(*) AS c FROM (SELECT item_id, text, unnest({_TERMS}) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+    s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+    t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+    f AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t, s GROUP BY term, docs),
+    m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * docs) // terms AS m FROM d, s WHERE terms > 0),
+    z AS (SELECT item_id, text, doc_id, r, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN t USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY ALL),
+    o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST) AS rank, doc_id, score FROM z WHERE score > 0)
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 20"""
+
+
+@query
+def op11_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def without_line_breaks(row: str, text: str):
     """The text without its line breaks where 2 divides the checksum of its row's id."""
     even = F.crc32(F.col(row).cast("string")) % 2 == 0
@@ -190,3 +208,45 @@ SQL["op12_manifest"] = f"""WITH RECURSIVE c8 AS (SELECT CAST(range AS BIGINT) AS
 def op12_manifest(spark, sf_dir):
     proved = manifest.manifest(table(spark, sf_dir, "documents"), tampered=without_line_breaks("doc_id", "text"))
     return manifest.digest(proved).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _quoted(x):
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _found(pattern, group):
+    """Matches with the group's text and their place, from the lengths of what lies between."""
+    lengths = "coalesce(list_sum(list_transform({}, lambda x: length(x))), 0)"
+    start = f"CAST({lengths.format('g[1:i]')} + {lengths.format('m[1:i - 1]')} AS BIGINT)"
+    return f"""SELECT r, b[i] AS body, {start} AS s, {start} + length(m[i]) AS e FROM (SELECT r, m, b, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r,
+      regexp_extract_all(t, {_quoted(pattern)}, 0) AS m, regexp_extract_all(t, {_quoted(pattern)}, {group}) AS b, string_split_regex(t, {_quoted(pattern)}) AS g FROM d))"""
+
+
+def _dense(c):
+    terms = f"[{', '.join(map(str, c.terms))}]"
+    total = f"list_sum(list_transform(list_distinct(string_split(win, '')), lambda ch: {terms}[CAST({c.window} - length(replace(win, ch, '')) + 1 AS INTEGER)]))"
+    return f"""SELECT r, {secret_scan.KINDS.index(c.kind)} AS k, min(j) AS s, max(j) + {c.window} AS e FROM (SELECT *, sum(fresh) OVER (PARTITION BY r, place ORDER BY j) AS island FROM (
+      SELECT *, CASE WHEN j - lag(j) OVER (PARTITION BY r, place ORDER BY j) <= {c.window} THEN 0 ELSE 1 END AS fresh FROM (
+      SELECT r, s AS place, s + j AS j, substr(body, CAST(j + 1 AS INTEGER), {c.window}) AS win FROM (SELECT r, s, body, unnest(range(0, length(body) - {c.window} + 1)) AS j FROM worth
+        WHERE {"" if c is secret_scan.HEXADECIMAL else "NOT "}regexp_matches(body, '^[0-9A-Fa-f]+$') AND length(body) >= {c.window}))
+      WHERE regexp_matches(win, '[0-9]') AND regexp_matches(win, '[^0-9]') AND {total} <= {c.most})) GROUP BY r, place, island"""
+
+
+_SPANS = "string_agg([" + ", ".join(map(_quoted, secret_scan.KINDS)) + "][k + 1] || ':' || s || ':' || e, ',' ORDER BY s, k, e)"
+SQL["op13_secret_scan"] = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+    base AS ({" UNION ALL ".join(f"SELECT r, {k} AS k, s, e FROM ({_found(p, g)}) WHERE length(body) >= {n}" for k, (p, g, n) in enumerate(secret_scan.BASE.values()))}),
+    worth AS (SELECT * FROM ({_found(secret_scan.CANDIDATE, 0)}) WHERE regexp_matches(body, '[0-9]')
+      AND NOT list_bool_and(list_transform(string_split_regex(body, {_quoted(secret_scan.SEPARATORS)}), lambda p: regexp_matches(p, {_quoted(secret_scan.WORD)})))
+      {" ".join(f"AND NOT regexp_matches(body, {_quoted(p)})" for p in secret_scan.ALLOWED)}),
+    more AS ({" UNION ALL ".join(_dense(c) for c in secret_scan.CLASSES)}),
+    spans AS (SELECT r, k, s, e FROM base UNION ALL SELECT r, k, s, e FROM more WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = more.r AND b.s <= more.s AND b.e >= more.e)),
+    n AS (SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, {_SPANS} AS spans FROM base GROUP BY r),
+    a AS (SELECT r, {_SPANS} AS spans FROM spans GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(n.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+    FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN a ON a.r = d.r"""
+
+
+@query
+def op13_secret_scan(spark, sf_dir):
+    scanned = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secret_scan.digest(scanned).select("doc_id", *[f"n_{k}" for k in secret_scan.BASE], "base_sha256", "spans")
