@@ -1,5 +1,8 @@
 """Panels, factors, models, selection, pipelines."""
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from tidemark.catalogue import bases
@@ -164,12 +167,11 @@ def dynamic_loadings(spark, sf):
     return _fit(spark, sf)["loadings"]
 
 
-def _one(spark, sf, model):
+def _one(panel, nowcast, model):
     """The target of one model with its candidate predictors, as series."""
-    from tidemark.session import cut_lineage
-    p = _panel(spark, sf).filter(F.col("model_id") == model).select(F.col("variable").alias("series"), "d", "v")
-    t = bases.nowcast(spark, sf).filter(F.col("model_id") == model).select(F.lit("target").alias("series"), "d", "v")
-    return cut_lineage(p.unionByName(t))
+    p = panel.filter(F.col("model_id") == model).select(F.col("variable").alias("series"), "d", "v")
+    t = nowcast.filter(F.col("model_id") == model).select(F.lit("target").alias("series"), "d", "v")
+    return p.unionByName(t)
 
 
 def _names(panel):
@@ -181,13 +183,18 @@ SETTING = selection.Setting("target", 1, T0, T1, V0, V1)
 
 
 def _each_model(spark, sf, fn):
-    """``fn(panel, names)`` of every model with all its variables, tagged."""
-    out = None
-    for model in ("F", "O"):
-        panel = _one(spark, sf, model)
-        part = fn(panel, _names(panel)).withColumn("panel", F.lit(model))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """``fn(panel, names)`` of every model with all its variables, tagged.
+    Models are worked on side by side, their jobs share the cluster."""
+    from tidemark.session import cut_lineage
+    panel, nowcast = cut_lineage(_panel(spark, sf)), cut_lineage(bases.nowcast(spark, sf))
+    models = sorted(r[0] for r in panel.select("model_id").distinct().collect())
+
+    def work(model):
+        one = _one(panel, nowcast, model)
+        return fn(one, _names(one)).withColumn("panel", F.lit(model))
+
+    with ThreadPoolExecutor(max(1, len(models))) as pool:
+        return reduce(lambda a, b: a.unionByName(b), pool.map(work, models))
 
 
 @query("selection_round", "panel:s candidate_id:s is_rmse:f oos_rmse:f is_win:f oos_win:f rounds:n converged:b")

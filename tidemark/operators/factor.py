@@ -13,18 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import window
+from tidemark.operators import dynamics, window
+from tidemark.operators.dynamics import GAIN_JITTER, MIN_EIGENVALUE, MIN_VARIANCE
 from tidemark.session import cut_lineage
 
 MODEL = ["model_id"]
 VARIABLE = ["model_id", "variable"]
 
-# Starting dynamics of one factor and numerical floors.
-FIRST_AR = 0.95
-FIRST_Q = 0.1
-MIN_VARIANCE = 1e-6
-MIN_EIGENVALUE = 1e-7
-GAIN_JITTER = 1e-4
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
@@ -196,20 +191,12 @@ def static_factors(panel: DataFrame, k: int, train_start, train_end) -> tuple[Da
     return factors, params
 
 
-def _first_dynamics(factors: DataFrame, k: int) -> DataFrame:
-    """Starting transition and shock covariance: a first-order regression with
-    intercept, or fixed values for a single factor."""
+def _first_dynamics(factors: DataFrame, k: int, order: int) -> DataFrame:
     def fit(pdf):
         f = np.stack(pdf.sort_values("d")["f"].to_numpy())
-        if k == 1:
-            a, q = np.array([[FIRST_AR]]), np.array([[FIRST_Q]])
-        else:
-            x = np.column_stack([np.ones(len(f) - 1), f[:-1]])
-            beta, *_ = np.linalg.lstsq(x, f[1:], rcond=None)
-            a = beta[1:].T
-            q = np.diag(np.maximum(np.diag(np.cov(f[1:] - x @ beta, rowvar=False)), MIN_VARIANCE))
-        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "a": [a.ravel()], "q": [q.ravel()], "x0": [np.zeros(k)],
-                             "p0": [np.eye(k).ravel()], "last": [None], "done": [False], "rounds": [0]})
+        a, q = dynamics.first_dynamics(f, order)
+        return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "a": [a.ravel()], "q": [q.ravel()], "x0": [np.zeros(k * order)],
+                             "p0": [np.eye(k * order).ravel()], "last": [None], "done": [False], "rounds": [0]})
     return factors.groupBy("model_id").applyInPandas(fit, _dynamics_schema(factors))
 
 
@@ -239,56 +226,24 @@ def _information(panel: DataFrame, params: DataFrame, k: int) -> DataFrame:
         line(hard).alias("b0"), total(y * y / hard).alias("s0"), total(F.ln(hard)).alias("ld"))
 
 
-def _filter_and_smooth(k: int, tolerance: float):
+def _filter_and_smooth(k: int, order: int, tolerance: float):
     """Recursions over one model's dates, and the next dynamics from the result."""
     def run(pdf):
         pdf = pdf.sort_values("d").reset_index(drop=True)
-        grid = lambda c: np.stack(pdf[c].to_numpy()).reshape(-1, k, k)
-        line = lambda c: np.stack(pdf[c].to_numpy())
-        C, b, C0, b0 = grid("c"), line("b"), grid("c0"), line("b0")
-        first = pdf.iloc[0]
-        A, Q = np.reshape(first["a"], (k, k)), np.reshape(first["q"], (k, k))
-        x0, P0, eye = np.asarray(first["x0"]), np.reshape(first["p0"], (k, k)), np.eye(k)
-        T_ = len(pdf)
-        xf, xp, Pf, Pp = np.zeros((T_, k)), np.zeros((T_, k)), np.zeros((T_, k, k)), np.zeros((T_, k, k))
-        xf[0] = xp[0] = x0
-        Pf[0] = Pp[0] = P0
-        loglik = 0.0
-        for t in range(1, T_):
-            x, P = A @ xf[t - 1], A @ Pf[t - 1] @ A.T + Q + eye * MIN_VARIANCE
-            xp[t], Pp[t] = x, P
-            if pdf["n"][t] == 0:
-                xf[t], Pf[t] = x, P
-                continue
-            Pt = P @ np.linalg.inv(eye + C[t] @ P)
-            Pf[t] = (Pt + Pt.T) / 2
-            xf[t] = x + Pf[t] @ (b[t] - C[t] @ x)
-            u = b0[t] - C0[t] @ x
-            M = eye + C0[t] @ P
-            fit = pdf["s0"][t] - 2 * x @ b0[t] + x @ C0[t] @ x - u @ P @ np.linalg.solve(M, u)
-            loglik -= 0.5 * (pdf["n"][t] * np.log(2 * np.pi) + pdf["ld"][t] + np.linalg.slogdet(M)[1] + fit)
-        xs, Ps = xf.copy(), Pf.copy()
-        for t in range(T_ - 2, -1, -1):
-            J = np.linalg.solve(Pp[t + 1].T, A @ Pf[t].T).T
-            xs[t] = xf[t] + J @ (xs[t + 1] - xp[t + 1])
-            Ps[t] = Pf[t] + J @ (Ps[t + 1] - Pp[t + 1]) @ J.T
-        last = first["last"]
-        done = bool(first["done"]) or (last is not None and np.isfinite(last) and abs(loglik - last) < tolerance)
-        if not done:
-            before, after = xs[:-1], xs[1:]
-            A = np.linalg.solve((before.T @ before + eye * MIN_EIGENVALUE).T, (after.T @ before).T).T
-            shock = (after.T @ after - A @ (before.T @ before) @ A.T) / (T_ - 1)
-            values, vecs = np.linalg.eigh((shock + shock.T) / 2)
-            Q = vecs @ np.diag(np.maximum(values, MIN_EIGENVALUE)) @ vecs.T
-            x0, P0 = xs[0], Ps[0]
-        same = lambda m: [np.ravel(m)] * T_
-        return pd.DataFrame({"model_id": pdf["model_id"], "d": pdf["d"], "f": list(xs), "xp": list(xp),
-                             "pf": list(Pf.reshape(T_, -1)), "a": same(A), "q": same(Q), "x0": same(x0), "p0": same(P0),
-                             "last": loglik, "done": done, "rounds": int(first["rounds"]) + (not first["done"]), "first": [i == 0 for i in range(T_)]})
+        stack = lambda c: np.stack(pdf[c].to_numpy())
+        info = {"n": pdf["n"].to_numpy(), "s0": pdf["s0"].to_numpy(), "ld": pdf["ld"].to_numpy(), "b": stack("b"), "b0": stack("b0"),
+                "c": stack("c").reshape(-1, k, k), "c0": stack("c0").reshape(-1, k, k)}
+        first, m, size = pdf.iloc[0], k * order, len(pdf)
+        out = dynamics.recursion(info, np.reshape(first["a"], (m, m)), np.reshape(first["q"], (m, m)), np.asarray(first["x0"]),
+                                 np.reshape(first["p0"], (m, m)), first["last"], bool(first["done"]), k, order, tolerance)
+        same = lambda name: [np.ravel(out[name])] * size
+        return pd.DataFrame({"model_id": pdf["model_id"], "d": pdf["d"], "f": list(out["f"]), "xp": list(out["xp"]),
+                             "pf": list(out["pf"].reshape(size, -1)), "a": same("a"), "q": same("q"), "x0": same("x0"), "p0": same("p0"),
+                             "last": out["last"], "done": out["done"], "rounds": int(first["rounds"]) + (not first["done"]), "first": [i == 0 for i in range(size)]})
     return run
 
 
-def fit(panel: DataFrame, k: int, train_start, train_end, max_iter: int = 30, tolerance: float = 1e-6) -> dict[str, DataFrame]:
+def fit(panel: DataFrame, k: int, train_start, train_end, max_iter: int = 30, tolerance: float = 1e-6, order: int = 1) -> dict[str, DataFrame]:
     """Dynamic factor model of every panel at once, by expectation-maximisation.
 
     Each round is two aggregations and one short grouped map, for all models in
@@ -296,36 +251,38 @@ def fit(panel: DataFrame, k: int, train_start, train_end, max_iter: int = 30, to
     on one row per date, and loadings and error variances are regressed per
     variable.  A converged model keeps its values while others go on.  Rounds
     are materialised, so plans stay short and a lost executor costs one round.
-    The random control input of some implementations is fixed at zero.
+    The random control input of some implementations is fixed at zero.  The
+    factors follow an autoregression on ``order`` lags, as a companion state in
+    the recursions.
 
     Returns ``factors``, ``predicted`` (prior states), ``loadings``, ``gains``
     and ``log`` (rounds of each model, likelihood, convergence)."""
     factors, params = static_factors(panel, k, train_start, train_end)
-    dynamics = cut_lineage(_first_dynamics(factors, k))
+    motion = cut_lineage(_first_dynamics(factors, k, order))
     params = cut_lineage(params.select(*VARIABLE, F.coalesce("h", "w").alias("h"), "r"))
     centred = cut_lineage(_standardized(panel, train_start, train_end).select(*VARIABLE, "d", "y"))
     schema = T.StructType([panel.schema["model_id"], T.StructField("d", T.DateType()),
                            *[T.StructField(n, DOUBLES) for n in ("f", "xp", "pf", "a", "q", "x0", "p0")],
                            T.StructField("last", T.DoubleType()), T.StructField("done", T.BooleanType()),
                            T.StructField("rounds", T.IntegerType()), T.StructField("first", T.BooleanType())])
-    step = _filter_and_smooth(k, tolerance)
+    step = _filter_and_smooth(k, order, tolerance)
     for _ in range(max_iter):
-        facts = _information(centred, params, k).join(dynamics, "model_id")
+        facts = _information(centred, params, k).join(motion, "model_id")
         states = cut_lineage(facts.groupBy("model_id").applyInPandas(step, schema))
         used = params
-        dynamics = states.filter("first").select("model_id", "a", "q", "x0", "p0", "last", "done", "rounds")
-        active = dynamics.filter(~F.col("done")).count()
+        motion = states.filter("first").select("model_id", "a", "q", "x0", "p0", "last", "done", "rounds")
+        active = motion.filter(~F.col("done")).count()
         if active == 0:
             break
         rows = centred.join(states.select("model_id", "d", "f"), ["model_id", "d"])
         new = regress(rows.select(*VARIABLE, "f", "y"), VARIABLE, k)
         moved = used.join(new.select(*VARIABLE, F.col("h").alias("h2"), F.col("variance").alias("r2")), VARIABLE, "left").join(
-            dynamics.select("model_id", "done"), "model_id")
+            motion.select("model_id", "done"), "model_id")
         move = ~F.col("done") & F.col("h2").isNotNull()
         params = cut_lineage(moved.select(*VARIABLE, F.when(move, F.col("h2")).otherwise(F.col("h")).alias("h"),
                                           F.when(move, F.greatest("r2", F.lit(MIN_EIGENVALUE))).otherwise(F.col("r")).alias("r")))
     loadings = params.select(*VARIABLE, F.posexplode("h").alias("factor", "loading")).withColumn("factor", F.col("factor") + 1)
-    log = dynamics.select("model_id", "rounds", F.col("last").alias("loglik"), F.col("done").alias("converged"))
+    log = motion.select("model_id", "rounds", F.col("last").alias("loglik"), F.col("done").alias("converged"))
     return {"factors": scores(states, k), "predicted": scores(states, k, "xp").withColumnRenamed("v", "state"),
             "loadings": loadings, "variances": params.select(*VARIABLE, "r"),
             "gains": _gains(centred, used, states, k), "log": log}

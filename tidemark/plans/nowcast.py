@@ -29,7 +29,7 @@ def train(panel: DataFrame, s: Setting, variables: list[str], method: str | None
             raise ValueError(number["problem"])
         s = replace(s, k=number["k"])
     target = panel.filter(F.col("series") == s.target).select("d", "v")
-    out = factor.fit(models, s.k, s.train_start, s.train_end, s.max_iter, s.tolerance)
+    out = factor.fit(models, s.k, s.train_start, s.train_end, s.max_iter, s.tolerance, s.order)
     nowcast, loading = factor.forecast(out["factors"], target, s.k, s.train_start, s.train_end)
     per_model = target.withColumn("model_id", F.lit(s.target))
     out |= {"nowcast": nowcast, "target_loading": loading, "components": components,
