@@ -72,6 +72,13 @@ def _log_softmax(x):
     return x
 
 
+def _softmax(x):
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def log_probs(net: Net, states: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Natural log probability of each word after its state."""
     p, starts = net.p, net.starts
@@ -123,7 +130,8 @@ def score(net: Net, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total
 
 
-def train(net: Net, words: np.ndarray, begins: np.ndarray, rate: float = RATE, streams: int = STREAMS, steps: int = STEPS) -> tuple[Net, float]:
+def train(net: Net, words: np.ndarray, begins: np.ndarray, rate: float = RATE, streams: int = STREAMS, steps: int = STEPS,
+          last_rate: float | None = None) -> tuple[Net, float]:
     """One pass over ``words`` (texts end to end, ``begins`` true at each first
     word); the trained net and the mean negative log-likelihood seen."""
     p = {k: v.copy() for k, v in net.p.items()}
@@ -140,61 +148,73 @@ def train(net: Net, words: np.ndarray, begins: np.ndarray, rate: float = RATE, s
     m1 = {k: np.zeros_like(v) for k, v in p.items()}
     m2 = {k: np.zeros_like(v) for k, v in p.items()}
     state, loss, seen, updates = np.zeros((streams, n), np.float32), 0.0, 0, 0
+    kind_of = np.repeat(np.arange(len(starts) - 1, dtype=np.int16), np.diff(starts))
     for t0 in range(0, length, steps):
         x, y, fresh = x_all[t0:t0 + steps], y_all[t0:t0 + steps], reset[t0:t0 + steps]
         size = len(x)
-        gx = (p["embed"][x.ravel()] @ p["wx"] + p["b"]).reshape(size, streams, 3 * n)
-        saved, h = [], state
+        gx = (p["embed"] @ p["wx"] + p["b"])[x]
+        keep = (~fresh).astype(np.float32)[:, :, None]
+        zr, new, gh = np.empty((size, streams, 2 * n), np.float32), np.empty((size, streams, n), np.float32), np.empty((size, streams, 3 * n), np.float32)
+        hp, hs = np.empty((size, streams, n), np.float32), np.empty((size, streams, n), np.float32)
         for t in range(size):
-            hp = h * ~fresh[t][:, None]
-            h, z, r, new, gh = _step(p, gx[t], hp)
-            saved.append((hp, z, r, new, gh, h))
-        state = h
-        hs, target = np.concatenate([s[5] for s in saved]), y.ravel()
-        real = real_all[t0:t0 + steps].ravel()
+            np.multiply(state, keep[t], out=hp[t])
+            np.matmul(hp[t], p["wh"], out=gh[t])
+            zr[t] = _sigmoid(gx[t, :, :2 * n] + gh[t, :, :2 * n])
+            np.tanh(gx[t, :, 2 * n:] + zr[t, :, n:] * gh[t, :, 2 * n:], out=new[t])
+            state = hs[t] = new[t] + zr[t, :, :n] * (hp[t] - new[t])
+        flat_h, target, real = hs.reshape(-1, n), y.ravel(), real_all[t0:t0 + steps].ravel()
         rows = int(real.sum())
-        kind = np.searchsorted(starts, target, "right") - 1
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        lp = _log_softmax(hs @ p["wc"] + p["bc"])
-        loss -= float(lp[np.arange(len(target)), kind][real].sum())
-        d = np.exp(lp)
-        d[np.arange(len(target)), kind] -= 1
+        kind = kind_of[target]
+        g = {}
+        d = _softmax(flat_h @ p["wc"] + p["bc"])
+        everyone = np.arange(len(target))
+        loss -= float(np.log(d[everyone, kind][real]).sum())
+        d[everyone, kind] -= 1
         d *= real[:, None] / np.float32(rows)
-        g["wc"], g["bc"], dhs = hs.T @ d, d.sum(axis=0), d @ p["wc"].T
-        order = np.argsort(np.where(real, kind, len(starts)), kind="stable")[:rows]
+        g["wc"], g["bc"], dhs = flat_h.T @ d, d.sum(axis=0), d @ p["wc"].T
+        g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+        order = np.argsort(np.where(real, kind, len(starts)).astype(np.int16), kind="stable")[:rows]
         cuts = np.searchsorted(kind[order], np.arange(len(starts)))
+        sorted_h, sorted_y = flat_h[order], target[order]
         for c in range(len(starts) - 1):
-            at = order[cuts[c]:cuts[c + 1]]
-            if len(at) and starts[c + 1] - starts[c] > 1:
+            i, j = cuts[c], cuts[c + 1]
+            if j > i and starts[c + 1] - starts[c] > 1:
                 own = slice(starts[c], starts[c + 1])
-                lp = _log_softmax(hs[at] @ p["ww"][own].T + p["bw"][own])
-                pick = target[at] - starts[c]
-                loss -= float(lp[np.arange(len(at)), pick].sum())
-                d = np.exp(lp)
-                d[np.arange(len(at)), pick] -= 1
+                d = _softmax(sorted_h[i:j] @ p["ww"][own].T + p["bw"][own])
+                here, pick = np.arange(j - i), sorted_y[i:j] - starts[c]
+                loss -= float(np.log(d[here, pick]).sum())
+                d[here, pick] -= 1
                 d /= rows
-                g["ww"][own], g["bw"][own] = d.T @ hs[at], d.sum(axis=0)
-                dhs[at] += d @ p["ww"][own]
+                g["ww"][own], g["bw"][own] = d.T @ sorted_h[i:j], d.sum(axis=0)
+                dhs[order[i:j]] += d @ p["ww"][own]
         dhs = dhs.reshape(size, streams, n)
-        dgx, dh = np.empty_like(gx), np.zeros((streams, n), np.float32)
+        # Factors of the gates' derivatives, for all steps at once.
+        z, r = zr[:, :, :n], zr[:, :, n:]
+        to_z, to_n = (hp - new) * z * (1 - z), (1 - z) * (1 - new * new)
+        to_r = gh[:, :, 2 * n:] * r * (1 - r)
+        dgx, dgh, dh = np.empty_like(gx), np.empty_like(gx), np.zeros((streams, n), np.float32)
+        wh_t = np.ascontiguousarray(p["wh"].T)
         for t in range(size - 1, -1, -1):
-            hp, z, r, new, gh, _ = saved[t]
-            dh = dh + dhs[t]
-            dz, dn = dh * (hp - new) * z * (1 - z), dh * (1 - z) * (1 - new * new)
-            dr = dn * gh[:, 2 * n:] * r * (1 - r)
-            dgx[t] = np.concatenate((dz, dr, dn), axis=1)
-            dgh = np.concatenate((dz, dr, dn * r), axis=1)
-            g["wh"] += hp.T @ dgh
-            dh = (dh * z + dgh @ p["wh"].T) * ~fresh[t][:, None]
-        flat = dgx.reshape(-1, 3 * n)
-        g["b"], g["wx"] = flat.sum(axis=0), p["embed"][x.ravel()].T @ flat
-        np.add.at(g["embed"], x.ravel(), flat @ p["wx"].T)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+            dh += dhs[t]
+            dgx[t, :, :n], dgx[t, :, 2 * n:] = dh * to_z[t], dh * to_n[t]
+            dgx[t, :, n:2 * n] = dgx[t, :, 2 * n:] * to_r[t]
+            dgh[t, :, :2 * n], dgh[t, :, 2 * n:] = dgx[t, :, :2 * n], dgx[t, :, 2 * n:] * r[t]
+            dh = (dh * z[t] + dgh[t] @ wh_t) * keep[t]
+        g["wh"] = hp.reshape(-1, n).T @ dgh.reshape(-1, 3 * n)
+        # Gradients of the gates of each input word, then of what they are made of.
+        by_word = np.argsort(x.ravel().astype(np.int16 if net.words < 1 << 15 else np.int64), kind="stable")
+        ordered = x.ravel()[by_word]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        gates = np.zeros((net.words + 1, 3 * n), np.float32)
+        gates[ordered[first]] = np.add.reduceat(dgx.reshape(-1, 3 * n)[by_word], first, axis=0)
+        g["b"], g["wx"], g["embed"] = gates.sum(axis=0), p["embed"].T @ gates, gates @ p["wx"].T
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
         updates += 1
+        now = rate + ((rate if last_rate is None else last_rate) - rate) * t0 / length
         for k, v in p.items():
-            grad = g[k] * min(1.0, 5.0 / (norm + 1e-9))
-            m1[k] += 0.1 * (grad - m1[k])
-            m2[k] += 0.01 * (grad * grad - m2[k])
-            v -= rate * (m1[k] / (1 - 0.9 ** updates)) / (np.sqrt(m2[k] / (1 - 0.99 ** updates)) + 1e-8)
+            grad = g[k] * np.float32(min(1.0, 5.0 / (norm + 1e-9)))
+            m1[k] += np.float32(0.1) * (grad - m1[k])
+            m2[k] += np.float32(0.01) * (grad * grad - m2[k])
+            v -= np.float32(now / (1 - 0.9 ** updates)) * m1[k] / (np.sqrt(m2[k] / np.float32(1 - 0.99 ** updates)) + np.float32(1e-8))
         seen += rows
     return net, loss / max(1, seen)

@@ -4,9 +4,9 @@ Word counts of all training texts are grouped in Spark.  The most frequent
 words, of a bounded number, are the model's output words; every other word is
 one of a fixed number of groups by its last letters, and has a smoothed share of
 its group's counts.  The recurrent net is trained in parallel on all training
-texts, whole: their tokens decide the number of shards, in each round every
-shard is trained from the same weights, and the results are averaged in lots
-before they reach the driver.  All texts are then scored in full.
+texts, whole: their tokens decide the number of shards, every shard is trained
+from the same weights on one portion of its texts after another, and after each
+portion the results are averaged in lots before they reach the driver.  All texts are then scored in full.
 
 Counts of the most frequent words are broadcast, again of a bounded number; the
 few other words of each text are joined with the counts by hash."""
@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,13 @@ from tidemark.llm.store import regroup, slices, small_batches, stored
 
 #: Output words, groups of the others, words whose counts are broadcast.
 WORDS, GROUPS, KNOWN = 2000, 128, 1 << 18
-#: Training tokens of a shard (about so many), and rounds over all of them.
-SHARD_TOKENS, ROUNDS = 1 << 20, 3
+#: Training tokens of a shard (about so many), rounds over all of them, and the
+#: portions of a round after each of which the shards' weights are averaged.
+SHARD_TOKENS, ROUNDS, PORTIONS = 1 << 23, 1, 4
+#: Parallel streams at most and least, steps of a window, and updates below which there are fewer streams.
+STREAMS, FEWEST, STEPS, UPDATES = 512, 16, 16, 128
+#: Step sizes at the start and at the end of training.
+RATE, LAST_RATE = 0.04, 0.004
 #: Texts scored together hold about so many bytes.
 TOGETHER = 12 << 20
 END = W.mix(np.array([0x656E64], W.U))[0]
@@ -121,7 +127,8 @@ def lexicon(counts: DataFrame) -> Lexicon:
 def fit(docs: DataFrame, text: str, lex: Lexicon, *, row: str | None = None, shard_tokens: int = SHARD_TOKENS, rounds: int = ROUNDS) -> gru.Net:
     """Train the net on all of ``docs``, every text to its end in every round.
 
-    Shards are dealt by the hash of id and text, so that copies are spread."""
+    Shards and their portions are dealt by the hash of id and text, so that
+    copies are spread."""
     net = gru.new(lex.weights, lex.starts)
     spark = docs.sparkSession
     shards = max(1, round(lex.total / shard_tokens))
@@ -130,19 +137,26 @@ def fit(docs: DataFrame, text: str, lex: Lexicon, *, row: str | None = None, sha
 
     def encode(batches):
         for batch in batches:
-            for i, j, data, offsets in slices(batch.column(1)):
+            for i, j, data, offsets in slices(batch.column(2)):
                 h, g, n = tokens(data, offsets)
                 ids = words.value.outputs(words.value.find(h), g).astype("<i4")
                 cut = np.concatenate(([0], np.cumsum(n)))
                 texts = pa.array([ids[cut[d]:cut[d + 1]].tobytes() for d in range(j - i)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), texts], ["shard", "ids"])
-
-    shard = F.pmod(F.xxhash64(*[c for c in (row, text) if c]), F.lit(shards)).cast("int")
-    held = stored(docs.filter(F.col(text).isNotNull()).select(shard.alias("shard"), text).mapInArrow(encode, "shard int, ids binary"), "sample")
-    for turn in range(rounds):
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], ["shard", "portion", "ids"])
+
+    key = F.xxhash64(*[c for c in (row, text) if c])
+    shard, portion = F.pmod(key, F.lit(shards)).cast("int"), F.pmod(F.shiftright(key, 40), F.lit(PORTIONS)).cast("int")
+    held = stored(docs.filter(F.col(text).isNotNull()).select(shard.alias("shard"), portion.alias("portion"), text)
+                  .mapInArrow(encode, "shard int, portion int, ids binary"), "sample")
+    turns = rounds * PORTIONS
+    for turn in range(turns):
         now = spark.sparkContext.broadcast(net)
-        parts = held.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(now, gru.RATE * (1 - 0.4 * turn)), "shard int, n long, w binary")
-        sums = stored(parts.groupBy((F.col("shard") % lots).alias("lot")).applyInArrow(_sum, "lot int, n long, w binary"), "weights").orderBy("lot").collect()
+        at = turn % PORTIONS
+        rates = [RATE + (LAST_RATE - RATE) * x / turns for x in (turn, turn + 1)]
+        parts = held.filter(F.col("portion") <= at).repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(now, at, *rates), "shard int, n long, w binary")
+        name = "weights" if at == PORTIONS - 1 else "portion-weights"
+        sums = stored(parts.groupBy((F.col("shard") % lots).alias("lot")).applyInArrow(_sum, "lot int, n long, w binary"), name).orderBy("lot").collect()
         total = sum(s["n"] for s in sums)
         if total:
             flat, at, p = sum(np.frombuffer(s["w"], "<f8") for s in sums) / total, 0, {}
@@ -154,16 +168,22 @@ def fit(docs: DataFrame, text: str, lex: Lexicon, *, row: str | None = None, sha
     return net
 
 
-def _shard(now, rate: float):
-    """One pass of training over the texts of a shard, from the broadcast net."""
+def _shard(now, portion: int, rate: float, last_rate: float):
+    """Training on one portion of a shard, from the broadcast net; the weights
+    count for the tokens the shard has seen in this round."""
     def run(key, group):
-        texts = sorted(x.as_py() for x in group.column("ids"))
-        ids = [np.frombuffer(x, "<i4") for x in texts]
-        begins = np.zeros(sum(map(len, ids)), bool)
-        begins[np.cumsum([0] + [len(x) for x in ids[:-1]])] = True
-        got, _ = gru.train(now.value, np.concatenate(ids).astype(np.int64), begins, rate=rate)
+        seen = group.column("ids").combine_chunks()
+        texts = sorted(x.as_py() for x in group.filter(pc.equal(group.column("portion"), portion)).column("ids"))
+        got = now.value
+        if texts:
+            sizes = np.array([len(x) // 4 for x in texts])
+            begins = np.zeros(sizes.sum(), bool)
+            begins[np.cumsum(sizes) - sizes] = True
+            streams = min(STREAMS, max(FEWEST, len(begins) // (STEPS * UPDATES)))
+            got, _ = gru.train(got, np.frombuffer(b"".join(texts), "<i4").astype(np.int64), begins, rate=rate, last_rate=last_rate, streams=streams, steps=STEPS)
         flat = np.concatenate([got.p[k].ravel() for k in sorted(got.p)]).astype("<f4").tobytes()
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [len(begins)], "w": pa.array([flat], pa.binary())})
+        n = (pc.sum(pc.binary_length(seen)).as_py() or 0) // 4
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "n": [n], "w": pa.array([flat], pa.binary())})
 
     return run
 
