@@ -65,10 +65,13 @@ def merge_panel(spark, sf):
     return align.merge_panel([p.filter("series <> 'NF'"), p.withColumn("v", F.col("v") * 2)], *bounds(spark, sf))
 
 
-@query("wide_panel", "d:d AF:f RO:f", """SELECT d, max(CASE WHEN series = 'AF' THEN v END) AS "AF", max(CASE WHEN series = 'RO' THEN v END) AS "RO"
-    FROM @panel WHERE series IN ('AF', 'RO') GROUP BY 1""")
+PANEL = [f + s for f in "ANR" for s in "FO"]
+
+
+@query("wide_panel", "d:d " + " ".join(f"{n}:f" for n in PANEL),
+       "SELECT d, " + ", ".join(f"max(CASE WHEN series = '{n}' THEN v END) AS \"{n}\"" for n in PANEL) + " FROM @panel GROUP BY 1")
 def wide_panel(spark, sf):
-    return align.to_wide(bases.panel(spark, sf).filter(F.col("series").isin("AF", "RO")), ["AF", "RO"])
+    return align.to_wide(bases.panel(spark, sf), PANEL)
 
 
 GRID = """WITH src AS (SELECT series, d, v FROM @monthly WHERE NOT (series = '1-URGENT' AND month(d) IN (2, 3))),
@@ -134,12 +137,13 @@ def yoy_difference(spark, sf):
 
 
 @query("asof_backward", "series:s d:d v:f asof_t:d asof_state:f", """
-    SELECT m.series, m.d, m.v, p.d AS asof_t, p.v AS asof_state FROM @monthly m ASOF LEFT JOIN (SELECT * FROM @panel WHERE series = 'AO') p ON m.d >= p.d""")
+    SELECT m.series, m.d, m.v, p.d AS asof_t, p.v AS asof_state FROM (SELECT series, last_day(d) AS d, sum(v) AS v FROM @panel GROUP BY 1, 2) m
+    ASOF LEFT JOIN @panel p ON p.series = m.series AND m.d >= p.d""")
 def asof_backward(spark, sf):
-    monthly = bases.monthly(spark, sf).withColumn("k", F.lit("AO"))
-    states = bases.panel(spark, sf).filter("series = 'AO'").select(
-        F.col("series").alias("k"), F.col("d").alias("t"), F.col("v").alias("state"))
-    return align.asof(monthly, states, ["k"], "d", "t", ["state"])
+    """Month-end totals of every panel series beside its last weekly state."""
+    panel = bases.panel(spark, sf)
+    ends = panel.groupBy("series", F.last_day("d").alias("d")).agg(F.sum("v").alias("v"))
+    return align.asof(ends, panel.select("series", F.col("d").alias("t"), F.col("v").alias("state")), ["series"], "d", "t", ["state"])
 
 
 @query("lag_pairs", "candidate:s lag:n n:n sx:f sy:f", """
@@ -302,14 +306,15 @@ def unify_frequencies(spark, sf):
     return align.unify_frequencies(_mixed(spark, sf).drop("freq"))
 
 
-def _two_monthly(spark, sf):
-    m = bases.monthly(spark, sf)
-    return m.filter("series = '1-URGENT'").unionByName(m.filter("series = '2-HIGH'").withColumn("d", F.date_add("d", 14)))
+def _monthly_apart(spark, sf):
+    """All monthly series, one of them in mid-month, so that no date is common to all."""
+    day = F.when(F.col("series") == "2-HIGH", F.date_add("d", 14)).otherwise(F.col("d"))
+    return bases.monthly(spark, sf).withColumn("d", day)
 
 
-@query("unify_for_pairs", "series:s d:d v:f", "SELECT series, last_day(d) AS d, avg(v) AS v FROM @monthly WHERE series IN ('1-URGENT', '2-HIGH') GROUP BY 1, 2")
+@query("unify_for_pairs", "series:s d:d v:f", "SELECT series, last_day(d) AS d, avg(v) AS v FROM @monthly GROUP BY 1, 2")
 def unify_for_pairs(spark, sf):
-    return align.unify_for_pairs(_two_monthly(spark, sf))
+    return align.unify_for_pairs(_monthly_apart(spark, sf))
 
 
 @query("date_overlap", "n_common:n longest:n overlap:f", """

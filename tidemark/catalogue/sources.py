@@ -9,11 +9,12 @@ from tidemark.sources import audit, scan
 
 MELT_SQL = """SELECT 'l_quantity' AS series, l_shipdate AS ts, l_quantity AS v FROM lineitem
     UNION ALL SELECT 'l_discount', l_shipdate, l_discount FROM lineitem
-    UNION ALL SELECT 'l_tax', l_shipdate, l_tax FROM lineitem"""
+    UNION ALL SELECT 'l_tax', l_shipdate, l_tax FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', l_shipdate, l_extendedprice FROM lineitem"""
 
 
 def _wide(spark, sf):
-    return bases.table(spark, sf, "lineitem").select("l_shipdate", "l_quantity", "l_discount", "l_tax")
+    return bases.table(spark, sf, "lineitem").select("l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
 
 
 @query("scan_wide", "series:s d:d n:n v:f", f"""SELECT series, CAST(ts AS DATE) AS d, count(*) AS n,
@@ -164,13 +165,13 @@ def pair_gate(spark, sf):
 
 @query("weight_coverage", "indicator:s status:s", """
     SELECT coalesce(a.i, b.i) AS indicator, CASE WHEN b.i IS NULL THEN 'without_weight' WHEN a.i IS NULL THEN 'without_data' ELSE 'matched' END AS status
-    FROM (SELECT DISTINCT n_name AS i FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9500) a
-    FULL JOIN (SELECT DISTINCT indicator AS i FROM @weights WHERE sector <> 'ASIA') b ON a.i = b.i""")
+    FROM (SELECT DISTINCT n_name AS i FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT r_name FROM region) a
+    FULL JOIN (SELECT DISTINCT indicator AS i FROM @weights) b ON a.i = b.i""")
 def weight_coverage(spark, sf):
-    rich = bases.table(spark, sf, "customer").filter("c_acctbal > 9500").join(
-        bases.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return audit.weight_coverage(rich.select(F.col("n_name").alias("indicator")),
-                                 bases.weights(spark, sf).filter("sector <> 'ASIA'"))
+    nations = bases.table(spark, sf, "customer").join(bases.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    # Regions are data without a weight of their own.
+    data = nations.select(F.col("n_name").alias("indicator")).unionByName(bases.table(spark, sf, "region").select(F.col("r_name").alias("indicator")))
+    return audit.weight_coverage(data, bases.weights(spark, sf))
 
 
 @query("industry_conflicts", "variable:s sheet_industry:s dictionary_industry:s problem:s", """
