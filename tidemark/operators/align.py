@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,18 +121,27 @@ def lag_pairs(obs: DataFrame, target: str, max_lag: int) -> DataFrame:
     """Position-paired rows of every candidate with the target at each lag.
 
     Positions count each series' own rows; ``x[t + lag]`` meets ``y[t]`` and
-    both sides are cut to the shorter series."""
-    w = Window.partitionBy("series")
-    placed = obs.select("series", "v", F.row_number().over(w.orderBy("d")).alias("p"),
-                        F.count(F.lit(1)).over(w).alias("n"))
-    x = placed.filter(F.col("series") == target).select(F.col("p").alias("px"), F.col("v").alias("x"),
-                                                        F.col("n").alias("nx"))
-    y = placed.filter(F.col("series") != target).withColumn(
-        "lag", F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))))
-    joined = y.join(x, F.col("p") + F.col("lag") == F.col("px"))
-    short = F.least("n", "nx")
-    return (joined.filter((F.col("p") <= short) & (F.col("px") <= short) & (F.abs("lag") < short))
-            .select(F.col("series").alias("candidate"), "lag", "px", F.col("p").alias("py"), "x", F.col("v").alias("y")))
+    both sides are cut to the shorter series.  The target, one row per date at
+    most, is a broadcast variable and a candidate one array by date, so pairs
+    are written out from arrays, without a join."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("d", F.col("v").cast("double").alias("v")))), lambda r: r["v"])
+    one = obs.filter(F.col("series") == target).agg(ordered.alias("v")).first()["v"]
+    shared = obs.sparkSession.sparkContext.broadcast([float("nan") if v is None else v for v in one])
+    candidates = obs.filter(F.col("series") != target).groupBy(F.col("series").alias("candidate")).agg(ordered.alias("v"))
+
+    def pairs(batches):
+        x = np.array(shared.value, float)
+        for batch in batches:
+            for name, values in zip(batch.column(0), batch.column(1)):
+                y = np.array([float("nan") if v is None else v for v in values.as_py()], float)
+                n = min(len(x), len(y))
+                for lag in range(-min(max_lag, n - 1), min(max_lag, n - 1) + 1):
+                    py = np.arange(max(0, -lag), n - max(0, lag))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(name, len(py)), pa.repeat(pa.scalar(lag, pa.int32()), len(py)), pa.array((py + lag + 1).astype(np.int32)), pa.array((py + 1).astype(np.int32)),
+                         pa.array(x[py + lag], from_pandas=True), pa.array(y[py], from_pandas=True)], ["candidate", "lag", "px", "py", "x", "y"])
+
+    return candidates.mapInArrow(pairs, "candidate string, lag int, px int, py int, x double, y double")
 
 
 def weekly_windows(obs: DataFrame) -> DataFrame:

@@ -30,7 +30,8 @@ def target_array(obs: DataFrame, target: str) -> Column:
     return obs.filter(F.col("series") == target).select(dated()).scalar()
 
 
-def target_values(obs: DataFrame, target: str) -> Column:
-    """As :func:`target_array`, values only."""
-    one = obs.filter(F.col("series") == target).agg(dated().alias("dv"))
-    return one.select(values(F.col("dv"))).scalar()
+def target_sample(obs: DataFrame, target: str) -> list[float]:
+    """One series' valid values in date order on the driver, no more than the
+    calendar has dates, for a broadcast variable: sent once to each executor."""
+    one = obs.filter(F.col("series") == target).agg(dated().alias("dv")).select(values(F.col("dv")).alias("v"))
+    return list(one.first()["v"])

@@ -6,17 +6,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark import vocab
-from tidemark.functions.numeric import correlation, histogram_bins
+from tidemark.functions.numeric import histogram_bins
 from tidemark.operators import arrays
 
 MIN_KL_SAMPLES = 10
 BEST_LAG_RANGE = 5
-LAGS_PER_ROW = 5
 
 
 def lagged_correlation(obs: DataFrame, target: str, max_lag: int = 12) -> DataFrame:
@@ -27,25 +26,43 @@ def lagged_correlation(obs: DataFrame, target: str, max_lag: int = 12) -> DataFr
     pairs target[t + k] with candidate[t] and is null for under two pairs or a
     constant side.
 
-    The target becomes a few rows per date, each with a block of its shifted
-    values: bounded by the calendar, so adaptive execution may broadcast it.  The
-    candidates are read once and aggregated per series and block with map-side
-    combine.  Blocks are narrow enough to stay inside generated code, whose
-    field limit one row with every lag would exceed."""
-    frame = obs.agg(F.sort_array(F.collect_set("d")).alias("c")).select(F.posexplode("c").alias("p", "d"))
-    x = frame.join(obs.filter(F.col("series") == target).groupBy("d").agg(F.max("v").alias("x")), "d", "left")
-    by_position = Window.partitionBy(F.lit(0)).orderBy("p")
-    shift = lambda k: F.lead("x", k).over(by_position) if k <= max_lag else F.lit(None).cast("double")
-    starts = range(-max_lag, max_lag + 1, LAGS_PER_ROW)
-    wide = x.select("d", *[F.struct(F.lit(k).alias("first"), *[shift(k + i).alias(f"x{i}") for i in range(LAGS_PER_ROW)]).alias(f"b{n}")
-                           for n, k in enumerate(starts)])
-    blocks = wide.select("d", F.explode(F.array(*[F.col(f"b{n}") for n in range(len(starts))])).alias("b")).select("d", "b.*")
-    joined = obs.filter(F.col("series") != target).join(blocks, "d")
-    scored = joined.groupBy("series", "first").agg(
-        *[correlation(F.col(f"x{i}"), F.col("v")).alias(str(i)) for i in range(LAGS_PER_ROW)])
-    long = scored.unpivot(["series", "first"], [F.col(f"`{i}`") for i in range(LAGS_PER_ROW)], "i", "correlation")
-    lag = F.col("first") + F.col("i").cast("int")
-    return long.select(F.col("series").alias("candidate"), lag.alias("lag"), "correlation").filter(F.col("lag") <= max_lag)
+    The frame and the target on it, bounded by the calendar, are one broadcast
+    variable.  A candidate is one dated array, grouped by series, and all lags
+    are taken inside it, so that rows are neither joined on dates nor repeated
+    per lag."""
+    frame = obs.groupBy("d").agg(F.max(F.when(F.col("series") == target, F.col("v"))).alias("x")).orderBy("d").toPandas()
+    days = frame["d"].to_numpy("datetime64[D]").astype(np.int64)
+    edge = np.full(max_lag, np.nan)
+    shared = obs.sparkSession.sparkContext.broadcast((days, np.concatenate((edge, frame["x"].to_numpy(float), edge))))
+    point = F.when(F.col("v").isNotNull(), F.struct(F.unix_date("d").alias("day"), F.col("v").cast("double").alias("v")))
+    candidates = obs.filter(F.col("series") != target).groupBy("series").agg(F.collect_list(point).alias("points"))
+    points = candidates.select("series", F.transform("points", lambda p: p["day"]).alias("days"), F.transform("points", lambda p: p["v"]).alias("values"))
+    lags = np.arange(-max_lag, max_lag + 1)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(dates: pd.Series, values: pd.Series) -> pd.Series:
+        calendar, x = shared.value
+        out = []
+        for d, v in zip(dates, values):
+            at = np.searchsorted(calendar, np.asarray(d, np.int64))
+            out.append(correlations(x[at[:, None] + max_lag + lags], np.asarray(v, float)))
+        return pd.Series(out)
+
+    scored = points.select("series", F.posexplode(run("days", "values")).alias("i", "correlation"))
+    return scored.select(F.col("series").alias("candidate"), (F.col("i") - max_lag).alias("lag"), "correlation")
+
+
+def correlations(x: np.ndarray, y: np.ndarray) -> list[float | None]:
+    """Correlation of ``y`` with each column of ``x`` over the rows where it is not NaN."""
+    seen = ~np.isnan(x)
+    n = seen.sum(axis=0)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        centre = lambda m: np.where(seen, m - np.where(seen, m, 0.0).sum(axis=0) / n, 0.0)
+        a, b = centre(x), centre(np.broadcast_to(y[:, None], x.shape))
+        out = (a * b).sum(axis=0) / np.sqrt((a * a).sum(axis=0) * (b * b).sum(axis=0))
+    spread = lambda m: np.where(seen, m, -np.inf).max(axis=0, initial=-np.inf) > np.where(seen, m, np.inf).min(axis=0, initial=np.inf)
+    fit = (n >= 2) & spread(x) & spread(np.broadcast_to(y[:, None], x.shape)) & np.isfinite(out)
+    return [float(c) if ok else None for c, ok in zip(out, fit)]
 
 
 def _divergence(a: np.ndarray, b: np.ndarray) -> float:
@@ -71,8 +88,9 @@ def _scaled(a: np.ndarray, method: str) -> np.ndarray:
     return a
 
 
-def divergence_udf(max_lag: int, method: str, min_length: int):
-    """Arrow helper: divergence of a target and a candidate at every lag."""
+def divergence_udf(target, max_lag: int, method: str, min_length: int):
+    """Arrow helper: divergence of the target, a broadcast variable, and a
+    candidate at every lag."""
     lags = range(-max_lag, max_lag + 1)
 
     def pair(t, c):
@@ -89,8 +107,8 @@ def divergence_udf(max_lag: int, method: str, min_length: int):
         return out
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(targets: pd.Series, candidates: pd.Series) -> pd.Series:
-        return pd.Series([pair(t, c) for t, c in zip(targets, candidates)])
+    def run(candidates: pd.Series) -> pd.Series:
+        return pd.Series([pair(target.value, c) for c in candidates])
 
     return run
 
@@ -102,9 +120,9 @@ def lagged_divergence(obs: DataFrame, target: str, max_lag: int = 12, method: st
     once over their full length; fewer than ``max_lag + 10`` values give null.
     One shuffle collects each candidate as an array; lags are cut inside it."""
     candidates = arrays.series_arrays(obs.filter(F.col("series") != target))
-    run = divergence_udf(max_lag, method, max_lag + MIN_KL_SAMPLES)
-    t = arrays.target_values(obs, target)
-    scored = candidates.select("series", F.posexplode(run(t, "values")).alias("i", "kl"))
+    t = obs.sparkSession.sparkContext.broadcast(arrays.target_sample(obs, target))
+    run = divergence_udf(t, max_lag, method, max_lag + MIN_KL_SAMPLES)
+    scored = candidates.select("series", F.posexplode(run("values")).alias("i", "kl"))
     return scored.select(F.col("series").alias("candidate"), (F.col("i") - max_lag).alias("lag"), "kl")
 
 
@@ -118,11 +136,11 @@ def divergence(obs: DataFrame, target: str) -> DataFrame:
     """Divergence of every candidate from the target without lag or scaling.
 
     ``status`` tells apart short samples and different constants."""
-    t = arrays.target_values(obs, target)
-    both = arrays.series_arrays(obs.filter(F.col("series") != target)).withColumn("_t", t)
-    n = F.least(F.size("values"), F.size("_t"))
+    t = obs.sparkSession.sparkContext.broadcast(arrays.target_sample(obs, target))
+    both = arrays.series_arrays(obs.filter(F.col("series") != target))
+    n = F.least(F.size("values"), F.lit(len(t.value)))
     enough = n >= F.greatest(histogram_bins(n) * 2, F.lit(MIN_KL_SAMPLES))
-    kl = divergence_udf(0, "none", 1)(F.col("_t"), F.col("values"))[0]
+    kl = divergence_udf(t, 0, "none", 1)(F.col("values"))[0]
     return both.select(F.col("series").alias("candidate"), F.when(enough, kl).alias("kl"), (
         F.when(~enough, "insufficient_data").when(kl.isNull(), "different_constants").otherwise("ok")).alias("status"))
 

@@ -15,39 +15,65 @@ from tidemark.session import spread
 MIN_SAMPLES = 10
 
 
-def _warp(a: np.ndarray, b: np.ndarray, window: int | None, want_path: bool):
-    """Distance by anti-diagonals, and optionally the path.
+class _Table:
+    """Anti-diagonals of the cost table of two samples.
 
     A window of r keeps shifts below r around the two corner diagonals, so 1
-    is the point-by-point distance for equal lengths."""
-    n, m = len(a), len(b)
-    w = window or max(n, m)
-    left, right = max(0, n - m) + w - 1, max(0, m - n) + w - 1
-    back = b[::-1]
-    older, newer, now = (np.full(n + 1, np.inf) for _ in range(3))
-    moves = np.zeros((n, m), dtype=np.int8) if want_path else None
-    for k in range(n + m - 1):
-        # Rows lo..hi of this anti-diagonal; slot i + 1 belongs to row i and
-        # slot 0 is the border above row 0.
-        lo, hi = max(0, k - m + 1, -((right - k) // 2)), min(n - 1, k, (k + left) // 2)
+    is the point-by-point distance for equal lengths.  A diagonal is an array
+    by row, whose slot i + 1 belongs to row i and slot 0 to the border above."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, window: int | None):
+        self.a, self.back, self.n, self.m = a, b[::-1], len(a), len(b)
+        w = window or max(self.n, self.m)
+        self.left, self.right = max(0, self.n - self.m) + w - 1, max(0, self.m - self.n) + w - 1
+
+    def border(self) -> np.ndarray:
+        return np.full(self.n + 1, np.inf)
+
+    def advance(self, k: int, older: np.ndarray, newer: np.ndarray, now: np.ndarray, moves: dict | None = None) -> None:
+        """Fill diagonal ``k`` from the two before it, and note its moves."""
+        lo, hi = max(0, k - self.m + 1, -((self.right - k) // 2)), min(self.n - 1, k, (k + self.left) // 2)
         now.fill(np.inf)
         if lo <= hi:
-            gap = a[lo:hi + 1] - back[m - 1 - k + lo:m - k + hi]
+            gap = self.a[lo:hi + 1] - self.back[self.m - 1 - k + lo:self.m - k + hi]
             options = (older[lo:hi + 1], newer[lo:hi + 1], newer[lo + 1:hi + 2])
             best = np.minimum(np.minimum(options[0], options[1]), options[2]) if k else 0.0
             now[lo + 1:hi + 2] = gap * gap + best
-            if want_path:
-                i = np.arange(lo, hi + 1)
-                moves[i, k - i] = np.argmin(np.stack(options), axis=0)
+            if moves is not None:
+                moves[k] = lo, np.argmin(np.stack(options), axis=0).astype(np.int8)
+
+
+def _warp(a: np.ndarray, b: np.ndarray, window: int | None, want_path: bool):
+    """Distance, and optionally the path.
+
+    For a path every so many diagonals are kept, about the square root of their
+    number; the moves between two kept ones are computed again on the way back
+    and dropped, so that memory does not grow with the product of the lengths."""
+    table = _Table(a, b, window)
+    last = table.n + table.m - 2
+    every = max(1, int(np.sqrt(last + 1)))
+    older, newer, now = (table.border() for _ in range(3))
+    kept = {}
+    for k in range(last + 1):
+        if want_path and k % every == 0:
+            kept[k] = older.copy(), newer.copy()
+        table.advance(k, older, newer, now)
         older, newer, now = newer, now, older
-    distance = float(np.sqrt(newer[n]))
+    distance = float(np.sqrt(newer[table.n]))
     if not want_path or not np.isfinite(distance):
         return distance, None
-    i, j, path = n - 1, m - 1, [(n - 1, m - 1)]
-    while i > 0 or j > 0:
-        step = 2 if i == 0 else 1 if j == 0 else moves[i, j]
-        i, j = i - (step != 2), j - (step != 1)
-        path.append((i, j))
+    i, j, path = table.n - 1, table.m - 1, [(table.n - 1, table.m - 1)]
+    for first in sorted(kept, reverse=True):
+        moves: dict = {}
+        (older, newer), now = kept.pop(first), table.border()
+        for k in range(first, min(first + every, last + 1)):
+            table.advance(k, older, newer, now, moves)
+            older, newer, now = newer, now, older
+        while i + j >= first and (i > 0 or j > 0):
+            lo, of = moves[i + j]
+            step = 2 if i == 0 else 1 if j == 0 else of[i - lo]
+            i, j = i - (step != 2), j - (step != 1)
+            path.append((i, j))
     return distance, path[::-1]
 
 
