@@ -145,3 +145,34 @@ def test_pipeline_runs_and_takes_odd_rows(spark, docs, empty):
         out = stage(spark, extra.unionByName(odd), DATA)
         assert set(extra.columns) <= set(out.columns), name
         assert out.filter("doc_id IS NULL").count() == 1, name
+
+
+# --- lines that many documents of a host share
+
+def test_copies_count_as_documents_and_few_words_left_are_depleted(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import quality
+    rng = random.Random(3)
+    line = prose(rng, 12)
+    copy = f"{line}\n{prose(rng, 20)}"
+    rows = [(i, copy, "h") for i in range(30)] + [(100, f"{prose(rng, 30)}\n{line.upper()}", "h"), (101, f"{line}\na few words", "h"), (102, copy, "other")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("Kept_Text", F.lit("clash"))
+    got = {r.doc_id: r for r in quality.judge(frame).collect()}
+    assert all(got[i].kept and not got[i].removed_lines for i in [*range(30), 102])  # the first and its copies
+    assert got[100].removed_lines == [1] and got[100].kept and got[101].removed_lines == [0] and not got[101].kept
+    out = quality.cleaned(frame)
+    assert out.columns == ["doc_id", "text", "source", "kept_text"]
+    assert {r.doc_id: r.kept_text for r in out.collect()}[100] == rows[30][1].split("\n")[0]
+
+
+def test_removed_lines_do_not_reach_the_packed_output(spark, tmp_path):
+    rng = random.Random(5)
+    line = prose(rng, 25)
+    rows = [(i, f"{prose(rng, 40)}\n{line}\n{prose(rng, 40)}", "en", "h", 1) for i in range(14)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, prose(rng, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tokens = {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    plain = {r.doc_id: r.doc_tokens for r in packing.digest(packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"))).collect()}
+    assert set(tokens) == set(plain) and tokens[0] == plain[0]
+    assert all(tokens[i] < plain[i] - 25 for i in range(1, 14))

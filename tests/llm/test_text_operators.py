@@ -312,7 +312,7 @@ def brute_quality(rows, most=10):
         for l in (t or "").split("\n"):  # noqa: E741
             if words(l):
                 holders[host, plain(l)].add((i, t or ""))
-    common = {k: min(v, key=lambda x: x[0])[1] for k, v in holders.items() if len({t for _, t in v}) > most}
+    common = {k: min(v, key=lambda x: x[0])[1] for k, v in holders.items() if len({i for i, _ in v}) > most}
     out = {}
     for i, t, _, host, *_ in rows:
         t = t or ""
@@ -324,7 +324,7 @@ def brute_quality(rows, most=10):
         gone = sum(len(words(l)) for l in lines if common.get((host, plain(l)), t) != t)  # noqa: E741
         left = len(w) - gone
         out[i] = (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(covered), failed, gone,
-                  not failed and not (gone and (left < 3 or left * 100 < len(w) * 20)))
+                  not failed and not (gone and (left < 10 or left * 100 < len(w) * 20)))
     return out
 
 

@@ -55,20 +55,21 @@ SQL["op4_quality"] = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') A
     grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
     twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
     rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY 1),
-    lines AS (SELECT doc_id, source, t, l, len(regexp_extract_all(l, '{WORDS}')) AS k, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM (SELECT doc_id, source, t, unnest(ls) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+    lines AS (SELECT doc_id, source, t, i, l, len(regexp_extract_all(l, '{WORDS}')) AS k, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS plain FROM (SELECT doc_id, source, t, i, ls[i] AS l FROM (SELECT doc_id, source, t, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)) WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
     dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines GROUP BY 1),
-    common AS (SELECT coalesce(source, '') AS source, source IS NULL AS nosource, plain, arg_min(t, doc_id) AS home FROM lines GROUP BY ALL HAVING count(DISTINCT t) > 10),
-    removed AS (SELECT doc_id, sum(k) AS n FROM lines JOIN common c ON c.plain = lines.plain AND c.source = coalesce(lines.source, '') AND c.nosource = (lines.source IS NULL) WHERE home <> t GROUP BY 1),
+    common AS (SELECT coalesce(source, '') AS source, source IS NULL AS nosource, plain, arg_min(t, doc_id) AS home FROM lines GROUP BY ALL HAVING count(DISTINCT doc_id) > 10),
+    removed AS (SELECT doc_id, sum(k) AS n, string_agg(i - 1, ',' ORDER BY i) AS places FROM lines JOIN common c ON c.plain = lines.plain AND c.source = coalesce(lines.source, '') AND c.nosource = (lines.source IS NULL) WHERE home <> t GROUP BY 1),
     b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,
-      coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id))
+      coalesce(rep.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words, coalesce(places, '') AS removed_lines FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN removed USING (doc_id))
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
-      n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(n_removed_words AS BIGINT) AS n_removed_words,
-      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 3 OR (n_words - n_removed_words) * 100 < n_words * 20)) AS kept FROM b"""
+      n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(n_removed_words AS BIGINT) AS n_removed_words, removed_lines,
+      NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < 10 OR (n_words - n_removed_words) * 100 < n_words * 20)) AS kept FROM b"""
 
 
 @query
 def op4_quality(spark, sf_dir):
-    return quality.judge(table(spark, sf_dir, "documents")).drop("text_hash")
+    judged = quality.judge(table(spark, sf_dir, "documents")).drop("text_hash")
+    return judged.withColumn("removed_lines", F.array_join("removed_lines", ","))
 
 
 @query

@@ -1,9 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Base rules judge each text alone.  Then every line is normalised and hashed
-with its host, distinct texts that hold it are counted per host, and lines held
-by more than ``max_docs`` are removed from all but the first of them; a document
-left with too few words is rejected.
+with its host, distinct documents that hold it are counted per host, and lines
+held by more than ``max_docs`` are removed from all but the first of them and
+its exact copies; a document left with too few words is rejected.
 
 Counts are grouped with map-side combination, and the join that carries them
 back is split by adaptive execution where one line is very common; only hashes
@@ -19,8 +19,8 @@ from tidemark.llm.store import stored
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS, MAX_REPEATED, WINDOW = 10, 20, 5
-#: Texts of one host that may share a line, and words that must be left: a count and a share in percent.
-MAX_DOCS, LEAST_LEFT, LEAST_SHARE = 10, 3, 20
+#: Documents of one host that may share a line, and words that must be left: a count and a share in percent.
+MAX_DOCS, LEAST_LEFT, LEAST_SHARE = 10, MIN_WORDS, 20
 
 
 def _sorted_grams(grams: str):
@@ -62,33 +62,36 @@ def _line_hash(host: str, line: str):
 
 
 def line_rows(docs: DataFrame, text: str, row: str, host: str) -> DataFrame:
-    """A row for each line with a word: document, text hash, line hash, words."""
+    """A row for each line with a word: document, text hash, place, line hash, words."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(row).alias("_row"), F.xxhash64(body).alias("_text"), F.col(host).alias("_host"), F.explode(F.split(body, "\n")).alias("_line"))
+    lines = docs.select(F.col(row).alias("_row"), F.xxhash64(body).alias("_text"), F.col(host).alias("_host"), F.posexplode(F.split(body, "\n")).alias("_i", "_line"))
     lines = lines.withColumn("_w", F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+"))).filter("_w > 0")
-    return lines.select("_row", "_text", _line_hash("_host", "_line").alias("_hash"), "_w")
+    return lines.select("_row", "_text", "_i", _line_hash("_host", "_line").alias("_hash"), "_w")
 
 
 def common_lines(lines: DataFrame, max_docs: int) -> DataFrame:
-    """Hashes of lines held by more than ``max_docs`` distinct texts, and the text that keeps each."""
-    counts = lines.groupBy("_hash").agg(F.count_distinct("_text").alias("n"), F.min(F.struct("_row", "_text")).alias("_first"))
+    """Hashes of lines held by more than ``max_docs`` distinct documents, and the text that keeps each."""
+    counts = lines.groupBy("_hash").agg(F.count_distinct(F.struct("_row")).alias("n"), F.min(F.struct("_row", "_text")).alias("_first"))
     return counts.filter(F.col("n") > max_docs).select("_hash", F.col("_first._text").alias("_home"))
 
 
 def judge(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source",
           max_docs: int = MAX_DOCS, least_left: int = LEAST_LEFT, least_share: int = LEAST_SHARE) -> DataFrame:
     """A row for each row of ``docs``: its id, the columns of ``base``, the number
-    of words in removed lines (n_removed_words), and kept.
+    of words in removed lines (n_removed_words), the places of these lines from
+    0 (removed_lines, ascending), and kept.
 
-    Identical rows are one document and each gets its verdict; exact copies
-    under other ids count as one text and share the verdict of their lines.
+    Rows with one id are one document for the counts, and each gets its
+    verdict; exact copies under other ids are documents of their own, but those
+    of the first document that holds a line keep it as it does.
     A null host is a host of its own; a null id is an id.  An empty table
     gives no rows.  Other columns are not carried."""
     lines = line_rows(docs, text, row, host)
     common = common_lines(lines, max_docs)
     removed = F.when(F.col("_home") != F.col("_text"), F.col("_w")).otherwise(F.lit(0))
+    place = F.when(F.col("_home") != F.col("_text"), F.col("_i"))
     left = (lines.join(common, "_hash", "left").groupBy("_row", "_text")
-            .agg(F.sum("_w").alias("_all"), F.sum(F.coalesce(removed, F.lit(0))).alias("_removed")))
+            .agg(F.sum("_w").alias("_all"), F.sum(F.coalesce(removed, F.lit(0))).alias("_removed"), F.array_sort(F.collect_set(place)).alias("_gone")))
     own = base(docs.select(F.col(row).alias("_row"), F.col(text).alias("_body"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text")), "_body").drop("_body")
     out = own.join(left.withColumnsRenamed({"_row": "_row2", "_text": "_text2"}),
                    F.col("_row").eqNullSafe(F.col("_row2")) & (F.col("_text") == F.col("_text2")), "left")
@@ -99,29 +102,32 @@ def judge(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str
     depleted = (F.col("n_removed_words") > 0) & ((rest < least_left) | (rest * 100 < F.col("n_words") * least_share))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).select(
         F.col("_row").alias(row), F.col("_text").alias("text_hash"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "n_removed_words", "kept")
+        "base_failed", "n_removed_words", F.coalesce("_gone", F.array().cast("array<int>")).alias("removed_lines"), "kept")
 
 
-def kept_documents(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source", **limits) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+def _met(docs: DataFrame, text: str, row: str, host: str, limits: dict) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with the places of their removed
+    lines as _gone.  Only verdicts are written, never texts."""
     # Written first: pushed down, the filter would repeat the rules' nested expressions.
-    verdicts = stored(judge(docs, text=text, row=row, host=host, **limits).select(F.col(row).alias("_row"), F.col("text_hash").alias("_text"), "kept"), "verdicts")
-    good = verdicts.filter("kept")
+    verdicts = stored(judge(docs, text=text, row=row, host=host, **limits).filter("kept").select(
+        F.col(row).alias("_row"), F.col("text_hash").alias("_text"), F.col("removed_lines").alias("_gone")), "verdicts")
+    # Rows that repeat have one verdict for each of them.
+    good = verdicts.groupBy("_row", "_text").agg(F.first("_gone").alias("_gone"))
     match = docs[row].eqNullSafe(good["_row"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == good["_text"])
-    return docs.join(good.hint("shuffle_hash"), match, "left_semi")
+    return docs.join(good.hint("shuffle_hash"), match)
+
+
+def kept_documents(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source", **limits) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    return _met(docs, text, row, host, limits).select(*[docs[c] for c in docs.columns])
 
 
-def cleaned(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source", max_docs: int = MAX_DOCS, **limits) -> DataFrame:
+def cleaned(docs: DataFrame, *, text: str = "text", row: str = "doc_id", host: str = "source", **limits) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns and
-    kept_text: the text without its lines that ``judge`` counts as removed.
-    Other lines, blank ones too, stay as they are; a null text stays null."""
-    kept = stored(kept_documents(docs, text=text, row=row, host=host, max_docs=max_docs, **limits).withColumn("_body", F.coalesce(F.col(text), F.lit(""))), "kept")
-    # Lines are common among all documents, not only among those kept.
-    common = common_lines(line_rows(docs, text, row, host), max_docs)
-    held = kept.select(F.col(host).alias("_host"), "_body")
-    at = held.select("_host", F.xxhash64("_body").alias("_text"), F.posexplode(F.split("_body", "\n")).alias("_i", "_line"))
-    at = at.filter(F.regexp_count("_line", F.lit(r"[^\x20\x09-\x0D]+")) > 0).withColumn("_hash", _line_hash("_host", "_line"))
-    gone = at.join(common, "_hash").filter(F.col("_home") != F.col("_text")).groupBy("_host", "_text").agg(F.collect_set("_i").alias("_gone"))
-    match = (F.xxhash64(kept["_body"]) == gone["_text"]) & kept[host].eqNullSafe(gone["_host"])
-    rest = F.filter(F.split("_body", "\n"), lambda x, i: ~F.array_contains("_gone", i))
-    return kept.join(gone, match, "left").withColumn("kept_text", F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(rest, "\n"))).select(*docs.columns, "kept_text")
+    kept_text: the text without its lines that ``judge`` names as removed.
+    Other lines, blank ones too, stay as they are; a null text stays null.  A
+    column that is called kept_text, in any case, is replaced."""
+    met = _met(docs, text, row, host, limits)
+    rest = F.filter(F.split(docs[text], "\n"), lambda x, i: ~F.array_contains("_gone", i))
+    body = F.when(F.size("_gone") == 0, docs[text]).otherwise(F.array_join(rest, "\n"))
+    return met.select(*[docs[c] for c in docs.columns if c.lower() != "kept_text"], body.alias("kept_text"))
