@@ -187,3 +187,35 @@ def test_backward_equals_rounds_of_separate_fits(spark, values):
     single = {r["candidate_id"]: r["score"]["rmse"] for r in selection.change_one(frame, [], NAMES[:3], s, "add").collect()}
     want = plain_rounds(spark, frame, NAMES[:3], s, "add")
     assert {k: round(v, 8) for k, v in single.items()} == {k: round(v[1], 8) for k, v in want.items()}
+
+
+def long_models(spark):
+    """One model with few variables, one with few dates, standardised on all dates."""
+    rng = np.random.default_rng(4)
+    rows = [("tall", DAYS[t], f"v{i:02d}", float(rng.normal() + t * i / 50)) for i in range(6) for t in range(40)]
+    rows += [("wide", DAYS[t], f"v{i:02d}", float(rng.normal() + t * i / 90)) for i in range(30) for t in range(12)]
+    return spark.createDataFrame(rows, "model_id string, d date, variable string, v double")
+
+
+def test_components_do_not_depend_on_the_side(spark, monkeypatch):
+    p = long_models(spark)
+    end = DAYS[39].isoformat()
+    table = lambda df: df.toPandas().sort_values(["model_id", "component"]).reset_index(drop=True)
+    want = table(factor.spectrum(p, TRAIN[0], end))
+    factors = lambda: factor.static_factors(p, 2, TRAIN[0], end)[0].toPandas().sort_values(["model_id", "d"])
+    f = np.stack(factors()["f"].to_numpy())
+    assert list(want.groupby("model_id")["component"].max()) == [6, 12]
+    assert np.allclose(want.groupby("model_id")["cumulative"].last(), 1.0)
+    monkeypatch.setattr(factor, "FULL_SIDE", 3)
+    monkeypatch.setattr(factor, "LEADING", 4)
+    monkeypatch.setattr(toggles, "EXTRA", 2)
+    few = table(factor.spectrum(p, TRAIN[0], end))
+    both = want.merge(few, on=["model_id", "component"], suffixes=("", "_few"))
+    assert len(both) == len(few) == 8
+    for c in ("eigenvalue", "ratio", "cumulative", "n_variables"):
+        assert np.allclose(both[c], both[f"{c}_few"], rtol=1e-9)
+    assert np.allclose(np.stack(factors()["f"].to_numpy()), f, atol=1e-5)
+    monkeypatch.setattr(factor, "FULL_SIDE", 2000)
+    monkeypatch.setattr(factor, "HELD_BYTES", 1)  # sums handed on after every batch
+    rows = p.filter("model_id = 'wide'")
+    assert np.allclose(table(factor.spectrum(rows, TRAIN[0], end))["eigenvalue"], want[want["model_id"] == "wide"]["eigenvalue"])

@@ -7,13 +7,15 @@ one row per date."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import dynamics, window
+from tidemark.operators import dynamics, toggles, window
 from tidemark.operators.dynamics import GAIN_JITTER, MIN_EIGENVALUE, MIN_VARIANCE
 from tidemark.session import cut_lineage
 
@@ -92,51 +94,108 @@ def _standardized(panel: DataFrame, start, end) -> DataFrame:
         *VARIABLE, "d", y.alias("y"), F.coalesce(y / F.col("sigma"), F.lit(0.0)).alias("z"), "sigma", train.alias("train"))
 
 
-def _gram(train: DataFrame, centre: bool) -> DataFrame:
-    """Date-by-date cross products of each model, summed over its variables.
+#: Models whose smaller side, variables or dates, is at most this have all their
+#: components; larger ones have their leading ones, by subspace iteration.
+FULL_SIDE, LEADING = 2000, 100
+#: Bytes of date-by-date sums that a task holds before it hands them on.
+HELD_BYTES = 64 << 20
+
+
+def _components(train: DataFrame, k: int, centre: bool, listed: int | None = None) -> DataFrame:
+    """Leading date vectors times singular values ``f`` of each model and date,
+    its eigenvalues ``eigen`` (all of them, or the ``listed`` leading ones of a
+    very large model), their ``total`` and number of variables ``n``.
+
+    A variable is one array of calendar length.  The products are taken over
+    the smaller side: variable by variable in one task of a model with few
+    variables, date by date in sums that every task adds up first, and of a few
+    columns at a time where both sides are large.  The sign of each factor
+    makes its largest entry positive."""
+    z = F.transform("a", lambda x: x["z"])
+    if centre:
+        z = F.transform(z, lambda x: x - F.col("mean"))
+    rows = cut_lineage(train.groupBy(*VARIABLE).agg(F.array_sort(F.collect_list(F.struct("d", "z"))).alias("a"), F.avg("z").alias("mean")).select(
+        *VARIABLE, F.transform("a", lambda x: x["d"]).alias("dates"), z.alias("z")))
+    sizes = rows.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("z")).alias("t"))
+    side = F.when(F.least("n", "t") > FULL_SIDE, "neither").when(F.col("n") <= F.col("t"), "variables").otherwise("dates")
+    tagged = sizes.select("model_id", side.alias("side"))
+    found = {r["side"]: r["models"] for r in tagged.groupBy("side").agg(
+        F.collect_list(F.when(F.col("side") == "neither", F.col("model_id"))).alias("models")).collect()}
+    of_side = lambda s: rows if set(found) == {s} else rows.join(tagged.filter(F.col("side") == s), "model_id", "left_semi")
+    parts = []
+    if "variables" in found or not found:
+        parts.append(_by_variables(of_side("variables") if found else rows, k))
+    if "dates" in found:
+        parts.append(_by_dates(of_side("dates"), k))
+    for model in found.get("neither", []):
+        parts.append(_by_columns(rows.filter(F.col("model_id") == model), k, listed or k))
+    return reduce(lambda x, y: x.unionByName(y), parts)
+
+
+def _component_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([rows.schema["model_id"], T.StructField("d", T.DateType()), T.StructField("f", DOUBLES),
+                         T.StructField("eigen", DOUBLES), T.StructField("total", T.DoubleType()), T.StructField("n", T.LongType())])
+
+
+def _component_rows(model, dates, f, values, total, n) -> pd.DataFrame:
+    return pd.DataFrame({"model_id": model, "d": list(dates), "f": list(f), "eigen": [values] * len(dates), "total": float(total), "n": int(n)})
+
+
+def _by_variables(rows: DataFrame, k: int) -> DataFrame:
+    def solve(pdf):
+        z = np.stack(pdf.sort_values("variable")["z"].to_numpy()).astype(float)
+        values = np.maximum(np.linalg.eigvalsh(z @ z.T)[::-1], 0.0)
+        return _component_rows(pdf["model_id"].iloc[0], pdf["dates"].iloc[0], dynamics.leading(z, k), values, values.sum(), len(z))
+    return rows.groupBy("model_id").applyInPandas(solve, _component_schema(rows))
 
-    A variable is one array of calendar length; every task adds up its own
-    variables first, so what is shuffled is one calendar-sized table per task
-    and model, independent of the number of variables."""
-    arrays = train.groupBy(*VARIABLE).agg(F.array_sort(F.collect_list(F.struct("d", "z"))).alias("a")).select(
-        "model_id", F.transform("a", lambda x: x["d"]).alias("dates"), F.transform("a", lambda x: x["z"]).alias("z"))
 
+def _by_dates(rows: DataFrame, k: int) -> DataFrame:
+    """Date-by-date products, summed over variables: what is shuffled is one
+    table per task and model, independent of the number of variables."""
     def partial(batches):
         sums, dates, count = {}, {}, {}
+
+        def flush():
+            for model, g in sums.items():
+                yield pd.DataFrame({"model_id": model, "d": dates[model], "row": list(g), "n": count[model]})
+            for held in (sums, dates, count):
+                held.clear()
+
         for pdf in batches:
             for model, part in pdf.groupby("model_id"):
                 z = np.stack(part["z"].to_numpy()).astype(float)
-                z = z - z.mean(axis=1, keepdims=True) if centre else z
                 sums[model] = sums.get(model, 0) + z.T @ z
                 count[model] = count.get(model, 0) + len(z)
                 dates.setdefault(model, part["dates"].iloc[0])
-        for model, g in sums.items():
-            yield pd.DataFrame({"model_id": model, "d": dates[model], "row": list(g), "n": count[model]})
+                if sum(g.nbytes for g in sums.values()) > HELD_BYTES:
+                    yield from flush()
+        yield from flush()
 
     def total(pdf):
         return pd.DataFrame({"model_id": [pdf["model_id"].iloc[0]], "d": [pdf["d"].iloc[0]],
                              "row": [np.sum(np.stack(pdf["row"].to_numpy()), axis=0)], "n": [pdf["n"].sum()]})
 
-    schema = T.StructType([T.StructField("model_id", train.schema["model_id"].dataType), T.StructField("d", T.DateType()),
-                           T.StructField("row", DOUBLES), T.StructField("n", T.LongType())])
-    return arrays.mapInPandas(partial, schema).groupBy("model_id", "d").applyInPandas(total, schema)
-
-
-def _decompose(gram: DataFrame, k: int) -> DataFrame:
-    """Leading date vectors times singular values, and all eigenvalues.
-
-    The sign of each factor makes its largest entry positive."""
     def solve(pdf):
         pdf = pdf.sort_values("d")
         values, vecs = np.linalg.eigh(np.stack(pdf["row"].to_numpy()))
         values, vecs = np.maximum(values[::-1], 0.0), vecs[:, ::-1][:, :k]
-        vecs = vecs * np.sign(vecs[np.abs(vecs).argmax(axis=0), np.arange(vecs.shape[1])])
-        f = vecs * np.sqrt(values[:k])
         keep = int(min(pdf["n"].iloc[0], len(pdf)))
-        return pd.DataFrame({"model_id": pdf["model_id"], "d": pdf["d"], "f": list(f), "eigen": [values[:keep]] * len(pdf), "n": pdf["n"]})
+        return _component_rows(pdf["model_id"].iloc[0], pdf["d"], dynamics.oriented(vecs * np.sqrt(values[:k])), values[:keep], values[:keep].sum(), pdf["n"].iloc[0])
+
+    schema = T.StructType([rows.schema["model_id"], T.StructField("d", T.DateType()), T.StructField("row", DOUBLES), T.StructField("n", T.LongType())])
+    gram = rows.mapInPandas(partial, schema).groupBy("model_id", "d").applyInPandas(total, schema)
+    return gram.groupBy("model_id").applyInPandas(solve, _component_schema(rows))
+
 
-    schema = T.StructType([gram.schema["model_id"], gram.schema["d"], T.StructField("f", DOUBLES), T.StructField("eigen", DOUBLES), T.StructField("n", T.LongType())])
-    return gram.groupBy("model_id").applyInPandas(solve, schema)
+def _by_columns(rows: DataFrame, k: int, listed: int) -> DataFrame:
+    """Leading components of one large model by block subspace iteration."""
+    first = rows.select("model_id", "dates").first()
+    names = [r[0] for r in rows.select("variable").collect()]
+    panel = toggles.Panel(rows.select("variable", F.col("z").alias("y"), "z", F.lit(1.0).alias("sigma")), list(first["dates"]), np.ones(len(first["dates"]), bool))
+    f = toggles.leading_by_jobs(panel, names, {"all": None}, min(max(k, listed), len(first["dates"]), len(names)))[0]
+    total = rows.agg(F.sum(F.aggregate("z", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    made = _component_rows(first["model_id"], first["dates"], f[:, :k], (f * f).sum(axis=0), total, len(names))
+    return rows.sparkSession.createDataFrame(made, _component_schema(rows))
 
 
 def spectrum(panel: DataFrame, train_start, train_end) -> DataFrame:
@@ -147,10 +206,9 @@ def spectrum(panel: DataFrame, train_start, train_end) -> DataFrame:
     std = _standardized(panel, train_start, train_end).filter("train")
     moving = std.groupBy(*VARIABLE).agg(F.min("z").alias("lo"), F.max("z").alias("hi")).filter("lo < hi")
     train = std.join(moving, VARIABLE, "left_semi")
-    one = _decompose(_gram(train, centre=True), 1).groupBy("model_id").agg(
-        F.first("eigen").alias("eigen"), F.count(F.lit(1)).alias("t"), F.first("n").alias("n_variables"))
-    total = F.aggregate("eigen", F.lit(0.0), lambda a, x: a + x)
-    rows = one.select("model_id", "t", "n_variables", total.alias("total"), "eigen", F.posexplode("eigen").alias("i", "e"))
+    one = _components(train, 1, True, LEADING).groupBy("model_id").agg(
+        F.first("eigen").alias("eigen"), F.count(F.lit(1)).alias("t"), F.first("n").alias("n_variables"), F.first("total").alias("total"))
+    rows = one.select("model_id", "t", "n_variables", "total", "eigen", F.posexplode("eigen").alias("i", "e"))
     running = F.aggregate(F.slice("eigen", F.lit(1), F.col("i") + 1), F.lit(0.0), lambda a, x: a + x)
     return rows.select("model_id", (F.col("i") + 1).alias("component"), F.try_divide("e", F.col("t") - 1).alias("eigenvalue"),
                        F.try_divide("e", "total").alias("ratio"), F.try_divide(running, F.col("total")).alias("cumulative"), "n_variables")
@@ -180,7 +238,7 @@ def static_factors(panel: DataFrame, k: int, train_start, train_end) -> tuple[Da
     weights, loading on centred values and idiosyncratic variance."""
     std = cut_lineage(_standardized(panel, train_start, train_end))
     train = std.filter("train")
-    factors = cut_lineage(_decompose(_gram(train, centre=False), k).select("model_id", "d", "f"))
+    factors = cut_lineage(_components(train, k, False).select("model_id", "d", "f"))
     joined = train.join(factors, ["model_id", "d"])
     weights = regress(joined.select(*VARIABLE, "f", F.col("z").alias("y")), VARIABLE, k)
     loads = regress(joined.select(*VARIABLE, "f", "y"), VARIABLE, k)
