@@ -90,3 +90,34 @@ def test_long_paths_need_little_memory():
     tracemalloc.stop()
     assert path[0] == (0, 0) and path[-1] == (5999, 5999) and peak < 20e6  # the table has 36 million moves
     assert distance == pytest.approx(math.sqrt(sum((a[i] - b[j]) ** 2 for i, j in path)))
+
+
+def plain_weeks(rows, fridays, borrow=True):
+    """Weeks of one series, each looked up on its own."""
+    held = {f: sorted((d, v) for d, v in rows if v is not None and f - dt.timedelta(days=7) < d <= f) for f in fridays}
+    out = {}
+    for i, f in enumerate(fridays):
+        ahead = held[fridays[i + 1]] if i + 1 < len(fridays) else []
+        if held[f]:
+            out[f] = held[f][-1][1], None
+        else:
+            out[f] = (ahead[0][1], ahead[0][0]) if borrow and len(ahead) >= 2 else (None, None)
+    return out
+
+
+@pytest.mark.parametrize("borrow", [True, False])
+def test_weekly_alignment_equals_weeks_looked_up_one_by_one(spark, borrow):
+    rng = np.random.default_rng(12)
+    start, end = dt.date(2024, 1, 6), dt.date(2024, 4, 3)
+    fridays = [d for d in (start + dt.timedelta(days=i) for i in range(89)) if d.weekday() == 4 and d <= end]
+    every = [dt.date(2023, 12, 1) + dt.timedelta(days=int(i)) for i in range(180)]
+    series = {f"s{k}": [(d, None if rng.random() < 0.3 else float(rng.normal())) for d in every if rng.random() < share]
+              for k, share in enumerate((0.02, 0.05, 0.1, 0.2, 0.5, 0.1, 0.05))}
+    series |= {"late": [(fridays[5], 1.0), (fridays[5] - dt.timedelta(days=1), 2.0)], "outside": [(every[0], 1.0), (every[-1], 2.0)], "nulls": [(fridays[2], None)]}
+    frame = spark.createDataFrame([(n, d, v) for n, rows in series.items() for d, v in rows], "series string, d date, v double")
+    got = {}
+    for r in align.align_weekly(frame, start, end, borrow).collect():
+        got.setdefault(r.series, {})[r.d] = (r.v, r.borrowed_from)
+    assert got == {n: plain_weeks(rows, fridays, borrow) for n, rows in series.items() if rows}
+    plan = align.align_weekly(frame, start, end)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan

@@ -144,28 +144,40 @@ def lag_pairs(obs: DataFrame, target: str, max_lag: int) -> DataFrame:
     return candidates.mapInArrow(pairs, "candidate string, lag int, px int, py int, x double, y double")
 
 
-def weekly_windows(obs: DataFrame) -> DataFrame:
-    """Facts of each Saturday-to-Friday window that holds a valid value."""
-    valid = obs.filter(F.col("v").isNotNull())
-    return valid.groupBy("series", cal.week_ending(F.col("d")).alias("friday")).agg(
-        F.max_by("v", "d").alias("last_v"), F.min_by("v", "d").alias("first_v"),
-        F.min("d").alias("first_d"), F.count(F.lit(1)).alias("n"))
+def weekly_windows(obs: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Facts of each Saturday-to-Friday window between two Fridays: its valid
+    values.  All rows outside are one window without a Friday."""
+    seen = F.when(F.col("v").isNotNull(), F.col("d"))
+    friday = cal.week_ending(F.col("d"))
+    return obs.groupBy("series", F.when(friday.between(first, last), friday).alias("friday")).agg(
+        F.max_by("v", seen).alias("last_v"), F.min_by("v", seen).alias("first_v"), F.min(seen).alias("first_d"), F.count("v").alias("n"))
 
 
 def align_weekly(obs: DataFrame, start, end, borrow: bool = True) -> DataFrame:
     """Dense weekly panel: last value of each week; an empty week may copy the
     first value of a following week that holds at least two.
 
-    Adds ``borrowed_from``, the donor date, null where nothing was borrowed."""
-    names = obs.select("series").distinct()
-    dense = friday_spine(names, start, end).join(
-        weekly_windows(obs).withColumnRenamed("friday", "d"), ["series", "d"], "left")
-    w = Window.partitionBy("series").orderBy("d")
-    ahead = F.lead(F.struct("first_v", "first_d", "n")).over(w)
-    can = F.lit(borrow) & F.col("last_v").isNull() & (F.col("_next.n") >= 2)
-    return dense.withColumn("_next", ahead).select(
-        "series", "d", F.when(can, F.col("_next.first_v")).otherwise(F.col("last_v")).alias("v"),
-        F.when(can, F.col("_next.first_d")).alias("borrowed_from"))
+    Adds ``borrowed_from``, the donor date, null where nothing was borrowed.
+
+    One pass: the windows of a series are put in order and each writes its own
+    week and the empty ones up to the next, of which the last may borrow.  There
+    is one exchange after the reduction to windows, by series, on which the gap
+    rule goes on; no spine is joined."""
+    day = lambda x: F.lit(x).cast("date")
+    first, last = cal.week_ending(day(start)), F.date_sub(cal.week_ending(F.date_add(day(end), 1)), 7)
+    w = Window.partitionBy("series").orderBy(F.col("_at").asc_nulls_first())
+    placed = weekly_windows(obs, first, last).withColumnRenamed("friday", "_at").withColumn("_next", F.lead(F.struct("_at", "first_v", "first_d", "n")).over(w))
+    # Before its first window in the range a series has empty weeks too.
+    placed = placed.withColumn("_from", F.when(F.lag(F.lit(True)).over(w).isNull(), first).otherwise(F.col("_at")))
+    to = F.coalesce(F.date_sub("_next._at", 7), last)
+    weeks = F.when(F.col("_from") <= to, F.sequence("_from", to, F.expr("interval 7 days")))
+    facts = F.struct("_at", "first_v", "first_d", "n")
+    rows = placed.select("series", F.explode(weeks).alias("d"), "_at", "last_v", facts.alias("_own"), "_next")
+    # Empty weeks before a series' first window look to that one, all others to the next.
+    rows = rows.withColumn("_donor", F.when(F.col("d") < F.col("_at"), F.col("_own")).otherwise(F.col("_next")))
+    own = F.when(F.col("d") == F.col("_at"), F.col("last_v"))
+    can = F.lit(borrow) & own.isNull() & (F.col("_donor._at") == F.date_add("d", 7)) & (F.col("_donor.n") >= 2)
+    return rows.select("series", "d", F.when(can, F.col("_donor.first_v")).otherwise(own).alias("v"), F.when(can, F.col("_donor.first_d")).alias("borrowed_from"))
 
 
 def borrowing_log(aligned: DataFrame) -> DataFrame:
