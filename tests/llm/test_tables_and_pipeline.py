@@ -176,3 +176,32 @@ def test_removed_lines_do_not_reach_the_packed_output(spark, tmp_path):
     plain = {r.doc_id: r.doc_tokens for r in packing.digest(packing.pack(spark.read.parquet(f"{tmp_path}/documents.parquet"))).collect()}
     assert set(tokens) == set(plain) and tokens[0] == plain[0]
     assert all(tokens[i] < plain[i] - 25 for i in range(1, 14))
+
+
+# --- samples to learn from
+
+def test_every_language_and_long_texts_are_learned_from(spark, monkeypatch):
+    from tidemark.llm import language
+    rng = random.Random(9)
+    rows = [(f"l{k:03d}", prose(rng, 6)) for k in range(300)] + [("l000", "the same")] * 500 + [("l000", prose(rng, 5)) for _ in range(40)] + [(None, "x"), ("l1", None)]
+    frame = spark.createDataFrame(rows, "lang string, text string")
+    got = language.sample(frame, "text", "lang", size=3)
+    assert {name for name, _ in got} == {name for name, t in rows if name and t}
+    assert len(got) == len(set(got)) and got == language.sample(frame.repartition(7), "text", "lang", size=3)
+    assert max(sum(1 for g in got if g[0] == name) for name in ("l000", "l001")) <= 3
+    few = language.sample(frame, "text", "lang", size=3, most_texts=10)
+    assert {name for name, _ in few} == {name for name, _ in got} and len(few) == 300
+    long = prose(rng, 9000) + " 10.0.0.1"
+    texts = spark.createDataFrame([(long,), ("a 1",), ("a 1",), ("no digit",), (None,)], "text string")
+    assert pii.sample(texts) == sorted([long, "a 1"])
+    assert len(pii.sample(texts, most_bytes=10)) == 1
+
+
+def test_columns_that_clash_in_another_case_are_replaced(spark):
+    from tidemark.llm import decontamination, language
+    frame = spark.createDataFrame([(1, "ask a@b.co", "x", "y", "z")], "doc_id long, text string, PII_SPANS string, Lang_Pred string, N_Words string")
+    marked = pii.digest(pii.personal_data(frame, pii.fit([])))
+    assert [s.kind for s in marked.first().pii_spans] == ["email"]
+    assert language.identify(frame, language.fit([("en", "some words")])).first().lang_pred == "en"
+    items = spark.createDataFrame([(1, "ask a b")], "item_id long, text string")
+    assert decontamination.contamination(frame, items).select("n_words").first().n_words == 4

@@ -223,7 +223,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, text: str = "text", item
         b = block(rows, window, shingle)
         if b.tokens:
             chosen.append(spark.sparkContext.broadcast(choose(b, count_shingles(docs, b, text), shingle)))
-    carried = [c for c in docs.columns if c not in ("n_words", "hit_runs", "found_items")]
+    carried = [c for c in docs.columns if c.lower() not in ("n_words", "hit_runs", "found_items")]
     body = carried.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in carried]).schema)
     schema += ", n_words long, hit_runs array<struct<start:int,end:int>>, found_items array<string>"

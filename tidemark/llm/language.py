@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.store import regroup, small_batches
 
-#: Texts per language to learn from (about so many, drawn by a hash of text), and languages at most.
-SAMPLE, MOST_LANGUAGES = 1500, 256
+#: Texts per language to learn from (drawn by a hash of text), and of all languages together.
+SAMPLE, MOST_TEXTS = 1500, 96_000
+#: Languages up to which their counts are broadcast, a few bytes each.
+MOST_SENT = 1 << 16
 BUCKETS = 1 << 16
 #: Cost of a change of language, in natural log units; share of a language's letters that makes a script one of its own.
 PENALTY, LEAST_SCRIPT = 6.0, 0.02
@@ -149,17 +151,23 @@ def viterbi(counts: np.ndarray, scores: np.ndarray, penalty: float = PENALTY) ->
     return labels
 
 
-def sample(docs: DataFrame, text: str, label: str, size: int = SAMPLE) -> list[tuple[str, str]]:
-    """About ``size`` labelled texts of each language, drawn by a hash of the text."""
-    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    totals = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).collect()
-    draw = F.pmod(F.xxhash64(text), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    chosen = F.lit(False)
-    for name, n in totals:
-        chosen = chosen | ((F.col(label) == name) & (draw < size / n))
-    got = rows.filter(chosen).select(label, text)
-    most = 2 * size * max(1, len(totals))  # a text that repeats is drawn as often
-    return sorted(map(tuple, got.limit(most).collect()))
+def sample(docs: DataFrame, text: str, label: str, size: int = SAMPLE, most_texts: int = MOST_TEXTS) -> list[tuple[str, str]]:
+    """Up to ``size`` distinct labelled texts of each language, in order of a
+    hash of the text; fewer of each, but of every one, where all languages
+    together would have more than ``most_texts``."""
+    rows = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    order = F.pmod(F.col("h"), F.lit(1_000_003))
+    # Copies count once; the first text of a language is taken in any case.
+    totals = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n"), F.min(F.struct(order.alias("o"), "h"))["h"].alias("first"))
+    n_labels = totals.count()
+    each = max(1, min(size, most_texts // max(1, n_labels)))
+    if n_labels <= MOST_SENT:
+        totals = F.broadcast(totals)
+    # Drawn first, so that the order is taken among a few times as many as are kept.
+    near = order / F.lit(1_000_003.0) < 2 * each / F.col("n")
+    drawn = rows.join(totals, "l").filter(near | (F.col("h") == F.col("first"))).dropDuplicates(["l", "h"])
+    place = F.row_number().over(Window.partitionBy("l").orderBy(order, "h"))
+    return sorted(map(tuple, drawn.withColumn("place", place).filter(F.col("place") <= each).select("l", "t").collect()))
 
 
 SPANS = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
@@ -175,7 +183,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", penalty: floa
     are read whole; rows may repeat and any other column may be null."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = [c for c in docs.columns if c not in ("lang_spans", "lang_pred", "lang_score")]
+    carried = [c for c in docs.columns if c.lower() not in ("lang_spans", "lang_pred", "lang_score")]
     body = carried.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in carried]).schema)
     schema += ", lang_spans array<struct<first_word:int,n_words:int,lang:string>>, lang_pred string, lang_score double"

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.store import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts to learn from (about so many), characters of one at most, tokens in a span, rounds.
-SAMPLE, SAMPLE_CHARS, MOST_TOKENS, ROUNDS = 2000, 20_000, 24, 60
+#: Texts to learn from at most, their bytes together, tokens in a span, rounds.
+SAMPLE, SAMPLE_BYTES, MOST_TOKENS, ROUNDS = 2000, 32 << 20, 24, 60
 
 TRIGGER = re.compile("[0-9@]")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -246,12 +246,23 @@ def added(text: str, base: list[tuple[str, int, int]], model: Field) -> list[tup
     return out
 
 
-def sample(docs: DataFrame, text: str = "text", size: int = SAMPLE) -> list[str]:
-    """About ``size`` distinct texts with a digit or ``@``, drawn by a hash of the text."""
-    rows = docs.filter(F.col(text).rlike("[0-9@]") & (F.length(text) <= SAMPLE_CHARS)).select(text)
+def sample(docs: DataFrame, text: str = "text", size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[str]:
+    """Up to ``size`` distinct texts with a digit or ``@``, whole and of any
+    length, in order of a hash of the text, as long as all of them together
+    have at most ``most_bytes`` (the first is taken in any case)."""
+    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
     total = rows.count()
-    draw = F.pmod(F.xxhash64(text), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return sorted({r[0] for r in rows.filter(draw < size / max(total, 1)).limit(4 * size).collect()})
+    near = F.pmod(F.col("h"), F.lit(1_000_003)) / F.lit(1_000_003.0) < 4 * size / max(total, 1)
+    drawn = rows.filter(near)
+    order = F.pmod(F.col("h"), F.lit(1_000_003)), F.col("h")
+    sizes = drawn.select("h", F.octet_length("t").alias("n")).distinct().orderBy(*order).limit(size).collect()
+    chosen, held = [], 0
+    for h, n in sizes:
+        if chosen and held + n > most_bytes:
+            break
+        chosen.append(h)
+        held += n
+    return sorted({r[0] for r in drawn.filter(F.col("h").isin(chosen)).select("t").distinct().collect()}) if chosen else []
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
@@ -259,7 +270,7 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 
 def personal_data(docs: DataFrame, model: Field, *, text: str = "text", mark: str | None = None) -> DataFrame:
     """``docs`` with pii_spans (kind, start, end in code points, whether base),
-    by start and then kind, in place of a column so called.  With ``mark``,
+    by start and then kind, in place of a column so called in any case.  With ``mark``,
     such as ``<{}>``, the text also has each span replaced; overlapping spans
     are replaced as one, by the first's kind.
 
@@ -267,7 +278,7 @@ def personal_data(docs: DataFrame, model: Field, *, text: str = "text", mark: st
     repeat and any other column may be null."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = [c for c in docs.columns if c != "pii_spans"]
+    carried = [c for c in docs.columns if c.lower() != "pii_spans"]
     body = carried.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[f"`{c}`" for c in carried]).schema)
     schema += ", pii_spans array<struct<kind:string,start:int,end:int,base:boolean>>"

@@ -109,10 +109,10 @@ def _met(docs: DataFrame, text: str, row: str, host: str, limits: dict) -> DataF
     """The rows of ``docs`` that the rules keep, with the places of their removed
     lines as _gone.  Only verdicts are written, never texts."""
     # Written first: pushed down, the filter would repeat the rules' nested expressions.
-    verdicts = stored(judge(docs, text=text, row=row, host=host, **limits).filter("kept").select(
-        F.col(row).alias("_row"), F.col("text_hash").alias("_text"), F.col("removed_lines").alias("_gone")), "verdicts")
+    verdicts = stored(judge(docs, text=text, row=row, host=host, **limits).select(
+        F.col(row).alias("_row"), F.col("text_hash").alias("_text"), F.col("removed_lines").alias("_gone"), "kept"), "verdicts")
     # Rows that repeat have one verdict for each of them.
-    good = verdicts.groupBy("_row", "_text").agg(F.first("_gone").alias("_gone"))
+    good = verdicts.filter("kept").groupBy("_row", "_text").agg(F.first("_gone").alias("_gone"))
     match = docs[row].eqNullSafe(good["_row"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == good["_text"])
     return docs.join(good.hint("shuffle_hash"), match)
 
