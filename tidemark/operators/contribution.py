@@ -106,24 +106,38 @@ def validate_contributions(contributions: DataFrame, total: DataFrame,
     return out.withColumn("passed", F.col("max_diff") <= tolerance)
 
 
+GRAM = 3
+
+
+def _grams(c: Column, sizes: Column) -> Column:
+    """Distinct character sequences of the given lengths, in work linear in the text."""
+    def of_length(chars, n):
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(1), F.size(chars) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
+    chars = F.split(c, "")
+    return F.array_distinct(F.flatten(F.transform(sizes, lambda n: of_length(chars, n))))
+
+
 def match_names(names: DataFrame, weights: DataFrame) -> DataFrame:
     """Weight indicator whose name contains each industry name.
 
-    Containment becomes hash equality: every substring of a weight name is
-    generated once and joined by value.  A plain match beats one that ignores
-    separators; the earliest weight row wins."""
-    def pieces(c: Column) -> Column:
-        n = F.length(c)
-        starts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(
-            F.sequence(F.lit(1), F.greatest(n - i + 1, F.lit(1))), lambda k: F.substring(c, i, k)))
-        return F.array_distinct(F.flatten(starts))
-
-    w = weights.filter(F.col("indicator").isNotNull()).groupBy("indicator").agg(F.min("pos").alias("pos"))
-    plain = w.select("indicator", "pos", F.explode(pieces(F.col("indicator"))).alias("_key"), F.lit(0).alias("loose"))
-    loose = w.select("indicator", "pos", F.explode(pieces(strip_separators(F.col("indicator")))).alias("_key"), F.lit(1).alias("loose"))
-    wanted = names.select("industry", F.col("industry").alias("_key"), F.lit(0).alias("loose")).unionByName(
-        names.select("industry", strip_separators(F.col("industry")).alias("_key"), F.lit(1).alias("loose"))).filter("_key <> ''")
-    hits = wanted.join(plain.unionByName(loose), ["_key", "loose"])
+    Postings of short character sequences of the weight names stand for their
+    substrings: an industry name is looked up by the rarest of its own
+    sequences, in the names that hold it, and verified there.  A plain match
+    beats one that ignores separators; the earliest weight row wins."""
+    w = weights.filter(F.col("indicator").isNotNull()).groupBy("indicator").agg(F.min("pos").alias("pos")).withColumn("_id", F.xxhash64("indicator"))
+    both = lambda df, name: df.withColumn("_text", F.col(name)).withColumn("loose", F.lit(0)).unionByName(
+        df.withColumn("_text", strip_separators(F.col(name))).withColumn("loose", F.lit(1))).filter("_text <> ''")
+    texts = both(w, "indicator")
+    sizes = F.array(*[F.lit(n) for n in range(1, GRAM + 1)])
+    postings = texts.select("loose", "_id", F.explode(_grams(F.col("_text"), sizes)).alias("_gram"))
+    often = postings.groupBy("loose", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = both(names.select("industry").distinct(), "industry").withColumnRenamed("_text", "_key")
+    own = wanted.withColumn("_gram", F.explode(_grams(F.col("_key"), F.array(F.least(F.length("_key"), F.lit(GRAM))))))
+    rarest = own.join(often, ["loose", "_gram"], "left").groupBy("industry", "loose", "_key").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("r")).filter("r.n > 0")
+    found = rarest.select("industry", "loose", "_key", F.col("r._gram").alias("_gram")).join(postings, ["loose", "_gram"])
+    hits = found.join(texts, ["loose", "_id"]).filter(F.contains("_text", "_key"))
     return hits.groupBy("industry").agg(F.min_by("indicator", F.struct("loose", "pos", "indicator")).alias("indicator"))
 
 
