@@ -115,7 +115,7 @@ def display_names(spark, sf):
 
 @query("formatted_numbers", "s_suppkey:n sign:s shown:s bins:n ratio:f", """
     SELECT s_suppkey, CASE WHEN s_acctbal > 0 THEN 'positive' WHEN s_acctbal < 0 THEN 'negative' END AS sign,
-      format('{:.1f}', round(s_acctbal + 0.003, 1)) AS shown, CAST(greatest(2, ceil(least(sqrt(s_suppkey + 1), 10 * log10(s_suppkey + 1)))) AS BIGINT) AS bins,
+      CASE WHEN s_acctbal IS NULL OR isnan(s_acctbal) THEN '-' ELSE format('{:.1f}', round(s_acctbal + 0.003, 1)) END AS shown, CAST(greatest(2, ceil(least(sqrt(s_suppkey + 1), 10 * log10(s_suppkey + 1)))) AS BIGINT) AS bins,
       CASE WHEN abs(s_acctbal) < 1e-15 THEN 0 ELSE 1000 / s_acctbal END AS ratio FROM supplier""")
 def formatted_numbers(spark, sf):
     v, n = F.col("s_acctbal"), F.col("s_suppkey") + 1

@@ -154,8 +154,11 @@ def sign_class(v: Column) -> Column:
 
 
 def fixed_decimals(v: Column, places: int = 2) -> Column:
-    """Number with ``places`` decimals, or a dash for a missing one."""
-    return F.coalesce(F.format_string(f"%.{places}f", F.round(v, places)), F.lit("-"))
+    """Number with ``places`` decimals, or a dash for a missing one.
+
+    A negative number keeps its sign where it rounds to zero."""
+    shown = F.format_string(f"%.{places}f", F.abs(F.round(v, places)))
+    return F.when(v.isNull() | F.isnan(v), F.lit("-")).otherwise(F.concat(F.when(v < 0, "-").otherwise(""), shown))
 
 
 def contains_any(term: str, *cols: Column) -> Column:
