@@ -191,7 +191,7 @@ def borrow_move(obs: DataFrame, freq: str = "W") -> DataFrame:
     Weekly stamps first go to their Friday.  A window with rows but no value
     takes the first value of the adjacent next window when that holds two or
     more; the value lands on the window's latest row and the donor date turns
-    null.  Repeated dates are averaged."""
+    null.  Repeated dates are averaged.  One pass over the rows of a series."""
     stamp = cal.nearest_friday(F.col("d")) if freq == "W" else F.col("d")
     number = (F.floor(F.datediff(cal.week_ending(stamp), F.lit("1970-01-02").cast("date")) / 7)
               if freq == "W" else cal.dekad_number(stamp)).cast("int")
@@ -200,19 +200,14 @@ def borrow_move(obs: DataFrame, freq: str = "W") -> DataFrame:
     rows = placed.groupBy("series", "_w", "d").agg(
         F.avg("v").alias("v"), F.count("v").alias("n"),
         F.min_by(F.when(valid, F.col("v")), F.when(valid, F.col("_orig"))).alias("first_v"))
-    windows = rows.groupBy("series", "_w").agg(
-        F.sum("n").alias("n"), F.max("d").alias("target_d"),
-        F.min(F.when(F.col("n") > 0, F.struct("d", "first_v"))).alias("donor"))
-    w = Window.partitionBy("series").orderBy("_w")
-    nxt = F.lead(F.struct("_w", "n", "donor")).over(w)
-    moves = (windows.withColumn("_next", nxt)
-             .filter((F.col("n") == 0) & (F.col("_next._w") == F.col("_w") + 1) & (F.col("_next.n") >= 2))
-             .select("series", F.explode(F.array(
-                 F.struct(F.col("target_d").alias("d"), F.col("_next.donor.first_v").alias("moved")),
-                 F.struct(F.col("_next.donor.d").alias("d"), F.lit(None).cast("double").alias("moved")))).alias("m"))
-             .select("series", "m.*", F.lit(True).alias("_hit")))
-    return (rows.select("series", "d", "v").join(moves, ["series", "d"], "left")
-            .select("series", "d", F.when(F.col("_hit"), F.col("moved")).otherwise(F.col("v")).alias("v")))
+    # Frames of whole windows by their number: this one, the next, the one before.
+    at = lambda k: Window.partitionBy("series").orderBy("_w").rangeBetween(k, k)
+    n, donor = F.sum("n"), F.min(F.when(F.col("n") > 0, F.struct("d", "first_v")))
+    placed = rows.select("series", "d", "v", n.over(at(0)).alias("_n"), n.over(at(1)).alias("_n_next"), n.over(at(-1)).alias("_n_before"),
+                         F.max("d").over(at(0)).alias("_target"), donor.over(at(0)).alias("_own"), donor.over(at(1)).alias("_donor"))
+    takes = (F.col("_n") == 0) & (F.col("_n_next") >= 2) & (F.col("d") == F.col("_target"))
+    gives = (F.col("_n_before") == 0) & (F.col("_n") >= 2) & (F.col("d") == F.col("_own.d"))
+    return placed.select("series", "d", F.when(takes, F.col("_donor.first_v")).when(~F.coalesce(gives, F.lit(False)), F.col("v")).alias("v"))
 
 
 def daily_to_weekly(obs: DataFrame) -> DataFrame:

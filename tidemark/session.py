@@ -61,6 +61,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of one task of :func:`spread_rows`; its operators hold about a hundred bytes of each, several of them at a time.
+TASK_ROWS = 200_000
+
+
+def spread_rows(df: DataFrame, n_rows: int, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into tasks of about ``TASK_ROWS`` of the ``n_rows`` rows.
+
+    The number of tasks grows with the input and the memory of one does not,
+    where the adaptive coalescing makes a fixed number of larger tasks.  Later
+    windows and aggregations on the keys need no further shuffle."""
+    return df.repartition(max(-(-n_rows // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Partition by ``keys`` into a fixed number of tasks.
 
