@@ -145,11 +145,17 @@ def seasonal_profile(obs: DataFrame, freq: str, current_year: int) -> DataFrame:
     v = F.col("v") if freq == "D" else F.nullif("v", F.lit(0.0))
     year = F.year(d)
     in_year = lambda y: F.max_by(F.when(year == y, F.col("v")), F.when(year == y, d))
-    stats = obs.withColumn("v", v).withColumn("period", period.cast("int")).groupBy("series", "period").agg(
+    within = F.when(period <= size, period.cast("int"))
+    stats = obs.withColumn("v", v).withColumn("_at", within).groupBy("series", "_at").agg(
         F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"),
         in_year(current_year).alias("current"), in_year(current_year - 1).alias("previous"))
-    spine = obs.select("series").distinct().withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(size))))
-    out = spine.join(stats, ["series", "period"], "left")
+    # Each period writes its own row and the empty ones up to the next, the first also those before it.
+    w = Window.partitionBy("series").orderBy(F.col("_at").asc_nulls_first())
+    start = F.when(F.row_number().over(w) == 1, 1).otherwise(F.col("_at"))
+    placed = stats.withColumn("_from", start).withColumn("_to", F.coalesce(F.lead("_at").over(w) - 1, F.lit(size)))
+    rows = placed.withColumn("period", F.explode(F.when(F.col("_from") <= F.col("_to"), F.sequence("_from", "_to"))))
+    own = F.col("period") == F.col("_at")
+    out = rows.select("series", "period", *[F.when(own, F.col(c)).alias(c) for c in ("low", "high", "mean", "current", "previous")])
     if freq == "D":
         ahead = Window.partitionBy("series").orderBy("period")
         back = Window.partitionBy("series").orderBy(F.col("period").desc())
