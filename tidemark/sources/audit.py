@@ -21,27 +21,25 @@ def time_series_audit(obs: DataFrame) -> DataFrame:
 
     Counts come from one aggregation per ``(series, d)``; a repeated stamp adds
     gaps of zero days, so gap moments need no sort of the raw rows beyond one
-    row per date."""
+    row per date.  All figures go on from there in one pass, without a join."""
     per_date = obs.groupBy("series", "d").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("n_valid"))
     w = Window.partitionBy("series").orderBy("d")
     stepped = per_date.withColumn("gap", F.datediff("d", F.lag("d").over(w)))
-    # A date held n times contributes its real gap once and n-1 zero gaps.
-    modes = (stepped.select("series", F.explode(F.array(
-        F.struct(F.col("gap"), F.when(F.col("gap").isNotNull(), 1).otherwise(0).alias("k")),
-        F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).cast("int").alias("k")))).alias("g"))
-        .groupBy("series", "g.gap").agg(F.sum("g.k").alias("k")).filter("k > 0"))
+    # A date held n times contributes its real gap once and n-1 zero gaps; its counts go with the real one.
+    none = F.lit(0).cast("long")
+    modes = (stepped.select("series", "d", F.explode(F.array(
+        F.struct(F.col("gap"), F.when(F.col("gap").isNotNull(), 1).otherwise(0).alias("k"), F.col("n"), F.col("n_valid"), F.lit(1).alias("dates")),
+        F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).cast("int").alias("k"), none.alias("n"), none.alias("n_valid"), F.lit(0).alias("dates")))).alias("g"))
+        .groupBy("series", "g.gap").agg(F.sum("g.k").alias("k"), F.sum("g.n").alias("n"), F.sum("g.n_valid").alias("n_valid"),
+                                        F.sum("g.dates").alias("dates"), F.min("d").alias("lo"), F.max("d").alias("hi")))
     k, g = F.col("k"), F.col("gap")
-    n_gaps = F.sum(k)
-    mean = F.sum(k * g) / n_gaps
-    moments = modes.groupBy("series").agg(
-        F.min_by("gap", F.struct(-k, g)).alias("mode_gap"), n_gaps.alias("n_gaps"), mean.alias("mean_gap"),
+    n_gaps = F.nullif(F.sum(k), F.lit(0))
+    out = modes.groupBy("series").agg(
+        F.min_by("gap", F.when(k > 0, F.struct(-k, g))).alias("mode_gap"), (F.sum(k * g) / n_gaps).alias("mean_gap"),
         F.sqrt(F.greatest(F.sum(k * g * g) - F.sum(k * g) * F.sum(k * g) / n_gaps, F.lit(0.0))
-               / F.nullif(n_gaps - 1, F.lit(0))).alias("std_gap"))
-    rows = per_date.groupBy("series").agg(
+               / F.nullif(n_gaps - 1, F.lit(0))).alias("std_gap"),
         F.sum("n").alias("n_rows"), (F.sum("n") - F.sum("n_valid")).alias("n_missing"),
-        (F.sum("n") - F.count(F.lit(1))).alias("n_duplicates"),
-        F.min("d").alias("first_date"), F.max("d").alias("last_date"))
-    out = rows.join(moments, "series", "left")
+        (F.sum("n") - F.sum("dates")).alias("n_duplicates"), F.min("lo").alias("first_date"), F.max("hi").alias("last_date"))
     pct = F.col("n_missing") * 100.0 / F.col("n_rows")
     return out.select(
         "series", "n_rows", "first_date", "last_date", pct.alias("missing_pct"),
