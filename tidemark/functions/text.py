@@ -44,14 +44,30 @@ def half_width(c: Column) -> Column:
 _PLAIN = "[^\\x00-\\x7F\\u00B7\\u2014\\u3000-\\u3002\\u3010\\u3011\\u4E00-\\u9FFF\\uFF01-\\uFF5E]"
 
 
+# Blanks next to a mark: one goes on either side of it.
+_MARKS = "[" + "".join("\\" + mark for mark in TIGHT_PUNCTUATION) + "]"
+_TIGHT = f" (?={_MARKS})|(?<={_MARKS}) "
+# White space that is not a single blank.
+_LOOSE = r"[\t\n\x0B\f\r]\s*| \s+"
+_SPACE = " \t\n\x0b\f\r"
+
+
+def _once(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _fold(c: Column, exact: bool) -> Column:
-    """Unicode compatibility form.  Texts of plain characters stay inside
-    whole-stage codegen; the others go through Arrow, unless ``exact`` is off."""
-    return F.coalesce(_nfkc(F.when(c.rlike(_PLAIN), c)), half_width(c)) if exact else half_width(c)
+    """Unicode compatibility form.  Texts of plain characters stay inside Spark;
+    the others go through Arrow, unless ``exact`` is off.  Only texts that have
+    full-width characters are translated."""
+    ascii_only = F.octet_length(c) == F.char_length(c)
+    wide = F.when(ascii_only, c).when(c.rlike("[\\u3000\\uFF01-\\uFF5E]"), half_width(c)).otherwise(c)
+    return F.coalesce(_nfkc(F.when(~ascii_only & c.rlike(_PLAIN), c)), wide) if exact else wide
 
 
 def _lower_if_ascii(c: Column) -> Column:
-    return F.when(c.rlike(r"[\x00-\x7F]"), F.lower(c)).otherwise(c)
+    return _once(c, lambda x: F.when(x.rlike(r"[\x00-\x7F]"), F.lower(x)).otherwise(x))
 
 
 def _blank_if_missing(raw: Column, cleaned: Column) -> Column:
@@ -60,17 +76,13 @@ def _blank_if_missing(raw: Column, cleaned: Column) -> Column:
 
 def normalize_text(raw: Column, to_lower: bool = True, exact: bool = True) -> Column:
     """Fold, trim, drop one blank on either side of punctuation, squeeze, lower."""
-    c = F.regexp_replace(_fold(raw, exact), r"^\s+|\s+$", "")
-    for mark in TIGHT_PUNCTUATION:
-        c = F.replace(c, F.lit(" " + mark), F.lit(mark))
-        c = F.replace(c, F.lit(mark + " "), F.lit(mark))
-    c = F.trim(F.regexp_replace(c, r"\s+", " "))
+    c = F.trim(F.regexp_replace(F.regexp_replace(_fold(raw, exact), _TIGHT, ""), _LOOSE, " "))
     return _blank_if_missing(raw, _lower_if_ascii(c) if to_lower else c)
 
 
 def normalize_variable(raw: Column, drop_blanks: bool = False, exact: bool = True) -> Column:
     """Fold, trim, lower; optionally without any blank."""
-    c = _lower_if_ascii(F.regexp_replace(_fold(raw, exact), r"^\s+|\s+$", ""))
+    c = _lower_if_ascii(F.btrim(_fold(raw, exact), F.lit(_SPACE)))
     return _blank_if_missing(raw, F.replace(c, F.lit(" "), F.lit("")) if drop_blanks else c)
 
 
