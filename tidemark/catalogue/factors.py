@@ -25,14 +25,18 @@ GRID = """pn AS (SELECT l_linestatus AS model_id, r_name || '/' || l_returnflag
 
 
 def _panel(spark, sf):
-    """The balanced panel of each line status: a variable per region and return flag."""
+    """The balanced panel of each line status: a variable per region and return flag.
+
+    Fits read a panel many times; its weekly sums, bounded by the calendar, are
+    written once, so that the lines are read once."""
+    from tidemark.session import cut_lineage
     name = F.concat_ws("/", "r_name", "l_returnflag")
     t = lambda n: bases.table(spark, sf, n)
     place = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(
         t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("s_suppkey", "r_name")
-    sums = t("lineitem").join(place, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(
+    sums = cut_lineage(t("lineitem").join(place, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(
         F.col("l_linestatus").alias("model_id"), name.alias("variable"),
-        bases._friday("l_shipdate").alias("d")).agg(bases._total(bases._cents("l_extendedprice")).alias("v"))
+        bases._friday("l_shipdate").alias("d")).agg(bases._total(bases._cents("l_extendedprice")).alias("v")))
     weeks = sums.groupBy("model_id").agg(F.collect_set("d").alias("w"))
     grid = sums.select("model_id", "variable").distinct().join(weeks, "model_id").select(
         "model_id", "variable", F.explode("w").alias("d"))
