@@ -14,7 +14,8 @@ import numpy as np
 
 HIDDEN, EMBED, CLASSES = 16, 16, 48
 STREAMS, STEPS, RATE = 64, 24, 0.01
-ROWS = 1 << 15
+#: Rows whose words are looked up together, those whose classes are, and most steps of them.
+ROWS, CACHED, MOST_STEPS = 1 << 15, 1 << 12, 1 << 12
 
 
 def classes(counts: np.ndarray, n: int = CLASSES) -> tuple[np.ndarray, np.ndarray]:
@@ -54,48 +55,79 @@ def new(counts: np.ndarray, starts: np.ndarray, hidden: int = HIDDEN, embed: int
 
 
 def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+    """In place, of the negated argument."""
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _step(p, gx, h):
-    n = h.shape[1]
-    gh = h @ p["wh"]
-    zr = _sigmoid(gx[:, :2 * n] + gh[:, :2 * n])
-    z, r = zr[:, :n], zr[:, n:]
-    new = np.tanh(gx[:, 2 * n:] + r * gh[:, 2 * n:])
-    return new + z * (h - new), z, r, new, gh
+def _gates(p):
+    """Tables of the input words and matrices of the state, one of each gate, so
+    that all work on a gate is on whole arrays.  Those of the two sigmoids are negated."""
+    n = p["wh"].shape[0]
+    sign = np.repeat(np.array([-1, -1, 1], np.float32), n)
+    cut = lambda x: [np.ascontiguousarray(x[:, k:k + n]) for k in (0, n, 2 * n)]
+    return cut((p["embed"] @ p["wx"] + p["b"]) * sign), cut(p["wh"] * sign)
 
 
-def _log_softmax(x):
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _step(words, h, tables, matrices):
+    """Both sigmoids, the new part, its part from the state, and the next state."""
+    z, r = (_sigmoid(np.add(h @ m, t.take(words, axis=0))) for t, m in zip(tables[:2], matrices))
+    own = h @ matrices[2]
+    new = r * own
+    new += tables[2].take(words, axis=0)
+    np.tanh(new, out=new)
+    h = h - new
+    h *= z
+    h += new
+    return z, r, new, own, h
 
 
-def _softmax(x):
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+def _logits(states, w, b):
+    """Logits of words with weights ``w``, less a number per row after which none
+    is far above 0 and not all are far below.  States lie between -1 and 1, so
+    that one number does for all rows unless the weights are very large."""
+    size = np.abs(w).sum(axis=1)
+    high = (b + size).max()
+    x = states @ w.T
+    if high - (b - size).max() < 80:
+        x += b - high
+    else:
+        x += b
+        x -= x.max(axis=1, keepdims=True)
     return x
 
 
+def _sums(x):
+    """Row sums; a product, as numpy's own sum is slow over short rows."""
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def log_probs(net: Net, states: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Natural log probability of each word after its state."""
     p, starts = net.p, net.starts
-    kind = np.searchsorted(starts, words, "right") - 1
-    by_class = _log_softmax(states @ p["wc"] + p["bc"])
-    out = by_class[np.arange(len(words)), kind].astype(np.float64)
-    order = np.argsort(kind.astype(np.int16), kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(len(starts)))
+    kind = np.repeat(np.arange(len(starts) - 1, dtype=np.int16), np.diff(starts))[words]
+    order = np.argsort(kind, kind="stable")
+    states, words, kind = states.take(order, axis=0), words[order], kind[order]
+    cuts = np.searchsorted(kind, np.arange(len(starts)))
+    found = np.empty(len(words), np.float32)
+    for i in range(0, len(words), CACHED):
+        found[i:i + CACHED] = _picked(_logits(states[i:i + CACHED], p["wc"].T, p["bc"]), kind[i:i + CACHED])
     for c in range(len(starts) - 1):
-        at = order[cuts[c]:cuts[c + 1]]
-        if len(at) and starts[c + 1] - starts[c] > 1:
-            own = slice(starts[c], starts[c + 1])
-            inner = _log_softmax(states[at] @ p["ww"][own].T + p["bw"][own])
-            out[at] += inner[np.arange(len(at)), words[at] - starts[c]]
+        own, at = slice(starts[c], starts[c + 1]), slice(cuts[c], cuts[c + 1])
+        if cuts[c + 1] > cuts[c] and starts[c + 1] - starts[c] > 1:
+            found[at] += _picked(_logits(states[at], p["ww"][own], p["bw"][own]), words[at] - starts[c])
+    out = np.empty(len(words))
+    out[order] = found
     return out
 
 
+def _picked(x, at):
+    """Log probability of one word a row; the logits are used up."""
+    one = x[np.arange(len(x)), at]
+    return one - np.log(_sums(np.exp(x, out=x)))
+
+
 def score(net: Net, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Natural log-likelihood of each text; ``counts`` are words per text, the
     texts lie end to end.  Longest texts come first, so those still running are
@@ -105,18 +137,19 @@ def score(net: Net, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     order = np.argsort(-counts, kind="stable")
     lengths, base = counts[order], first[order]
     total = np.zeros(len(counts))
-    inputs = (p["embed"] @ p["wx"] + p["b"])  # gates of every word
+    tables, matrices = _gates(p)
     state = np.zeros((len(counts), n), np.float32)
     t, steps = 0, int(lengths[0]) if len(lengths) else 0
     live = np.searchsorted(-lengths, -np.arange(steps), "left")
     last = np.full(len(counts), net.words, np.int64)
     while t < steps:
-        window = int(np.clip(ROWS // max(1, live[t]), 4, 256))
+        # Few texts are left for many steps; their rows are still looked up in large numbers.
+        window = int(np.clip(ROWS // max(1, live[t]), 4, MOST_STEPS))
         states, tokens, owners = [], [], []
         for u in range(t, min(steps, t + window)):
             k = live[u]
             state = state[:k]
-            state = _step(p, inputs[last[:k]], state)[0]
+            state = _step(last[:k], state, tables, matrices)[-1]
             last = words[base[:k] + u]
             states.append(state)
             tokens.append(last)
@@ -152,61 +185,67 @@ def train(net: Net, words: np.ndarray, begins: np.ndarray, rate: float = RATE, s
     for t0 in range(0, length, steps):
         x, y, fresh = x_all[t0:t0 + steps], y_all[t0:t0 + steps], reset[t0:t0 + steps]
         size = len(x)
-        gx = (p["embed"] @ p["wx"] + p["b"])[x]
+        tables, matrices = _gates(p)
         keep = (~fresh).astype(np.float32)[:, :, None]
-        zr, new, gh = np.empty((size, streams, 2 * n), np.float32), np.empty((size, streams, n), np.float32), np.empty((size, streams, 3 * n), np.float32)
-        hp, hs = np.empty((size, streams, n), np.float32), np.empty((size, streams, n), np.float32)
+        z, r, new, gh, hp, hs = (np.empty((size, streams, n), np.float32) for _ in range(6))
         for t in range(size):
             np.multiply(state, keep[t], out=hp[t])
-            np.matmul(hp[t], p["wh"], out=gh[t])
-            zr[t] = _sigmoid(gx[t, :, :2 * n] + gh[t, :, :2 * n])
-            np.tanh(gx[t, :, 2 * n:] + zr[t, :, n:] * gh[t, :, 2 * n:], out=new[t])
-            state = hs[t] = new[t] + zr[t, :, :n] * (hp[t] - new[t])
+            z[t], r[t], new[t], gh[t], state = _step(x[t], hp[t], tables, matrices)
+            hs[t] = state
         flat_h, target, real = hs.reshape(-1, n), y.ravel(), real_all[t0:t0 + steps].ravel()
         rows = int(real.sum())
         kind = kind_of[target]
         g = {}
-        d = _softmax(flat_h @ p["wc"] + p["bc"])
         everyone = np.arange(len(target))
-        loss -= float(np.log(d[everyone, kind][real]).sum())
-        d[everyone, kind] -= 1
-        d *= real[:, None] / np.float32(rows)
+        share = real / np.float32(rows)
+        d = _logits(flat_h, p["wc"].T, p["bc"])
+        picked = d[everyone, kind]
+        sums = _sums(np.exp(d, out=d))
+        loss -= float((picked - np.log(sums))[real].sum())
+        d *= (share / sums)[:, None]
+        d[everyone, kind] -= share
         g["wc"], g["bc"], dhs = flat_h.T @ d, d.sum(axis=0), d @ p["wc"].T
         g["ww"], g["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
         order = np.argsort(np.where(real, kind, len(starts)).astype(np.int16), kind="stable")[:rows]
         cuts = np.searchsorted(kind[order], np.arange(len(starts)))
-        sorted_h, sorted_y = flat_h[order], target[order]
+        sorted_h, sorted_y, sorted_d = flat_h.take(order, axis=0), target[order], np.zeros((rows, n), np.float32)
         for c in range(len(starts) - 1):
             i, j = cuts[c], cuts[c + 1]
             if j > i and starts[c + 1] - starts[c] > 1:
                 own = slice(starts[c], starts[c + 1])
-                d = _softmax(sorted_h[i:j] @ p["ww"][own].T + p["bw"][own])
+                d = _logits(sorted_h[i:j], p["ww"][own], p["bw"][own])
                 here, pick = np.arange(j - i), sorted_y[i:j] - starts[c]
-                loss -= float(np.log(d[here, pick]).sum())
-                d[here, pick] -= 1
-                d /= rows
+                picked = d[here, pick]
+                sums = _sums(np.exp(d, out=d))
+                loss -= float((picked - np.log(sums)).sum())
+                d *= (np.float32(1 / rows) / sums)[:, None]
+                d[here, pick] -= np.float32(1 / rows)
                 g["ww"][own], g["bw"][own] = d.T @ sorted_h[i:j], d.sum(axis=0)
-                dhs[order[i:j]] += d @ p["ww"][own]
+                sorted_d[i:j] = d @ p["ww"][own]
+        dhs[order] += sorted_d
         dhs = dhs.reshape(size, streams, n)
         # Factors of the gates' derivatives, for all steps at once.
-        z, r = zr[:, :, :n], zr[:, :, n:]
-        to_z, to_n = (hp - new) * z * (1 - z), (1 - z) * (1 - new * new)
-        to_r = gh[:, :, 2 * n:] * r * (1 - r)
-        dgx, dgh, dh = np.empty_like(gx), np.empty_like(gx), np.zeros((streams, n), np.float32)
-        wh_t = np.ascontiguousarray(p["wh"].T)
+        to_z, to_n, to_r = (hp - new) * z * (1 - z), (1 - z) * (1 - new * new), gh * r * (1 - r)
+        dz, dr, dn, dh = np.empty_like(z), np.empty_like(z), np.empty_like(z), np.zeros((streams, n), np.float32)
+        back = [np.ascontiguousarray(p["wh"][:, k:k + n].T) for k in (0, n, 2 * n)]
         for t in range(size - 1, -1, -1):
             dh += dhs[t]
-            dgx[t, :, :n], dgx[t, :, 2 * n:] = dh * to_z[t], dh * to_n[t]
-            dgx[t, :, n:2 * n] = dgx[t, :, 2 * n:] * to_r[t]
-            dgh[t, :, :2 * n], dgh[t, :, 2 * n:] = dgx[t, :, :2 * n], dgx[t, :, 2 * n:] * r[t]
-            dh = (dh * z[t] + dgh[t] @ wh_t) * keep[t]
-        g["wh"] = hp.reshape(-1, n).T @ dgh.reshape(-1, 3 * n)
+            np.multiply(dh, to_z[t], out=dz[t])
+            np.multiply(dh, to_n[t], out=dn[t])
+            np.multiply(dn[t], to_r[t], out=dr[t])
+            dh *= z[t]
+            dh += dz[t] @ back[0]
+            dh += dr[t] @ back[1]
+            dh += (dn[t] * r[t]) @ back[2]
+            dh *= keep[t]
+        before_t = hp.reshape(-1, n).T
+        g["wh"] = np.hstack([before_t @ d.reshape(-1, n) for d in (dz, dr, dn * r)])
         # Gradients of the gates of each input word, then of what they are made of.
         by_word = np.argsort(x.ravel().astype(np.int16 if net.words < 1 << 15 else np.int64), kind="stable")
         ordered = x.ravel()[by_word]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         gates = np.zeros((net.words + 1, 3 * n), np.float32)
-        gates[ordered[first]] = np.add.reduceat(dgx.reshape(-1, 3 * n)[by_word], first, axis=0)
+        gates[ordered[first]] = np.add.reduceat(np.concatenate([d.reshape(-1, n) for d in (dz, dr, dn)], axis=1).take(by_word, axis=0), first, axis=0)
         g["b"], g["wx"], g["embed"] = gates.sum(axis=0), p["embed"].T @ gates, gates @ p["wx"].T
         norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
         updates += 1

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -67,12 +68,29 @@ class Lexicon:
     place: np.ndarray  # their place in class order
     weights: np.ndarray  # their counts in class order
 
+    @cached_property
+    def begins(self) -> tuple[int, np.ndarray]:
+        """Hashes go by their first bits, so many are left, and the place of the first hash of each."""
+        bits = len(self.hashes).bit_length() + 2
+        left = 64 - bits
+        return left, np.searchsorted(self.hashes >> W.U(left), np.arange((1 << bits) + 1, dtype=W.U)).astype(np.int32)
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Number of each known word, -1 for others."""
         if not len(self.hashes):
             return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        left, begins = self.begins
+        bits = (h >> W.U(left)).astype(np.int64)
+        at, end = begins[bits], begins[bits + 1]
+        out = np.where(self.hashes[np.minimum(at, len(self.hashes) - 1)] == h, at, np.int32(-1))
+        # Only those that share their first bits with others need a further look.
+        more = np.flatnonzero((out < 0) & (at + 1 < end))
+        while len(more):
+            at[more] += 1
+            hit = self.hashes[at[more]] == h[more]
+            out[more[hit]] = at[more[hit]]
+            more = more[~hit & (at[more] + 1 < end[more])]
+        return out
 
     def outputs(self, known: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Place in the net of each token."""
@@ -214,7 +232,7 @@ def score(docs: DataFrame, lex: Lexicon, net: gru.Net, counts: DataFrame, *, tex
         for batch in regroup(batches, 1, TOGETHER):
             for i, j, data, offsets in slices(batch.column(1), TOGETHER):
                 h, g, place, log_base, n = [], [], [], [], []
-                known_by, out_by = [], []
+                known_by, out_by, at_by = [], [], []
                 for a, b, part, cuts in slices(batch.column(1).slice(i, j - i)):
                     ph, pg, pn = tokens(part, cuts)
                     at = lexis.find(ph)
@@ -223,12 +241,11 @@ def score(docs: DataFrame, lex: Lexicon, net: gru.Net, counts: DataFrame, *, tex
                     log_base.append(np.add.reduceat(np.where(at >= 0, log_counts[at] if len(log_counts) else 0.0, 0.0), first))
                     known_by.append(np.add.reduceat((at >= 0).astype(np.int64), first))
                     out_by.append((at >= 0) & (lexis.output[at] >= 0) if len(lexis.output) else np.zeros(len(at), bool))
-                    h.append(ph), g.append(pg), n.append(pn)
-                h, g, place, n, out = map(np.concatenate, (h, g, place, n, out_by))
+                    h.append(ph), g.append(pg), n.append(pn), at_by.append(at)
+                h, g, place, n, out, at = map(np.concatenate, (h, g, place, n, out_by, at_by))
                 log_base, known_n = np.concatenate(log_base), np.concatenate(known_by)
                 ll = gru.score(model, place, n) / np.log(10)
                 owner = np.repeat(np.arange(j - i), n)
-                at = lexis.find(h)
                 # Known words outside the net's own: their share of the group.
                 mid = (at >= 0) & ~out
                 ll += np.bincount(owner[mid], weights=log_counts[at[mid]] if mid.any() else None, minlength=j - i)
