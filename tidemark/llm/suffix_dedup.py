@@ -6,9 +6,11 @@ always meet.  Neighbouring strings mostly share that smallest hash and travel
 together as one segment.  Segments are first compared by hash, map-side and
 then by shard: where whole segments are equal, the one of the smallest document
 stands for all, and the others are repeats.  Only segments that share a
-smallest hash and yet differ have their bytes fetched.  Each shard sorts theirs
-into a suffix array (Larsson-Sadakane refinement), takes common prefixes
-(Kasai), and finds for every string the smallest document that holds it.
+smallest hash and yet differ have their bytes fetched, and of these only those
+that agree further on one side of the ``GRAM`` bytes: a string reaches at least
+half of its other bytes to the left or to the right.  Each shard sorts theirs
+into a suffix array (Larsson-Sadakane refinement, as deep as a string is
+long), takes common prefixes of neighbours, and finds for every string the smallest document that holds it.
 
 A smallest hash with very many different segments is split over several shards;
 their sorted strings are then merged, again by content, with binary searches.
@@ -47,13 +49,37 @@ def eight(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def sliding(best: np.ufunc, x: np.ndarray, w: int) -> np.ndarray:
+    """The minimum or maximum of ``w`` values from each place on."""
+    step = 1
+    while step * 2 <= w:
+        x = best(x[:-step], x[step:])
+        step *= 2
+    return best(x[:len(x) - (w - step)], x[w - step:]) if w > step else x
+
+
+def anchors(hashes: np.ndarray, least: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of equal values of ``least``, the minima of ``w`` hashes from
+    each place on: the first place of that hash, and how often it occurs."""
+    pad = np.zeros(w - 1, U)
+    # A hash is the minimum of some w if it is the largest minimum of those it belongs to.
+    at = np.flatnonzero(sliding(np.maximum, np.concatenate((pad, least, pad)), w) == hashes)
+    runs = np.flatnonzero(np.concatenate(([True], hashes[at[1:]] != hashes[at[:-1]])))
+    return at[runs], np.diff(np.append(runs, len(at)))
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM):
-    """First string, number of strings, smallest hash and content hash of the
-    segments of several texts; places count from the start of ``data``."""
+    """First string, number of strings, smallest hash, content hash and sides of
+    the segments of several texts; places count from the start of ``data``.
+
+    The sides are short hashes of the bytes with the smallest hash and half of a
+    string's others to the left, and to the right; 0 where no string of the
+    segment reaches so far.  Segments with an equal string have an equal side
+    other than 0, unless one holds its smallest hash repeatedly: both are 0 then."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < span:
-        return none, none, np.zeros(0, U), np.zeros(0, U)
+        return none, none, np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.uint16), np.zeros(0, np.uint16)
     x = eight(data)
     h = x[:n - gram + 1] * U(0x9E3779B97F4A7C15)
     for k in range(8, gram, 8):
@@ -61,12 +87,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int
     h ^= h >> U(32)
     h *= U(0xD6E8FEB86659FD93)
     h ^= h >> U(29)
-    w, step = span - gram + 1, 1
-    while step * 2 <= w:
-        h = np.minimum(h[:-step], h[step:])
-        step *= 2
-    if w > step:
-        h = np.minimum(h[:len(h) - (w - step)], h[w - step:])
+    w = span - gram + 1
+    each, h = h, sliding(np.minimum, h, w)
+    anchor, times = anchors(each, h, w)
+    run = np.cumsum(np.concatenate(([False], h[1:] != h[:-1])))
     valid = np.zeros(len(h) + 1, np.int8)  # strings that lie in one text
     a, b = offsets[:-1], offsets[1:] - span + 1
     ok = b > a
@@ -90,32 +114,39 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int
     sums = np.empty(n + 1, U)
     sums[0] = 0
     np.cumsum(W.CODES[data] * at[:n], out=sums[1:])
-    ends = begins + number + span - 1
-    return begins, number, h[begins], W.mix((sums[ends] - sums[begins]) * back[begins] + number.astype(U))
+    of = lambda a, b: (sums[b] - sums[a]) * back[a]
+    half = (span - gram) // 2
+    place, once = anchor[run[begins]], times[run[begins]] == 1
+    sides = []
+    for a, reached in ((place - half, begins <= place - half), (place, begins + number > place - half)):
+        a = np.where(once & reached, a, 0)
+        sides.append(np.where(once & reached, np.maximum(W.mix(of(a, a + gram + half)) >> U(48), U(1)), U(0)).astype(np.uint16))
+    return begins, number, h[begins], W.mix(of(begins, begins + number + span - 1) + number.astype(U)), *sides
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Places of ``text`` in the order of what follows.
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Places of ``text`` in the order of what follows, or of at least ``depth``
+    bytes of it.
 
     The first eight bytes sort everything; each round doubles the depth and
     sorts only groups that are still tied, by the rank of the place the
     current depth further on."""
     n = len(text)
     keys = eight(text)
-    sa = np.argsort(keys, kind="stable")
+    sa = np.argsort(keys)
     new = np.ones(n + 1, bool)
     ordered = keys[sa]
     new[1:n] = ordered[1:] != ordered[:-1]
     rank = np.zeros(n + 1, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new[:n], np.arange(n), 0)) + 1  # 0 lies beyond the end
     h = 8
-    while h < n:
+    while h < (n if depth is None else min(n, depth)):
         tied = np.flatnonzero(~(new[:n] & new[1:]))
         if not len(tied):
             break
         place = sa[tied]
         key = (rank[place] << 32) | rank[np.minimum(place + h, n)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         place, key = place[order], key[order]
         sa[tied] = place
         split = np.ones(len(tied), bool)
@@ -127,52 +158,49 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, sa: np.ndarray, begins: np.ndarray, lengths: np.ndarray, most: int = SPAN) -> np.ndarray:
-    """For each place the bytes it shares with the one before it in ``sa``, up to
-    ``most``.  Kasai: one place on, at most one byte of the prefix is lost.  All
-    segments advance side by side."""
+    """For each place of the stretches that begin at ``begins`` the bytes it shares
+    with the one of these places before it in ``sa``, up to ``most``; 0 for the
+    first of them and for other places.  Eight bytes are compared at a time, and
+    the next eight only where all before are equal."""
     n = len(text)
-    padded = np.concatenate((text.astype(np.int16), np.full(most + 1, -1, np.int16)))
-    inverse = np.empty(n, np.int64)
-    inverse[sa] = np.arange(n)
-    before = np.where(inverse > 0, sa[np.maximum(inverse - 1, 0)], -1)
+    order = sa[_inside(n, begins, lengths)[sa]]
+    eights = np.concatenate((eight(text), np.zeros(most + 8, U)))
+    shared = np.zeros(len(order), np.int64)
+    open_ = np.arange(1, len(order))
+    for k in range(0, most, 8):
+        differ = eights[order[open_ - 1] + k] ^ eights[order[open_] + k]
+        same = sum((differ < U(1 << 8 * j)).astype(np.int64) for j in range(8))
+        shared[open_] += same
+        open_ = open_[same == 8]
+    shared[1:] = np.minimum(shared[1:], n - np.maximum(order[1:], order[:-1]))  # nothing is beyond the end
     out = np.zeros(n, np.int16)
-    order = np.argsort(-lengths, kind="stable")
-    begins, lengths = begins[order], lengths[order]
-    held = np.zeros(len(begins), np.int64)
-    live = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
-    for t, k in enumerate(live):
-        i = begins[:k] + t
-        j = before[i]
-        size = np.maximum(held[:k] - 1, 0)
-        size[j < 0] = 0
-        open_ = np.flatnonzero((j >= 0) & (size < most))
-        while len(open_):
-            same = padded[i[open_] + size[open_]] == padded[j[open_] + size[open_]]
-            same &= (i[open_] + size[open_] < n) & (j[open_] + size[open_] < n)
-            open_ = open_[same]
-            size[open_] += 1
-            open_ = open_[size[open_] < most]
-        held[:k] = size
-        out[i] = size
+    out[order] = np.minimum(shared, most)
     return out
 
 
+def _inside(n: int, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Which of ``n`` places lie in the stretches."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, begins, 1)
+    np.add.at(edges, begins + lengths, -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
 def shard_repeats(text: np.ndarray, lengths: np.ndarray, number: np.ndarray, doc: np.ndarray, span: int = SPAN):
     """For segments laid end to end: whether a smaller document of this shard
-    holds the string at each place (false where no string starts), and for each
-    place the first place of its equals."""
+    holds the string at each place (false where no string starts), and whether a
+    string starts there."""
     begins = np.cumsum(lengths) - lengths
-    sa = suffix_array(text)
-    shared = common_prefixes(text, sa, begins, lengths, span)
-    inside = np.arange(len(text)) - np.repeat(begins, lengths) < np.repeat(number, lengths)
-    owner = np.where(inside, np.repeat(doc, lengths), np.iinfo(np.int64).max)
+    inside = _inside(len(text), begins, number)
+    sa = suffix_array(text, span)
+    shared = common_prefixes(text, sa, begins, number, span)
+    sa = sa[inside[sa]]
+    owner = np.repeat(doc, lengths)[sa]
     starts = np.flatnonzero(shared[sa] < span)
-    if not len(starts) or starts[0] != 0:
-        starts = np.concatenate(([0], starts)).astype(np.int64)
-    least = np.repeat(np.minimum.reduceat(owner[sa], starts), np.diff(np.append(starts, len(sa))))
+    least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.append(starts, len(sa))))
     repeated = np.zeros(len(text), bool)
-    repeated[sa] = least < owner[sa]
-    return repeated & inside, inside
+    repeated[sa] = least < owner
+    return repeated, inside
 
 
 def merge_sorted(lists: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -215,6 +243,15 @@ def _joined(batches, kinds: dict[str, object]) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, kinds[k]) for k, p in parts.items()]
 
 
+def _documents(group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the smallest and the largest document of its group."""
+    order = np.argsort(group)
+    new = np.concatenate(([True], np.diff(group[order]) != 0))
+    starts, of = np.flatnonzero(new), np.empty(len(group), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return np.minimum.reduceat(doc[order], starts)[of], np.maximum.reduceat(doc[order], starts)[of]
+
+
 FOUND = "doc long, start int, number int, h long, s long, salt int, role int"
 NAMES = ["doc", "start", "number", "h", "s", "salt", "role"]
 
@@ -230,61 +267,83 @@ def _candidates(docs: DataFrame, text: str, row: str) -> DataFrame:
     """Segments that equal one of a smaller document (REPEAT), and those that
     have to be compared byte by byte (SOURCE, and TEST if they may repeat)."""
     buckets = partitions(docs.sparkSession)
-    kinds = {"h": U, "s": U, "doc": np.int64, "start": np.int32, "number": np.int32, "known": np.int8}
+    kinds = {"h": U, "s": U, "doc": np.int64, "start": np.int32, "number": np.int32, "left": np.uint16, "right": np.uint16, "known": np.int8}
 
     def cut(batches):
         for batch in regroup(batches, 1, TOGETHER):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             order = np.argsort(ids, kind="stable")
             ids, body = ids[order], batch.column(1).take(pa.array(order))
-            cols = [[], [], [], [], []]
+            cols = [[] for _ in range(7)]
             for i, _, data, offsets in slices(body, 512 << 10):
-                at, number, h, s = segments(data, offsets)
+                at, number, h, s, left, right = segments(data, offsets)
                 d = np.searchsorted(offsets, at, "right") - 1
-                for c, v in zip(cols, (h, s, ids[i + d], (at - offsets[d]).astype(np.int32), number.astype(np.int32))):
+                for c, v in zip(cols, (h, s, ids[i + d], (at - offsets[d]).astype(np.int32), number.astype(np.int32), left, right)):
                     c.append(v)
-            h, s, doc, start, number = (np.concatenate(c) for c in cols)
+            h, s, doc, start, number, left, right = (np.concatenate(c) for c in cols)
             if not len(h):
                 continue
             # Equal segments met here: later documents repeat the first, so one row says all of them.
             order = np.argsort(s, kind="stable")
-            h, s, doc, start, number = (v[order] for v in (h, s, doc, start, number))
+            h, s, doc, start, number, left, right = (v[order] for v in (h, s, doc, start, number, left, right))
             new = np.concatenate(([True], (s[1:] != s[:-1]) | (h[1:] != h[:-1])))
             first = doc[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             known = (doc > first).astype(np.int8)
             bucket = np.where(known, W.mix(doc.astype(U)), h >> U(17)) % U(buckets)
-            yield _blobs(bucket.astype(np.int64), [h, s, doc, start, number, known], list(kinds))
+            yield _blobs(bucket.astype(np.int64), [h, s, doc, start, number, left, right, known], list(kinds))
 
     def meet(batches):
-        h, s, doc, start, number, known = _joined(batches, kinds)
+        h, s, doc, start, number, left, right, known = _joined(batches, kinds)
         done = known == 1
-        for i in range(0, int(done.sum()), 100_000):
-            at = np.flatnonzero(done)[i:i + 100_000]
-            yield _found(doc[at], start[at], number[at], U(0), U(0), -1, REPEAT)
-        h, s, doc, start, number = (v[~done] for v in (h, s, doc, start, number))
+        yield from repeat_rows(doc[done], start[done], number[done])
+        h, s, doc, start, number, left, right = (v[~done] for v in (h, s, doc, start, number, left, right))
         if not len(h):
             return
         order = np.lexsort((doc, s, h))
-        h, s, doc, start, number = (v[order] for v in (h, s, doc, start, number))
-        n = len(h)
-        same_h = np.concatenate(([True], h[1:] != h[:-1]))
-        same_s = same_h | np.concatenate(([True], s[1:] != s[:-1]))
-        lead = np.maximum.accumulate(np.where(same_s, np.arange(n), 0))
+        h, s, doc, start, number, left, right = (v[order] for v in (h, s, doc, start, number, left, right))
+        same_h, same_s, lead = leads(h, s)
         repeat = doc > doc[lead]
-        group = np.cumsum(same_h) - 1
+        yield from repeat_rows(doc[repeat], start[repeat], number[repeat])
+        # Of the others, those whose smallest hash another document has too.
         starts = np.flatnonzero(same_h)
-        kinds_of = np.add.reduceat(same_s.astype(np.int64), starts)
-        least, most = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc[lead], starts)
-        open_ = ~repeat & ((kinds_of > 1) & (most > least))[group]
-        number_in = np.cumsum(same_s) - 1
-        number_in -= number_in[starts][group]
-        salt = np.where((kinds_of > SHARE)[group], number_in // SHARE, -1)
-        role = np.where(repeat, REPEAT, np.where(doc > least[group], TEST, SOURCE))
-        keep = np.flatnonzero(repeat | open_)
-        for i in range(0, len(keep), 100_000):
-            at = keep[i:i + 100_000]
+        shared = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc[lead], starts))[np.cumsum(same_h) - 1]
+        at = np.flatnonzero(shared & ~repeat)
+        if not len(at):
+            return
+        h, s, doc, start, number, left, right = (v[at] for v in (h, s, doc, start, number, left, right))
+        group = np.cumsum(leads(h, s)[0]) - 1
+        # Of these, those of which another document has a side too.
+        least, most = doc.copy(), doc.copy()
+        for side in (left, right):
+            k = np.flatnonzero(side)
+            if len(k):
+                low, high = _documents(group[k] << 16 | side[k], doc[k])
+                least[k], most[k] = np.minimum(least[k], low), np.maximum(most[k], high)
+        any_side = np.isin(group, group[(left == 0) & (right == 0)])
+        if any_side.any():
+            least[any_side], most[any_side] = _documents(group[any_side], doc[any_side])
+        at = np.flatnonzero(least < most)
+        h, s, doc, start, number, least = (v[at] for v in (h, s, doc, start, number, least))
+        same_h, same_s, _ = leads(h, s)
+        group, starts, number_in = np.cumsum(same_h) - 1, np.flatnonzero(same_h), np.cumsum(same_s) - 1
+        kinds_of = np.diff(np.append(number_in[starts], number_in[-1:] + 1))
+        salt = np.where((kinds_of > SHARE)[group], (number_in - number_in[starts][group]) // SHARE, -1)
+        role = np.where(doc > least, TEST, SOURCE)
+        for i in range(0, len(h), 100_000):
+            at = slice(i, i + 100_000)
             yield _found(doc[at], start[at], number[at], h[at], s[at], salt[at], role[at])
 
+    def leads(h, s):
+        """Where a hash begins, where a segment begins, and the first row of each row's segment; rows are sorted."""
+        same_h = np.concatenate(([True], h[1:] != h[:-1]))[:len(h)]
+        same_s = same_h | np.concatenate(([True], s[1:] != s[:-1]))[:len(h)]
+        return same_h, same_s, np.maximum.accumulate(np.where(same_s, np.arange(len(h)), 0))
+
+    def repeat_rows(doc, start, number):
+        for i in range(0, len(doc), 100_000):
+            at = slice(i, i + 100_000)
+            yield _found(doc[at], start[at], number[at], U(0), U(0), -1, REPEAT)
+
     named = docs.filter(F.col(row).isNotNull()).select(F.col(row).cast("long"), text)
     parts = named.mapInArrow(cut, "bucket int, " + ", ".join(f"{k} binary" for k in kinds))
     return dealt(parts, "bucket").mapInArrow(meet, FOUND)
