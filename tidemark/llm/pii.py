@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.store import small_batches
+from tidemark.llm.store import small_batches, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Texts to learn from at most, their bytes together, tokens in a span, rounds.
@@ -250,19 +250,22 @@ def sample(docs: DataFrame, text: str = "text", size: int = SAMPLE, most_bytes:
     """Up to ``size`` distinct texts with a digit or ``@``, whole and of any
     length, in order of a hash of the text, as long as all of them together
     have at most ``most_bytes`` (the first is taken in any case)."""
-    rows = docs.filter(F.col(text).rlike("[0-9@]")).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"))
+    h = F.xxhash64(text)
+    # Hashes are written, so that the texts are searched once and then only read again for those chosen.
+    rows = stored(docs.filter(F.col(text).rlike("[0-9@]")).select(h.alias("h"), F.octet_length(text).alias("n")), "sample")
     total = rows.count()
-    near = F.pmod(F.col("h"), F.lit(1_000_003)) / F.lit(1_000_003.0) < 4 * size / max(total, 1)
-    drawn = rows.filter(near)
-    order = F.pmod(F.col("h"), F.lit(1_000_003)), F.col("h")
-    sizes = drawn.select("h", F.octet_length("t").alias("n")).distinct().orderBy(*order).limit(size).collect()
+    place = F.pmod(F.col("h"), F.lit(1_000_003))
+    drawn = rows.filter(place / F.lit(1_000_003.0) < 4 * size / max(total, 1))
+    sizes = drawn.distinct().orderBy(place, "h").limit(size).collect()
     chosen, held = [], 0
-    for h, n in sizes:
+    for key, n in sizes:
         if chosen and held + n > most_bytes:
             break
-        chosen.append(h)
+        chosen.append(key)
         held += n
-    return sorted({r[0] for r in drawn.filter(F.col("h").isin(chosen)).select("t").distinct().collect()}) if chosen else []
+    if not chosen:
+        return []
+    return sorted({r[0] for r in docs.filter(h.isin(chosen)).filter(F.col(text).rlike("[0-9@]")).select(text).distinct().collect()})
 
 
 SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
